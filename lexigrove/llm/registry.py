@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, repetition
 
 
 def queries() -> dict:
-    return {"op4_byte_bpe": bpe.op4_byte_bpe}
+    return {
+        "op2_repetition": repetition.op2_repetition,
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
