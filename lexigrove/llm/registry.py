@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, repetition
+from . import bpe, langid, repetition
 
 
 def queries() -> dict:
     return {
         "op2_repetition": repetition.op2_repetition,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op7_langid": langid.op7_langid,
     }
 
 
