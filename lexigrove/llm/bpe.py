@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import over_rows, table, text_bytes
 
 #: Pre-tokens held per generation of the memo (two generations), per worker.
-MEMO = 200_000
+MEMO = 400_000
 #: Pre-tokens over this many bytes are not kept in the memo.
 MEMO_BYTES = 64
 
@@ -122,11 +122,11 @@ class RankQueueBPE:
         return b"".join([vocab[i] for i in ids])
 
     def _entry(self, token: str) -> tuple:
-        """(ids, ids as decimal text, bytes decoded from the ids) of a pre-token, memoised while short."""
+        """(number of ids, ids as decimal text, bytes decoded from the ids) of a pre-token, memoised while short."""
         found = self.old.get(token)
         if found is None:
-            ids = tuple(self.encode_piece(token.encode()))
-            found = (ids, ",".join(map(str, ids)), self.decode(ids))
+            ids = self.encode_piece(token.encode())
+            found = (len(ids), ",".join(map(str, ids)), self.decode(ids))
         if len(found[2]) <= MEMO_BYTES:
             if len(self.young) >= MEMO:
                 self.old, self.young = self.young, {}
@@ -138,7 +138,7 @@ class RankQueueBPE:
         return [young(t) or slow(t) for t in self.find(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for e in self.entries(text) for i in e[0]]
+        return [int(i) for e in self.entries(text) for i in e[1].split(",")]
 
 
 @lru_cache(maxsize=2)
@@ -181,7 +181,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         counts, ids_hash, text_hash, sizes = [], [], [], []
         for t in texts:
             parts = bpe.entries(_text(t))
-            counts.append(sum([len(p[0]) for p in parts]))
+            counts.append(sum([p[0] for p in parts]))
             ids_hash.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
             whole = b"".join([p[2] for p in parts])
             text_hash.append(hashlib.sha256(whole).hexdigest())
