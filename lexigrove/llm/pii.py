@@ -99,7 +99,7 @@ NO_WIDTH = "​‌‍⁠﻿\xad"
 
 
 @lru_cache(maxsize=1)
-def _characters() -> tuple[re.Pattern, dict[str, str]]:
+def _characters() -> tuple[frozenset, dict[str, str]]:
     """Characters to rewrite, and what to; wide and mathematical forms and digits follow from Unicode."""
     table = {**LOOKALIKES, **MARKS, **dict.fromkeys(NO_WIDTH, "")}
     for block in (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800)):
@@ -110,7 +110,7 @@ def _characters() -> tuple[re.Pattern, dict[str, str]]:
     for c in map(chr, range(0x80, 0x20000)):
         if unicodedata.category(c) == "Nd":
             table.setdefault(c, str(unicodedata.decimal(c)))
-    return re.compile("[" + "".join(map(re.escape, table)) + "]"), table
+    return frozenset(table), table
 
 
 class Mapped:
@@ -125,7 +125,7 @@ class Mapped:
 
 def _plain_characters(text: str) -> Mapped:
     found, table = _characters()
-    if text.isascii() or not found.search(text):
+    if text.isascii() or found.isdisjoint(set(text)):
         return Mapped(text)
     out, starts, ends = [], [], []
     for i, c in enumerate(text):
@@ -161,6 +161,7 @@ _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_WORDS}|[0-9]{{1,19}})"
 _GAP = rf"(?:[\s,().-]{{1,3}}(?:{_DOT_WORD}\s{{1,3}})?)"
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?{_UNIT}(?:{_GAP}{_UNIT}){{3,63}}(?!\w)", re.IGNORECASE)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,().-]{{1,3}}(?:{_WORDS}|{_DOT_WORD}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<dot>{_DOT_WORD}|\.)|(?P<word>{_WORDS})(?!\w)|(?P<digit>[0-9])|(?P<skip>[\s,()-])", re.IGNORECASE)
 _LOOKALIKE_DIGITS = re.compile(r"(?<![\w+])\+?[0-9OolI](?:[\x20-]?[0-9OolI]){9,40}(?!\w)")
@@ -185,7 +186,7 @@ def _disguised_addresses(text: str):
 
 def _rewritten_numbers(text: str):
     """(start, kind, end) of identifiers in runs of spelled digits or of letters that look like digits."""
-    if _SPELLED_HINT.search(text):
+    if sum(map(SPELLED.__contains__, _LETTERS.findall(text.lower()))) >= 3 and _SPELLED_HINT.search(text):
         for run in _SPELLED_RUN.finditer(text):
             out, at, words = [], [], 0
             for m in _SPELLED_TOKEN.finditer(text, run.start(), run.end()):

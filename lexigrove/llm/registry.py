@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, repetition
+from . import bpe, langid, pii, repetition
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_repetition": repetition.op2_repetition,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op7_langid": langid.op7_langid,
+        "op9_pii": pii.op9_pii,
     }
 
 
