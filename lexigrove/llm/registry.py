@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, pii, repetition
+from . import bpe, langid, pii, repetition, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op7_langid": langid.op7_langid,
         "op9_pii": pii.op9_pii,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
