@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, pii, repetition, simhash
+from . import bpe, langid, mixing, pii, repetition, simhash
 
 
 def queries() -> dict:
     return {
         "op2_repetition": repetition.op2_repetition,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_mixing": mixing.op5_mixing,
         "op7_langid": langid.op7_langid,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
