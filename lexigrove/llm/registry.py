@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, repetition, simhash
+from . import bpe, langid, mixing, pii, repetition, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_repetition": repetition.op2_repetition,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,
+        "op6_sharding": sharding.op6_sharding,
         "op7_langid": langid.op7_langid,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
