@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, repetition, sharding, simhash
+from . import bpe, langid, lmtrie, mixing, pii, repetition, sharding, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op7_langid": langid.op7_langid,
+        "op8_lm_score": lmtrie.op8_lm_score,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
     }
