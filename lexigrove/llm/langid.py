@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,16 @@ def predict(df: DataFrame, model: Profiles, keep: list[Column], text_col: str =
     return over_rows(data, run, schema)
 
 
+def judged(model: Profiles, text: Column) -> Column:
+    """A struct (lang_pred, score) for each text. Only texts cross to Python."""
+    @F.pandas_udf("lang_pred string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [model.predict(None if t is None else bytes(t)) for t in texts]
+        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+
+    return run(text.cast("string").cast("binary"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the documents outside the held-out fold; predict every whole text."""
     docs = table(spark, sf_dir, "documents")

@@ -27,6 +27,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,16 +266,13 @@ def blank_out(text: str) -> str:
     return "".join(out) + text[done:]
 
 
-def redact(df: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns in ``keep``, then the redacted text (null stays null) as ``__lx_redacted``."""
-    data = df.select(*keep, text_bytes(text_col).alias("__lx_text"))
-    kept = data.schema.fields[:-1]
+def redacted(text: Column) -> Column:
+    """The text with its personal data blanked out; null stays null. Only texts cross to Python."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else blank_out(_text(bytes(t))) for t in texts], dtype=object)
 
-    def run(*columns):
-        return (*columns[:-1], [None if t is None else blank_out(_text(t)) for t in columns[-1]])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__lx_redacted string"])
-    return over_rows(data, run, schema)
+    return run(text.cast("string").cast("binary"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
