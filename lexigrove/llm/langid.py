@@ -90,9 +90,11 @@ def fit(
     labelled = docs.select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # One number for each language, as the profiles are; a join would shuffle the texts.
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.join(sizes, "lang").where(place * F.col("n") < sample_docs).select("lang", "text")
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang")) if sizes else F.lit(0)
+    chosen = labelled.where(place * size < sample_docs)
 
     def count(langs, texts):
         total: dict[str, list] = {}
