@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lmtrie, mixing, pii, repetition, sharding, simhash
+from . import bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat.op1_chat_format,
         "op2_repetition": repetition.op2_repetition,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,
