@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash
+from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_repetition": repetition.op2_repetition,
+        "op3_bm25": bm25.op3_bm25,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_mixing": mixing.op5_mixing,
         "op6_sharding": sharding.op6_sharding,
