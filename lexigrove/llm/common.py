@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that are Python objects at once.
+SLICE = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -37,8 +41,8 @@ def crc_fold(column: str, modulus: int) -> Column:
 def over_rows(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
     """Apply ``fn(*columns)`` (python lists in, tuple of lists out) to each Arrow batch.
 
-    One batch is in memory at a time (Spark bounds it by rows and bytes), nothing is shuffled, and a
-    lost task only repeats its own partition.
+    One batch is in memory at a time (Spark bounds it by rows and bytes) and ``SLICE`` of its rows as Python
+    objects; nothing is shuffled, and a lost task only repeats its own partition.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,14 +51,29 @@ def over_rows(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                out = fn(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow
+                )
 
     return df.mapInArrow(run, schema)
 
 
+def each_text(text: Column, fn: Callable[[bytes | None], object], kind: pa.DataType) -> Column:
+    """A column of ``fn(text as UTF-8 bytes)``. Only texts cross to Python, ``SLICE`` at a time as objects."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    @F.arrow_udf(from_arrow_type(kind))
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [
+            pa.array([fn(t) for t in texts.slice(at, SLICE).to_pylist()], type=kind) for at in range(0, len(texts), SLICE)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    return run(text.cast("string").cast("binary"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one is made up only where the session names none."""
     sc = spark.sparkContext

@@ -23,11 +23,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, over_rows, table, text_bytes
+from .common import crc_fold, each_text, over_rows, table, text_bytes
 
 PROFILE = 400
 SAMPLE_DOCS = 2000
@@ -139,13 +139,9 @@ def predict(df: DataFrame, model: Profiles, keep: list[Column], text_col: str =
 
 
 def judged(model: Profiles, text: Column) -> Column:
-    """A struct (lang_pred, score) for each text. Only texts cross to Python."""
-    @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [model.predict(None if t is None else bytes(t)) for t in texts]
-        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
-
-    return run(text.cast("string").cast("binary"))
+    """A struct (lang_pred, score) for each text."""
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+    return each_text(text, lambda t: dict(zip(("lang_pred", "score"), model.predict(t))), kind)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

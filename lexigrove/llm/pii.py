@@ -27,11 +27,11 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_rows, table, text_bytes
+from .common import each_text, over_rows, table, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -267,12 +267,8 @@ def blank_out(text: str) -> str:
 
 
 def redacted(text: Column) -> Column:
-    """The text with its personal data blanked out; null stays null. Only texts cross to Python."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else blank_out(_text(bytes(t))) for t in texts], dtype=object)
-
-    return run(text.cast("string").cast("binary"))
+    """The text with its personal data blanked out; null stays null."""
+    return each_text(text, lambda t: None if t is None else blank_out(_text(t)), pa.string())
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_rows, saved, table, text_bytes
+from .common import each_text, over_rows, saved, table, text_bytes
 from .components import components
 
 BITS = 4
@@ -230,13 +229,9 @@ def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
     The ids and fingerprints that stay are found first; texts are dealt once, to be matched with them.
     """
 
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signed(fingerprint(None if t is None else bytes(t))) for t in texts], dtype="int64")
-
     keys = ["__lx_id", "__lx_null", "__lx_fp"]
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1])]
     found = near_duplicates(docs, bits=bits)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*own, F.col("fp").alias(keys[2])).distinct()
-    marked = docs.select("*", *own, print_of(text_bytes()).alias(keys[2]))
+    marked = docs.select("*", *own, each_text(F.col("text"), lambda t: _signed(fingerprint(t)), pa.int64()).alias(keys[2]))
     return marked.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
