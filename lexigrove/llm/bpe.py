@@ -17,6 +17,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import over_rows, table, text_bytes
 
 #: Pre-tokens held per generation of the memo (two generations), per worker.
-MEMO = 400_000
-#: Pre-tokens over this many bytes are not kept in the memo.
-MEMO_BYTES = 64
+MEMO = 250_000
+#: Pre-tokens over this many characters are not kept in the memo.
+MEMO_CHARS = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +41,7 @@ class RankQueueBPE:
 
         self.ranks = ranks
         self.vocab = {v: k for k, v in ranks.items()}
+        self.names = {v: str(v) for v in ranks.values()}
         self.find = regex.compile(pattern).findall
         self.leaves = (max(ranks.values(), default=0) >> 8) + 1
         self.young: dict[str, tuple] = {}
@@ -118,27 +120,26 @@ class RankQueueBPE:
         return out
 
     def decode(self, ids) -> bytes:
-        vocab = self.vocab
-        return b"".join([vocab[i] for i in ids])
+        return b"".join(map(self.vocab.__getitem__, ids))
 
-    def _entry(self, token: str) -> tuple:
-        """(number of ids, ids as decimal text, bytes decoded from the ids) of a pre-token, memoised while short."""
+    def decimal(self, ids) -> str:
+        """The ids as decimal text, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
+
+    def _ids(self, token: str) -> tuple[int, ...]:
+        """Ids of a pre-token, memoised while short."""
         found = self.old.get(token)
         if found is None:
-            ids = self.encode_piece(token.encode())
-            found = (len(ids), ",".join(map(str, ids)), self.decode(ids))
-        if len(found[2]) <= MEMO_BYTES:
+            found = tuple(self.encode_piece(token.encode()))
+        if len(token) <= MEMO_CHARS:
             if len(self.young) >= MEMO:
                 self.old, self.young = self.young, {}
             self.young[token] = found
         return found
 
-    def entries(self, text: str) -> list[tuple]:
-        young, slow = self.young.get, self._entry
-        return [young(t) or slow(t) for t in self.find(text)]
-
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries(text) for i in e[1].split(",")]
+        young, slow = self.young.get, self._ids
+        return list(chain.from_iterable([young(t) or slow(t) for t in self.find(text)]))
 
 
 @lru_cache(maxsize=2)
@@ -180,10 +181,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         bpe = engine(path, pattern)
         counts, ids_hash, text_hash, sizes = [], [], [], []
         for t in texts:
-            parts = bpe.entries(_text(t))
-            counts.append(sum([p[0] for p in parts]))
-            ids_hash.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-            whole = b"".join([p[2] for p in parts])
+            ids = bpe.encode(_text(t))
+            counts.append(len(ids))
+            ids_hash.append(hashlib.sha256(bpe.decimal(ids).encode()).hexdigest())
+            whole = bpe.decode(ids)
             text_hash.append(hashlib.sha256(whole).hexdigest())
             sizes.append(len(whole))
         return keys, counts, ids_hash, text_hash, sizes
