@@ -61,7 +61,11 @@ def over_rows(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame
 
 
 def each_text(text: Column, fn: Callable[[bytes | None], object], kind: pa.DataType) -> Column:
-    """A column of ``fn(text as UTF-8 bytes)``. Only texts cross to Python, ``SLICE`` at a time as objects."""
+    """A column of ``fn(text as UTF-8 bytes)``. Only texts cross to Python, ``SLICE`` at a time as objects.
+
+    Declared non-deterministic, though it isn't: otherwise a filter on the column, or a join key, is pushed below it
+    and the function runs once more for each, with another worker in every task.
+    """
     from pyspark.sql.pandas.types import from_arrow_type
 
     @F.arrow_udf(from_arrow_type(kind))
@@ -71,7 +75,7 @@ def each_text(text: Column, fn: Callable[[bytes | None], object], kind: pa.DataT
         ]
         return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
-    return run(text.cast("string").cast("binary"))
+    return run.asNondeterministic()(text.cast("string").cast("binary"))
 
 
 def shared_dir(spark: SparkSession) -> str:
