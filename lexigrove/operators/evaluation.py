@@ -89,7 +89,7 @@ def docs_manifest(questions: DataFrame, order: str = "global_subset_rank") -> Da
     return questions.groupBy(*key).agg(
         F.count("*").alias("n_questions"),
         F.array_join(F.sort_array(F.collect_set("question_type")), ", ").alias("question_types"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "financebench_id"))), lambda x: x["financebench_id"]), ", ").alias("financebench_ids"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("financebench_id").alias("id")))), lambda x: x["id"]), ", ").alias("financebench_ids"),
     )
 
 
