@@ -31,7 +31,7 @@ def optional_text(text: Column) -> Column:
 
 
 def optional_int(value: Column) -> Column:
-    return strip(value.cast("string")).try_cast("double").cast("int")
+    return strip(value.cast("string")).try_cast("double").try_cast("int")
 
 
 def squeeze(text: Column) -> Column:
