@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash
+from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash, sql
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_repetition": sql.OP2, "op3_bm25": sql.OP3}
