@@ -11,7 +11,8 @@ keeping, for each character they emit, the source characters it stands for:
 4. letters that look like digits (O, o, l, I) inside long runs of digits become digits.
 
 The detectors run again on what the transducers emit; a hit is mapped back to source positions and added
-if it overlaps no base span and no earlier added one. Base spans always stay.
+if it overlaps no span found before, or contains it whole (``аlice@example.com`` whose first letter is Cyrillic). Base
+spans always stay.
 
 Work per text is linear: the patterns are possessive or anchored at ``@``, ``+`` or the start of a digit run,
 which gives the same matches as the plain leftmost patterns.
@@ -96,6 +97,8 @@ LOOKALIKES = {
 }
 #: Marks that stand for an ASCII one, and characters without width.
 MARKS = {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹫": "@", "\xa0": " ", " ": " ", " ": " "}
+#: Escapes of the at-sign and the dot.
+ESCAPES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": ".", "%2e": "."}
 NO_WIDTH = "​‌‍⁠﻿\xad"
 
 
@@ -114,6 +117,9 @@ def _characters() -> tuple[frozenset, dict[str, str]]:
     return frozenset(table), table
 
 
+_ESCAPE = re.compile("|".join(map(re.escape, ESCAPES)), re.IGNORECASE)
+
+
 class Mapped:
     """A string with the source span of each of its characters."""
 
@@ -126,30 +132,40 @@ class Mapped:
 
 def _plain_characters(text: str) -> Mapped:
     found, table = _characters()
-    if text.isascii() or found.isdisjoint(set(text)):
+    escaped = ("&" in text or "%" in text) and _ESCAPE.search(text)
+    if not escaped and (text.isascii() or found.isdisjoint(set(text))):
         return Mapped(text)
     out, starts, ends = [], [], []
-    for i, c in enumerate(text):
-        c = table.get(c, c)
-        if c:
-            out.append(c)
-            starts.append(i)
-            ends.append(i + 1)
+    done = 0
+    for m in [*(_ESCAPE.finditer(text) if escaped else ()), None]:
+        stop = m.start() if m else len(text)
+        for i in range(done, stop):
+            c = table.get(text[i], text[i])
+            if c:
+                out.append(c)
+                starts.append(i)
+                ends.append(i + 1)
+        if m:
+            out.append(ESCAPES[m[0].lower()])
+            starts.append(m.start())
+            ends.append(m.end())
+            done = m.end()
     return Mapped("".join(out), starts, ends)
 
 
 #: Last labels that a spelled address must end in.
 LAST_LABELS = "com org net edu gov info biz io ai co uk us eu de fr es it nl ch at be ca au nz ie in jp cn br mx pl se no dk fi ru dev app me tv".split()
 _AT_WORD, _DOT_WORD = "(?:at|arobase|arroba)", "(?:dot|punkt|punto|point)"
-_AT = rf"(?:@|\s{{0,3}}[\[({{<]\s{{0,3}}(?:@|{_AT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}{_AT_WORD}\s{{1,3}})"
-_DOT = rf"(?:\.|\s{{0,3}}[\[({{<]\s{{0,3}}(?:\.|{_DOT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}{_DOT_WORD}\s{{1,3}})"
+_AT = rf"(?:\s{{0,3}}@\s{{0,3}}|\s{{0,3}}[\[({{<]\s{{0,3}}(?:@|{_AT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}-?{_AT_WORD}-?\s{{1,3}}|[-_]{_AT_WORD}[-_])"
+_DOT = rf"(?:\.|\s{{0,3}}[\[({{<]\s{{0,3}}(?:\.|{_DOT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}-?{_DOT_WORD}-?\s{{1,3}}|[-_]{_DOT_WORD}[-_])"
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?)(?P<at>{_AT})"
     rf"(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
-_ADDRESS_HINT = re.compile(rf"[\[({{<]\s*(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s{_DOT_WORD}\s", re.IGNORECASE)
+_ADDRESS_HINT = re.compile(rf"[\[({{<]\s*(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s-?{_DOT_WORD}-?\s|[-_]{_DOT_WORD}[-_]|\s@|@\s|[0-9._]\s+{_AT_WORD}\s", re.IGNORECASE)
 _ONE_DOT = re.compile(_DOT, re.IGNORECASE)
+_DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 
 #: Digits in words (English, German, French, Spanish).
 SPELLED = {
@@ -165,24 +181,30 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?{_UNIT}(?:{_GAP}{_U
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,().-]{{1,3}}(?:{_WORDS}|{_DOT_WORD}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<dot>{_DOT_WORD}|\.)|(?P<word>{_WORDS})(?!\w)|(?P<digit>[0-9])|(?P<skip>[\s,()-])", re.IGNORECASE)
-_LOOKALIKE_DIGITS = re.compile(r"(?<![\w+])\+?[0-9OolI](?:[\x20-]?[0-9OolI]){9,40}(?!\w)")
-_LOOKALIKE_HINT = re.compile(r"[0-9][\x20-]?[OolI]|[OolI][\x20-]?[0-9]")
-_TO_DIGIT = str.maketrans("OolI", "0011")
+_LOOKALIKE_DIGITS = re.compile(r"(?<![\w+])(?:\+[0-9OolIBS][\x20().0-9OolIBS-]{8,40}[0-9OolIBS]|[0-9OolIBS](?:[\x20-]?[0-9OolIBS]){9,40})(?!\w)")
+_LOOKALIKE_HINT = re.compile(r"[0-9][\x20-]?[OolIBS]|[OolIBS][\x20-]?[0-9]")
+_TO_DIGIT = str.maketrans("OolIBS", "001185")
 
 
 def _disguised_addresses(text: str):
+    """(start, kind, end) of addresses with a spelled, bracketed or spaced at-sign or dot."""
     if not _ADDRESS_HINT.search(text):
         return
     for m in _DISGUISED.finditer(text):
         labels = _ONE_DOT.split(m["domain"])
-        bare = m["at"].strip().isalpha()
+        at = m["at"].strip(" \t\n\r-_")
+        bare = at.isalpha()
         spelled = m["domain"].count(".") < len(labels) - 1 or re.search(r"\s", m["domain"])
-        if bare and not (spelled and labels[-1].lower() in LAST_LABELS):
+        if not labels[-1].isalpha() or len(labels[-1]) < 2:
             continue
-        if m["at"] == "@" and not spelled:
+        # A bare word needs a known last label, and a spelled dot or a name that is no plain word.
+        if bare and not (labels[-1].lower() in LAST_LABELS and (spelled or re.search(r"[0-9._]", m["local"]))):
             continue
-        if labels[-1].isalpha() and len(labels[-1]) >= 2:
+        if m["at"] != "@" or spelled:
             yield m.start(), 0, m.end()
+    for m in _DISGUISED_IP.finditer(text):
+        if not _IP.fullmatch(m[0]) and all(map(_small, _ONE_DOT.split(m[0]))):
+            yield m.start(), 1, m.end()
 
 
 def _rewritten_numbers(text: str):
@@ -220,7 +242,9 @@ def find(text: str) -> tuple[list, list]:
         taken = [(s, e) for s, _, e in base]
         for s, kind, e in sorted(hits, key=lambda h: (h[0], h[1])):
             s, e = plain.source(s, e)
-            if all(e <= a or b <= s for a, b in taken):
+            touched = [(a, b) for a, b in taken if a < e and s < b]
+            # It may contain base spans, if what it has besides isn't just marks that stand for ASCII ones.
+            if all(s <= a and b <= e and e - s > b - a and MARKS.keys().isdisjoint(text[s:a] + text[b:e]) for a, b in touched):
                 taken.append((s, e))
                 added.append((s, kind, e))
     return base, added
