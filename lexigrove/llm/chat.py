@@ -32,8 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import crc_fold, saved, table
 
@@ -181,25 +184,24 @@ def render(role: str, text: str) -> str:
 
 
 _ORDER = ["__piece", "__conv", "conv_id", "turn", "__hash"]
+_KEPT = ["__piece", "__conv", "conv_id", "turn", "text", "copies"]
+#: Turns put in one batch of results.
+_TURNS = 2000
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each (piece, conversation), which arrive together."""
-    held: list[pd.DataFrame] = []
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((piece, conversation), its rows of (conv_id, turn, text, copies)), which arrive together."""
+    held: list[tuple] = []
     held_key = None
     for batch in batches:
-        if not len(batch):
-            continue
-        key = list(zip(batch["__piece"], batch["__conv"]))
-        edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and key[a] != held_key:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(batch.iloc[a:b])
-            held_key = key[a]
+        for piece, conv, *row in zip(*(batch.column(c).to_pylist() for c in _KEPT)):
+            if (piece, conv) != held_key:
+                if held:
+                    yield held_key, held
+                held, held_key = [], (piece, conv)
+            held.append(tuple(row))
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield held_key, held
 
 
 def format_turns(rows: DataFrame, model: Model) -> DataFrame:
@@ -212,17 +214,17 @@ def format_turns(rows: DataFrame, model: Model) -> DataFrame:
     shared = data.groupBy("__conv", "__piece").agg(F.lit(1).alias("one")).groupBy("__conv").agg(F.count("*").alias("n")).where("n > 1")
     seams: dict[tuple[str, int], tuple[int | None, int | None]] = {}
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in _pieces(batches):
-            scores = [model.score(*u) for t in piece["text"] for u in units(t)]
-            out = [passage(model, scores, first).ravel().tolist() for first in (True, False)]
-            yield pd.DataFrame({"conv": [piece["__conv"][0]], "piece": [piece["__piece"][0]], "at_start": [out[0]], "later": [out[1]]})
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (piece, conv), rows in _pieces(batches):
+            scores = [model.score(*u) for _, _, text, _ in rows for u in units(text)]
+            ways = [pa.array([passage(model, scores, first).ravel().tolist()], pa.list_(pa.float64())) for first in (True, False)]
+            yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([piece], pa.int32()), *ways], names=["conv", "piece", "at_start", "later"])
 
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition("__piece").sortWithinPartitions(*_ORDER)
 
     edge = data.join(shared.select("__conv"), "__conv", "left_semi").select(*data.columns)
-    found = in_order(edge).mapInPandas(report, "conv string, piece int, at_start array<double>, later array<double>").collect()
+    found = in_order(edge).mapInArrow(report, "conv string, piece int, at_start array<double>, later array<double>").collect()
     k = len(model.roles)
     by_conv = defaultdict(list)
     for r in found:
@@ -240,31 +242,31 @@ def format_turns(rows: DataFrame, model: Model) -> DataFrame:
         for i, r in enumerate(parts):
             seams[conv, r.piece] = (ends[i - 1] if i else None, ends[i])
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in _pieces(batches):
-            cut = [units(t) for t in piece["text"]]
-            scores = [model.score(*u) for parts in cut for u in parts]
-            path = iter(decode(model, scores, *seams.get((piece["__conv"][0], piece["__piece"][0]), (None, None))))
-            out = [
-                (i, j, model.roles[role := next(path)], render(model.roles[role], u[1]))
-                for i, parts in enumerate(cut)
-                for j, u in enumerate(parts)
-            ]
-            rows = piece.iloc[[o[0] for o in out]]
-            yield pd.DataFrame(
-                {
-                    "conv_id": rows["conv_id"].array,
-                    "turn": rows["turn"].array,
-                    "part": [o[1] for o in out],
-                    "role_pred": [o[2] for o in out],
-                    "rendered": [o[3] for o in out],
-                    "copies": rows["copies"].array,
-                }
-            )
-
     kinds = dict(rows.select("conv_id", "turn").dtypes)
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, part int, role_pred string, rendered string, copies long"
-    return in_order(data).mapInPandas(write, schema)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush():
+            columns = zip(*out) if out else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for (piece, conv), rows in _pieces(batches):
+            cut = [units(text) for _, _, text, _ in rows]
+            scores = [model.score(*u) for parts in cut for u in parts]
+            path = iter(decode(model, scores, *seams.get((conv, piece), (None, None))))
+            for (conv_id, turn, _, copies), parts in zip(rows, cut):
+                for j, (_, text) in enumerate(parts):
+                    role = model.roles[next(path)]
+                    out.append((conv_id, turn, j, role, render(role, text), copies))
+            if len(out) >= _TURNS:
+                yield flush()
+                out = []
+        yield flush()
+
+    return in_order(data).mapInArrow(write, schema)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
