@@ -83,14 +83,12 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if base:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(base)
-        return base
+        # With its scheme: a bare path means a folder of the cluster's default file system.
+        target = sc._jvm.org.apache.hadoop.fs.Path(base)
+        return target.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(target).toString()
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = f"file://{tempfile.mkdtemp(prefix='lexigrove-')}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(made)
     return made
 
 
