@@ -32,8 +32,6 @@ CHUNK_NOISE = [
 # Words left out of lexical queries, and short ones that count.
 STOPWORDS = "what are the in did how main of or and to by for with on from a an their its annual report".split()
 SHORT_TOKENS = "ai ar vr ml ui ux eps".split()
-NO_SPACE_BEFORE = [".", ",", ";", ":", "!", "?", "%", ")", "]", "}"]
-NO_SPACE_AFTER = ["(", "[", "{", "$"]
 
 # Company names in queries, in order, and the years that count.
 COMPANY_ALIASES = [("adobe", "adobe"), ("lockheed martin", "lockheedmartin"), ("lockheedmartin", "lockheedmartin"), ("pfizer", "pfizer")]
