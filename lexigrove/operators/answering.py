@@ -159,6 +159,37 @@ def hash_encoder(size: int = 16) -> Callable[[list[str]], list[list[float]]]:
     return encode
 
 
+def direct_prompt() -> str:
+    return "Use only the numbered sources. Give JSON with answer, citations (doc_id, page) and safety_flags. Say so if the sources don't hold the answer."
+
+
+def judge_prompt(question: Column, context: Column, answer: Column) -> Column:
+    return F.concat(F.lit("Is the answer supported by the context? Reply yes or no.\nQUESTION:\n"), question, F.lit("\nCONTEXT:\n"), context, F.lit("\nANSWER:\n"), answer)
+
+
+def answer_questions(questions: DataFrame, retrieved: DataFrame, call: Callable[[str, int], str]) -> DataFrame:
+    """Grounded answers for a batch: context, prompt, model, citations inside what was retrieved, safety flags.
+
+    ``questions`` has query_id and query_text; ``retrieved`` has the ranked chunks of each. One row a question; a question
+    without any chunk is asked with an empty context.
+    """
+    from .evaluation import json_list, valid_citations
+
+    asked = questions.join(context_blocks(retrieved), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    prompted = asked.withColumn("prompt", F.concat(F.lit(direct_prompt() + "\n\n"), user_prompt(F.col("query_text"), F.col("context"))))
+    said = call_rows(prompted, "query_id", "prompt", call)
+    shape = F.from_json("response", "answer string, citations string")
+    out = prompted.join(said, "query_id").withColumn("answer", F.coalesce(shape["answer"], F.lit(""))).withColumn("raw", shape["citations"])
+    cited = out.select(F.col("query_id").alias("question_id"), F.posexplode(json_list(F.col("raw"), "array<struct<doc_id: string, page: string>>")).alias("at", "c"))
+    good = valid_citations(cited.select("question_id", "at", "c.doc_id", "c.page"), retrieved.withColumnRenamed("query_id", "question_id"))
+    lists = good.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "page"))).alias("citations"))
+    out = out.join(lists.withColumnRenamed("question_id", "query_id"), "query_id", "left")
+    n = F.coalesce(F.size("citations"), F.lit(0))
+    from ..functions import guard
+
+    return out.select("query_id", "query_text", "context", "answer", "citations", "status", "error_message", guard.safety_flags(F.col("query_text"), F.col("answer"), F.greatest(n, F.lit(0)), F.lit(0)).alias("safety_flags"))
+
+
 # Tools and the tool loop ---------------------------------------------------------------------------------------
 
 

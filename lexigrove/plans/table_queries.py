@@ -325,6 +325,53 @@ def join3(spark, sf):
     return out.select(F.col("chunk_id").alias("doc_id"), "entity_count", "knowledge_text")
 
 
+@query(
+    "join4_entity_context",
+    f"{_entity_sql} SELECT e.chunk_id, e.x AS entity_text, c.page_start, length(c.chunk_text)::INT AS chars FROM entities e LEFT JOIN chunks c ON c.chunk_id = e.chunk_id AND c.doc_id % 2 = 0 WHERE e.kind = 'company'",
+)
+def join4(spark, sf):
+    found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'").drop("page_start", "page_end")
+    inside = M.chunks(spark, sf).where("doc_id % 2 = 0").select("chunk_id", "chunk_text", "page_start")
+    return found.join(inside, "chunk_id", "left").select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
+
+
+@query("join5_mentions")
+def join5(spark, sf):
+    """Competitor mentions of both kinds with their evidence, end to end."""
+    answers = _responses(spark, sf)
+    rows = M.chunks(spark, sf).withColumn("page_end", F.col("page_start"))
+    return knowledge.knowledge(knowledge.entities(answers), knowledge.triplets(answers), rows).mentions.drop("chunk_text")
+
+
+@query("flt7_loose_filter", "SELECT doc_id FROM documents WHERE lower(regexp_replace('Co-' || source, '[^\\p{L}\\p{N}]+', '', 'g')) = 'cosrc3' AND 2022 + doc_id % 3 = 2023")
+def flt7(spark, sf):
+    from ..operators.answering import loose
+
+    rows = M.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Co-"), "source").alias("company"), (F.col("doc_id") % 3 + 2022).cast("string").alias("year"))
+    return loose(rows, "CO src3", 2023).select("doc_id")
+
+
+@query("flt8_exact_filter", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
+def flt8(spark, sf):
+    docs = M.read(spark, sf, "documents")
+    return docs.where(F.col("source").isin("src1", "src2") & (F.col("lang") == "en")).select("doc_id")
+
+
+@query("join12_mode_grid", "SELECT item_id, mode, k::INT AS k FROM benchmark, (SELECT unnest(['classical_ml', 'naive', 'improved']) AS mode), (SELECT unnest([3, 5]) AS k)")
+def join12(spark, sf):
+    modes = F.explode(F.array(*[F.lit(m) for m in V.MODES]))
+    grid = M.read(spark, sf, "benchmark").select("item_id", modes.alias("mode"))
+    return grid.withColumn("k", F.explode(F.array(F.lit(3), F.lit(5))))
+
+
+@query("join13_cached_vector", f"SELECT d.doc_id, e.embedding[1]::DOUBLE AS first FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN labels l ON l.doc_id = d.doc_id")
+def join13(spark, sf):
+    docs = incremental.with_hash(M.read(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "text_hash")
+    cache = docs.join(M.read(spark, sf, "embeddings"), docs.doc_id == F.col("vec_id")).select("doc_id", "text_hash", "embedding")
+    wanted = docs.join(M.read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return wanted.join(cache, ["doc_id", "text_hash"]).select("doc_id", F.col("embedding")[0].cast("double").alias("first"))
+
+
 # Evaluation ----------------------------------------------------------------------------------------------------
 
 
