@@ -115,3 +115,14 @@ def test_no_python_in_the_plan(spark):
     df, _ = docs(spark, random.Random(14), 50)
     plan = mixing.mix(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_nulls_and_repeated_rows(spark):
+    rows = [(None, None, None, None), (None, "a b c", None, None), (1, "a b", "s", None)] + [(2, "x y z", "s", None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    assert {r["__source_size"] for r in out if r.doc_id is None} == {3} and {r["__source_size"] for r in out if r.doc_id} == {17}
+    assert len({tuple(r["__shards"]) for r in out if r.doc_id == 2}) == 1  # equal rows are taken alike
+    assert all(len(r["__shards"]) <= 3 for r in out)
+    assert mixing.sample(df).columns == df.columns
