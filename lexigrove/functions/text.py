@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,15 @@ _TERM = r"[A-Za-z][A-Za-z0-9'\-]*"
 _CHUNK_TOKEN = r"[A-Za-z0-9]+(?:['\-][A-Za-z0-9]+)*|[^\p{L}\p{N}_\s\p{Z}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column used several times in an expression is text that is copied, and inside conditions and lambdas Spark
+    computes each copy; a lambda's variable is a value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode blanks at either end."""
     return F.regexp_replace(text, _EDGE, "")
@@ -21,8 +30,8 @@ def strip(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Optional text: null and the word nan become empty."""
-    out = strip(F.coalesce(text.cast("string"), F.lit("")))
-    return F.when(F.lower(out) == "nan", "").otherwise(out)
+    stripped = strip(F.coalesce(text.cast("string"), F.lit("")))
+    return F.regexp_replace(stripped, "(?i)^nan$", "")
 
 
 def optional_text(text: Column) -> Column:
@@ -54,10 +63,14 @@ def any_of(text: Column, patterns: Iterable[str]) -> Column:
 
 def hits(text: Column, patterns: Iterable[str]) -> Column:
     """How many of the patterns are found."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + text.rlike(p).cast("int")
-    return total
+
+    def count(x: Column) -> Column:
+        total = F.lit(0)
+        for p in patterns:
+            total = total + x.rlike(p).cast("int")
+        return total
+
+    return let(text, count)
 
 
 def slug(text: Column) -> Column:
@@ -82,9 +95,12 @@ def year_hint(name: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Upper case after anything but a letter, lower case otherwise."""
-    low = F.lower(text)
-    first = lambda i: (i == 0) | ~low.substr(i, F.lit(1)).rlike(r"\p{L}")
-    return F.array_join(F.transform(F.split(low, ""), lambda c, i: F.when(first(i), F.upper(c)).otherwise(c)), "")
+
+    def cased(low: Column) -> Column:
+        first = lambda i: (i == 0) | ~low.substr(i, F.lit(1)).rlike(r"\p{L}")
+        return F.array_join(F.transform(F.split(low, ""), lambda c, i: F.when(first(i), F.upper(c)).otherwise(c)), "")
+
+    return let(F.lower(text), cased)
 
 
 def preview(text: Column, size: int = 280) -> Column:
@@ -124,8 +140,8 @@ def terms(text: Column, drop_stopwords: bool = False) -> Column:
 
 def coverage(query_terms: Column, text_terms: Column) -> Column:
     """Share of the distinct query terms found in the text; 0 without query terms."""
-    wanted = F.array_distinct(query_terms)
-    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(F.array_intersect(wanted, text_terms)) / F.size(wanted))
+    share = lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.array_intersect(w, text_terms)) / F.size(w))
+    return let(F.array_distinct(query_terms), share)
 
 
 # Tokens of chunks ------------------------------------------------------------------------------------------

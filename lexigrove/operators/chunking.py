@@ -171,12 +171,13 @@ def chunk_documents(pages: DataFrame, method: str = "token", limit: int | None =
 def navigation(text: Column) -> Column:
     """Whether a chunk is mostly boilerplate: its first 20 lines are headings of it and it has few words."""
     from ..functions import values as V
-    from ..functions.text import any_of, strip
-
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.transform(F.split(text, r"\R"), strip), lambda x: x != "")
-    head = F.slice(lines, 1, 20)
-    noise = F.size(F.filter(head, lambda x: x.isin(V.CHUNK_NOISE_EXACT) | any_of(x, V.CHUNK_NOISE)))
-    n = word_count(text)
-    share = noise / F.greatest(F.lit(1), F.size(head))
-    return (F.size(head) == 0) | ((n < 40) & (noise == F.size(head))) | ((n < 80) & (share >= 0.7))
+    from ..functions.text import any_of, let, strip
+
+    lines = lambda x: F.filter(F.transform(F.split(x, r"\R"), strip), lambda y: y != "")
+
+    def judged(n: Column, head: Column) -> Column:
+        noise = F.size(F.filter(head, lambda x: x.isin(V.CHUNK_NOISE_EXACT) | any_of(x, V.CHUNK_NOISE)))
+        few = (n < 40) & (noise == F.size(head))
+        return (F.size(head) == 0) | ((n < 80) & (few | (noise / F.greatest(F.lit(1), F.size(head)) >= 0.7)))
+
+    return let(F.coalesce(text, F.lit("")), lambda x: let(word_count(x), lambda n: let(F.slice(lines(x), 1, 20), lambda h: judged(n, h))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import any_of, hits, preview, squeeze, strip, title_case, word_count
+from ..functions.text import any_of, hits, let, preview, squeeze, strip, title_case, word_count
 from .incremental import keep_first
 
 ENTITIES = "array<struct<entity_text: string, entity_type: string, confidence: string>>"
@@ -162,33 +162,40 @@ def _low(text: Column) -> Column:
     return F.lower(squeeze(text))
 
 
-def source_company(name: Column) -> Column:
-    low = _low(name)
-    out = low
+def _canonical(low: Column, otherwise: Column) -> Column:
+    out = otherwise
     for company, others in V.SOURCE_ALIASES.items():
         out = F.when(low.isin([company, *others]), company).otherwise(out)
     return out
 
 
+def source_company(name: Column) -> Column:
+    return let(_low(name), lambda low: _canonical(low, low))
+
+
 def competitor_name(text: Column) -> Column:
     """Source companies by their own name; others without legal suffixes, in title case."""
-    low = _low(text)
-    cleaned = low
-    for suffix in V.LEGAL_SUFFIXES:
-        cleaned = strip(F.regexp_replace(cleaned, f"(?i){suffix}", ""))
-    cleaned = squeeze(cleaned)
-    out = F.when(cleaned == "", squeeze(text)).otherwise(title_case(cleaned))
-    for company, others in V.SOURCE_ALIASES.items():
-        out = F.when(low.isin([company, *others]), company).otherwise(out)
-    return out
+
+    def bare(low: Column) -> Column:
+        for suffix in V.LEGAL_SUFFIXES:
+            low = strip(F.regexp_replace(low, f"(?i){suffix}", ""))
+        return squeeze(low)
+
+    def name(low: Column) -> Column:
+        title = let(bare(low), lambda x: F.when(x == "", squeeze(text)).otherwise(title_case(x)))
+        return _canonical(low, title)
+
+    return let(_low(text), name)
 
 
 def is_self(text: Column, company: Column) -> Column:
-    low, own = _low(text), source_company(company)
-    same = low == own
-    for name, others in V.SOURCE_ALIASES.items():
-        same = same | ((own == name) & low.isin([name, *others]))
-    return same
+    def same(low: Column, own: Column) -> Column:
+        out = low == own
+        for name, others in V.SOURCE_ALIASES.items():
+            out = out | ((own == name) & low.isin([name, *others]))
+        return out
+
+    return let(_low(text), lambda low: let(source_company(company), lambda own: same(low, own)))
 
 
 def is_name(text: Column) -> Column:
