@@ -93,15 +93,19 @@ def docs_manifest(questions: DataFrame, order: str = "global_subset_rank") -> Da
     )
 
 
-def scope_label(scope: DataFrame, empty: str = "no configured company/year pairs") -> str:
-    """(company, year) pairs as text: a run of years as a range."""
-    years = F.sort_array(F.collect_set("year"))
-    rows = scope.groupBy("company").agg(years.alias("years"))
-    run = (F.size("years") >= 2) & (F.element_at("years", -1) - F.element_at("years", 1) + 1 == F.size("years"))
-    span = F.concat(F.element_at("years", 1).cast("string"), F.lit("-"), F.element_at("years", -1).cast("string"))
+def scope_labels(scope: DataFrame) -> DataFrame:
+    """(company, label) from (company, year): a run of years as a range, others one by one."""
+    rows = scope.groupBy("company").agg(F.sort_array(F.collect_set("year")).alias("years"))
+    first, last = F.element_at("years", 1), F.element_at("years", -1)
+    run = (F.size("years") >= 2) & (last - first + 1 == F.size("years"))
+    span = F.concat(first.cast("string"), F.lit("-"), last.cast("string"))
     label = F.when(run, span).otherwise(F.array_join(F.col("years").cast("array<string>"), ", "))
-    parts = [r.label for r in rows.select("company", F.concat(F.lit("`"), "company", F.lit(" "), label, F.lit("`")).alias("label")).orderBy("company").collect()]
-    return ", ".join(parts) or empty
+    return rows.select("company", F.concat(F.lit("`"), "company", F.lit(" "), label, F.lit("`")).alias("label"))
+
+
+def scope_label(scope: DataFrame, empty: str = "no configured company/year pairs") -> str:
+    """All labels of a scope as one line."""
+    return ", ".join(r.label for r in scope_labels(scope).orderBy("company").collect()) or empty
 
 
 # Runs ----------------------------------------------------------------------------------------------------------

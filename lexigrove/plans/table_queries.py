@@ -143,7 +143,7 @@ def _responses(spark, sf):
     found = F.transform("w", lambda x, i: F.struct(x.alias("entity_text"), kind(i).alias("entity_type"), ((i % 13) / 10.0).alias("confidence")))
     names = ["offers", "COMPETITOR_OF", "LED_BY", "REPORTS", "likes", "MENTIONS"]
     name = lambda i: F.element_at(F.array(*[F.lit(t) for t in names]), (i % len(names)).cast("int") + 1)
-    after = lambda x, i: F.concat(F.initcap(x), F.lit(" "), F.when(i % 4 == 0, "$5 revenue").when(i % 4 == 1, "Smith").otherwise("products"))
+    after = lambda x, i: F.concat(x, F.lit(" "), F.when(i % 4 == 0, "$5 revenue").when(i % 4 == 1, "Smith").otherwise("products"))
     related = F.transform("w", lambda x, i: F.struct(x.alias("entity_a"), name(i).alias("relation"), after(x, i).alias("entity_b")))
     return docs.select(
         "chunk_id",
@@ -169,10 +169,19 @@ def ent1(spark, sf):
     return knowledge.entities(_responses(spark, sf)).select("chunk_id", "entity_text", "entity_type", "confidence", "year")
 
 
-@query("ent2_triplets")
+_triplet_sql = f"""WITH {M.CHUNKS}, w AS (SELECT chunk_id, company, fiscal_year, {M.word_list('chunk_text')} AS w FROM chunks),
+ e AS (SELECT chunk_id, company, fiscal_year, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+ t AS (SELECT *, a || ' ' || ['$5 revenue', 'Smith', 'products', 'products'][i % 4 + 1] AS b, ['OFFERS', 'COMPETES_WITH', 'LEADS_BY', 'REPORTS', NULL, 'MENTIONS'][i % 6 + 1] AS rel FROM e),
+ ok AS (SELECT * FROM t WHERE rel IS NOT NULL AND length(a) >= 2 AND lower(a) NOT IN ({M.quoted(V.GENERIC_ENDS)}) AND lower(b) NOT IN ({M.quoted(V.GENERIC_ENDS)}) AND lower(a) <> lower(b)
+ AND (rel <> 'OFFERS' OR lower(b) NOT IN ({M.quoted(V.NOT_OFFERS)})) AND (rel <> 'REPORTS' OR {M.found('lower(b)', V.METRIC_SIGNALS)})
+ AND (rel <> 'LEADS_BY' OR (lower(b) NOT IN ({M.quoted(V.NOT_LEADERS)}) AND NOT {M.found('lower(b)', V.NOT_LEADER_PATTERNS)} AND i % 4 = 1 AND regexp_matches(a, '^\\p{{Lu}}')))),
+ triplets AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(a), rel, lower(b) ORDER BY i) = 1)"""
+
+
+@query("ent2_triplets", f"{_triplet_sql} SELECT chunk_id, a AS entity_a, rel AS relation, b AS entity_b, fiscal_year AS year, company FROM triplets")
 def ent2(spark, sf):
-    """Relations from model answers; the rules are compared with a plain model in the tests."""
-    return knowledge.triplets(_responses(spark, sf)).drop("ordinal")
+    """Relations from model answers, after all rules."""
+    return knowledge.triplets(_responses(spark, sf)).select("chunk_id", "entity_a", "relation", "entity_b", "year", "company")
 
 
 @query(
@@ -197,7 +206,10 @@ def agg3(spark, sf):
     return knowledge.top_counts(knowledge.entities(_responses(spark, sf)), ["entity_text", "entity_type"], "year", 25)
 
 
-@query("agg4_top_triplets")
+@query(
+    "agg4_top_triplets",
+    f"{_triplet_sql} SELECT rel AS relation, a AS entity_a, b AS entity_b, count(*)::BIGINT AS mentions, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year FROM triplets GROUP BY 1, 2, 3 ORDER BY mentions DESC, relation, entity_a, entity_b LIMIT 25",
+)
 def agg4(spark, sf):
     return knowledge.top_counts(knowledge.triplets(_responses(spark, sf)), ["relation", "entity_a", "entity_b"], "year", 25)
 
@@ -238,6 +250,28 @@ def cmp3(spark, sf):
     return rows.select("p_partkey", knowledge.is_blacklisted(x).alias("blacklisted"), knowledge.is_generic(x).alias("generic"), knowledge.has_signal(x).alias("signal"))
 
 
+@query(
+    "cmp1_source_company",
+    """SELECT n_nationkey, CASE WHEN lower(x) IN ('adobe', 'adobe inc.', 'adobe inc') THEN 'adobe' WHEN lower(x) IN ('lockheed martin', 'lockheed martin corporation', 'lockheedmartin') THEN 'lockheedmartin' ELSE lower(x) END AS company,
+ n_nationkey % 4 < 2 AS self FROM (SELECT n_nationkey, ['Adobe Inc.', 'LOCKHEED Martin', n_name, 'pfizer'][n_nationkey % 4 + 1] AS x FROM nation)""",
+)
+def cmp1(spark, sf):
+    k = F.col("n_nationkey")
+    x = F.element_at(F.array(F.lit(" Adobe  Inc."), F.lit("LOCKHEED Martin"), F.col("n_name"), F.lit("pfizer")), (k % 4).cast("int") + 1)
+    rows = M.read(spark, sf, "nation").select("n_nationkey", x.alias("x"), F.when(k % 2 == 0, "adobe inc").otherwise("lockheedmartin").alias("own"))
+    return rows.select("n_nationkey", knowledge.source_company(F.col("x")).alias("company"), knowledge.is_self(F.col("x"), F.col("own")).alias("self"))
+
+
+@query(
+    "join5_evidence",
+    f"WITH {M.CHUNKS} SELECT o.o_orderkey, coalesce(CASE WHEN length(chunk_text) > 280 THEN replace(chunk_text[:280], chr(10), ' ') || '...' ELSE replace(chunk_text, chr(10), ' ') END, '') AS chunk_text_preview FROM orders o LEFT JOIN chunks c ON c.doc_id = o.o_orderkey",
+)
+def join5_evidence(spark, sf):
+    found = M.read(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("chunk_id"))
+    texts = M.chunks(spark, sf).select(F.col("doc_id").alias("chunk_id"), "chunk_text")
+    return knowledge.with_evidence(found, texts).select("o_orderkey", "chunk_text_preview")
+
+
 def _mentions(spark, sf):
     """Mentions in the shape of the model: parts named by suppliers."""
     lines, parts = M.read(spark, sf, "lineitem"), M.read(spark, sf, "part").select("p_partkey", "p_brand")
@@ -548,6 +582,16 @@ def agg8(spark, sf):
     return out.select("company", "doc_period", "doc_type", "doc_link", "n_questions", "question_types", F.sha2(F.col("financebench_ids").cast("binary"), 256).alias("ids_sha"))
 
 
+@query(
+    "txt12_scope_labels",
+    """SELECT company, '`' || company || ' ' || CASE WHEN n >= 2 AND hi - lo + 1 = n THEN lo || '-' || hi ELSE years END || '`' AS label FROM
+ (SELECT c_mktsegment || (c_custkey % 40) AS company, count(DISTINCT c_nationkey) AS n, min(c_nationkey) AS lo, max(c_nationkey) AS hi, array_to_string(list_sort(list(DISTINCT c_nationkey)), ', ') AS years FROM customer GROUP BY 1)""",
+)
+def txt12(spark, sf):
+    scope = M.read(spark, sf, "customer").select(F.concat("c_mktsegment", F.col("c_custkey") % 40).alias("company"), F.col("c_nationkey").alias("year"))
+    return evaluation.scope_labels(scope)
+
+
 @query(
     "evl1_questions",
     f"""SELECT sha256({M.strip('text')}) AS question_id, length({M.strip('text')})::INT AS chars, row_number() OVER (ORDER BY item_id)::INT AS question_order FROM benchmark""",
@@ -628,6 +672,14 @@ def str3_tumbling(spark, sf):
 SQL["str3_tumbling"] = SQL["str3_tumbling"].replace("sum(value) AS total", "round(sum(value), 6) AS total")
 
 
+@query(
+    "str3_sliding",
+    "SELECT date_trunc('day', ts) - h * INTERVAL 12 HOUR + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS window_start, event_type, count(*)::BIGINT AS n FROM events, (SELECT unnest([0, 1]) AS h) GROUP BY 1, 2",
+)
+def str3_sliding(spark, sf):
+    return S.tumbling(M.read(spark, sf, "events"), "1 day", "12 hours").drop("total")
+
+
 @query(
     "str3_sessions",
     """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM

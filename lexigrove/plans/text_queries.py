@@ -46,6 +46,34 @@ def txt4(spark, sf):
     return M.read(spark, sf, "documents").select("doc_id", F.sha2(page.cast("binary"), 256).alias("clean_sha"), F.length(page).cast("long").alias("clean_chars"))
 
 
+@query("txt1_characters", f"SELECT doc_id, sha256({_chars}) AS sha FROM (SELECT doc_id, '“a” – ' || text || chr(13) || chr(10) || '…' AS text FROM documents)")
+def txt1(spark, sf):
+    odd = F.concat(F.lit("“a” – "), "text", F.lit("\r\n…"))
+    return M.read(spark, sf, "documents").select("doc_id", F.sha2(clean.characters(odd).cast("binary"), 256).alias("sha"))
+
+
+@query(
+    "txt3_noise_lines",
+    f"SELECT source, l IN ({M.quoted(V.PAGE_NOISE_EXACT)}) OR regexp_matches(l, '{_noise}') AS noise, count(*)::BIGINT AS n FROM (SELECT source, {_line} AS l FROM (SELECT source, unnest(string_split(text || chr(10) || 'Page ' || doc_id || chr(10) || '---', chr(10))) AS l FROM documents)) GROUP BY ALL",
+)
+def txt3(spark, sf):
+    lines = F.split(F.concat("text", F.lit("\nPage "), F.col("doc_id").cast("string"), F.lit("\n---")), "\n")
+    rows = M.read(spark, sf, "documents").select("source", F.explode(lines).alias("l")).select("source", clean.line(F.col("l")).alias("l"))
+    return rows.groupBy("source", clean.is_noise(F.col("l")).alias("noise")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "txt11_upload_metadata",
+    """SELECT 'uploaded_my_' || source || '_notes_2023_' || sha256(text)[:10] AS doc_id, 'my_' || source || '_notes_2023' AS company, 2023 AS fiscal_year, 'txt' AS document_type, length(@S)::INT AS chars FROM documents""".replace("@S", M.strip("text")),
+)
+def txt11(spark, sf):
+    from ..sources import tables
+
+    name = F.concat(F.lit("My "), "source", F.lit(" notes 2023.TXT"))
+    files = M.read(spark, sf, "documents").select(name.alias("file_name"), F.col("text").cast("binary").alias("content"))
+    return tables.upload_pages(files).select("doc_id", "company", "fiscal_year", "document_type", F.length("raw_text").alias("chars"))
+
+
 @query(
     "txt5_page_stats",
     f"""SELECT 'd' || (doc_id // 8) AS doc_id, (doc_id % 8 + 1)::INT AS page_num, length(text)::INT AS raw_char_count, {M.word_count('text')}::INT AS raw_word_count,
@@ -247,8 +275,7 @@ def chk3(spark, sf):
 
 def _headed(spark, sf):
     """Pages whose first line is now and then a section heading."""
-    heads = ["Item 1. Business", "", "ITEM 1A. RISK FACTORS", "", "Competition", "", "Item 1A. Risk Factors", "Operations"]
-    at = F.element_at(F.array(*[F.lit(h) for h in heads]), ((F.col("page_num") * 3 + F.length("raw_text")) % 8).cast("int") + 1)
+    at = F.element_at(F.array(*[F.lit(h) for h in _heads]), ((F.col("page_num") * 3 + F.length("raw_text")) % 8).cast("int") + 1)
     return M.pages(spark, sf).withColumn("clean_text", F.concat(at, F.lit("\n"), "raw_text"))
 
 
@@ -263,10 +290,27 @@ def win1(spark, sf):
     return chunking.annotate(_headed(spark, sf)).select("doc_id", "page_num", "section_id")
 
 
-@query("chk2_token_chunks")
+_heads = ["Item 1. Business", "", "ITEM 1A. RISK FACTORS", "", "Competition", "", "Item 1A. Risk Factors", "Operations"]
+_tight = r"""regexp_replace(regexp_replace(txt, ' ([.,;:!?%)\]}])', '\1', 'g'), '([(\[{$]) ', '\1', 'g')"""
+_pieces = rf"""WITH {M.CHUNKS}, p AS (SELECT doc AS doc_id, page_start AS page_num, [['item_1'], [NULL], ['item_1a'], [NULL], ['competition'], [NULL], ['item_1a'], ['operations']][(page_start * 3 + length(chunk_text)) % 8 + 1][1] AS code,
+ regexp_extract_all([{M.quoted(_heads)}][(page_start * 3 + length(chunk_text)) % 8 + 1] || chr(10) || chunk_text, '{_token}') AS toks FROM chunks),
+ f AS (SELECT *, last_value(code IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num ROWS UNBOUNDED PRECEDING) AS now FROM p),
+ e AS (SELECT *, (now IS NOT NULL AND now <> coalesce(lag(now) OVER (PARTITION BY doc_id ORDER BY page_num), 'front_matter'))::INT AS enters FROM f),
+ s AS (SELECT *, CASE WHEN now IS NULL THEN 'front_matter__01' ELSE now || '__' || lpad((sum(enters) OVER (PARTITION BY doc_id, now ORDER BY page_num ROWS UNBOUNDED PRECEDING))::VARCHAR, 2, '0') END AS section_id FROM e),
+ u AS (SELECT doc_id, section_id, page_num, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM s),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY page_num, i) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, section_id) AS n, min(page_num) OVER (PARTITION BY doc_id, section_id) AS p0 FROM u),
+ r AS (SELECT DISTINCT doc_id, section_id, n, p0, range(0, greatest(0, least(n - 1, n - 40)) + 1, 170) AS reg FROM n),
+ c AS (SELECT doc_id, section_id, p0, unnest(CASE WHEN n <= 200 THEN [0] WHEN reg[-1] + 170 < n AND n - 200 > reg[-1] THEN list_append(reg, n - 200) ELSE reg END) AS start FROM r),
+ g AS (SELECT doc_id, section_id, p0, start, min(page_num) AS page_start, max(page_num) AS page_end, count(*)::INT AS token_count, string_agg(tok, ' ' ORDER BY pos) AS txt FROM c JOIN n USING (doc_id, section_id, p0) WHERE pos >= start AND pos < start + 200 GROUP BY ALL)
+ SELECT doc_id || '_p' || lpad(page_start::VARCHAR, 4, '0') || '_p' || lpad(page_end::VARCHAR, 4, '0') || '_c' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY p0, start) - 1)::VARCHAR, 4, '0') AS chunk_id, section_id, token_count,
+ sha256({M.strip(_tight)}) AS sha FROM g"""
+
+
+@query("chk2_token_chunks", _pieces)
 def chk2(spark, sf):
-    """Token chunks of whole documents, by section. Compared with a plain model in the tests."""
-    return chunking.fixed_chunks(_headed(spark, sf), "token", 200, 30, 40)
+    """Token chunks of whole documents, by section."""
+    out = chunking.fixed_chunks(_headed(spark, sf), "token", 200, 30, 40)
+    return out.select("chunk_id", "section_id", "token_count", F.sha2(F.col("chunk_text").cast("binary"), 256).alias("sha"))
 
 
 @query("chk4_sentence_chunks")
