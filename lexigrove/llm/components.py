@@ -26,9 +26,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     for _ in range(rounds):
-        both = data.select(F.col("a").alias("u"), F.col("b").alias("v")).union(data.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # Large-star: a node's larger neighbours go to its least one. A node without a smaller neighbour is its own
+        # least, so only the others are looked up, and the edges of a hot centre may be split over tasks.
+        lower = data.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+        large = data.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # Small-star: a node and its smaller neighbours go to the least of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(

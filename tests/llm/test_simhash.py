@@ -106,3 +106,25 @@ def test_operator(spark):
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, {least.get(r) for r in roots}))
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rng = random.Random(23)
+    path = [(i, i + 1) for i in range(200)]
+    rng.shuffle(path)
+    star = [(1000, 1000 + i) for i in range(1, 300)] + [(5000 - i, 5000) for i in range(300)]
+    mess = [(rng.randint(10_000, 10_400), rng.randint(10_000, 10_400)) for _ in range(300)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in path + star + mess] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: root(x) for x in linked}
