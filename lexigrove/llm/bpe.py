@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import over_rows, table, text_bytes
 
 #: Pre-tokens held per generation of the memo (two generations), per worker.
-MEMO = 250_000
+MEMO = 350_000
 #: Pre-tokens over this many characters are not kept in the memo.
 MEMO_CHARS = 64
 
