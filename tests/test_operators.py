@@ -299,3 +299,33 @@ def test_reports(spark, tmp_path):
     want = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "name string, sha256 string")
     have = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "name string, sha256 string")
     assert {(r.name, r.result) for r in reports.audit(want, have).collect()} == {("a", "ok"), ("b", "changed"), ("c", "missing"), ("d", "extra")}
+
+
+def test_tools_and_contracts(spark, tmp_path):
+    from lexigrove.functions import text
+    from lexigrove.functions import values as V
+    from lexigrove.operators import checks
+
+    found = spark.createDataFrame([("c1", "Figma", "company", 0.9, "d", 2022, "adobe", 1, 1, 0), ("c2", "Figma", "company", 0.9, "d", 2023, "adobe", 1, 1, 0)], "chunk_id string, entity_text string, entity_type string, confidence double, source_doc_id string, year int, company string, page_start int, page_end int, ordinal int")
+    related = spark.createDataFrame([("c1", "Adobe", "COMPETES_WITH", "Figma", 2022, "adobe", "d", 1, 1, 0)], "chunk_id string, entity_a string, relation string, entity_b string, year int, company string, doc_id string, page_start int, page_end int, ordinal int")
+    texts = spark.createDataFrame([("c1", "competition is a risk", 1, 2), ("c2", "nothing", 3, 3)], "chunk_id string, chunk_text string, page_start int, page_end int")
+    facts = knowledge.knowledge(found, related, texts)
+    assert [(r.entity_text, r.mentions, r.first_year, r.last_year) for r in answering.lookup_tool(facts, "ADOBE", kind="Company")["top_entities"].collect()] == [("Figma", 2, 2022, 2023)]
+    assert answering.lookup_tool(facts, "adobe", 2023)["top_triplets"].count() == 0
+    tool = answering.competitor_tool(facts, "Adobe")
+    assert [(r.competitor_name, r.mention_count, r.explicit_competes_with_count) for r in tool["summary"].collect()] == [("Figma", 2, 1)]
+    assert [r.year for r in tool["evidence"].collect()] == [2023, 2022, 2022]
+    assert [answering.clamp_k(k) for k in (0, 3, 99)] == [1, 3, 8] and answering.arguments("[1]") == answering.arguments("{bad") == {}
+    assert sum(n for _, _, n in V.CORE_QUOTAS) == 40 and len(V.SMOKE_SCOPE) == 9
+    with pytest.raises(ValueError):
+        checks.assert_unique(found, ["entity_text"])
+    with pytest.raises(ValueError):
+        checks.assert_some(found.limit(0), "entities")
+    assert checks.assert_some(checks.assert_unique(found, ["chunk_id"]), "entities").count() == 2
+    tables.append_json(texts.select("chunk_id"), f"{tmp_path}/log")
+    tables.append_json(texts.select("chunk_id"), f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+    name = spark.createDataFrame([("intfloat/e5 large",), ("..",)], "x string").select(text.path_safe(F.col("x"))).collect()
+    assert [r[0] for r in name] == ["intfloat_e5_large", "item"]
+    prompt = texts.select(answering.judge_prompt(F.lit("q"), F.col("chunk_text"), F.lit("a")).alias("p")).first().p
+    assert "competition is a risk" in prompt
