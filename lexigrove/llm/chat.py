@@ -24,7 +24,6 @@ looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator

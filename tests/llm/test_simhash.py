@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from lexigrove.llm import simhash
 
