@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import over_rows, table, text_bytes
 
 #: Pre-tokens held per generation of the memo (two generations), per worker.
-MEMO = 350_000
+MEMO = 270_000
 #: Pre-tokens over this many characters are not kept in the memo.
 MEMO_CHARS = 64
 
@@ -44,8 +44,9 @@ class RankQueueBPE:
         self.names = {v: str(v) for v in ranks.values()}
         self.find = regex.compile(pattern).findall
         self.leaves = (max(ranks.values(), default=0) >> 8) + 1
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.kind = "H" if max(ranks.values(), default=0) < 1 << 16 else "L"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         get = self.ranks.get
@@ -126,11 +127,11 @@ class RankQueueBPE:
         """The ids as decimal text, joined by commas."""
         return ",".join(map(self.names.__getitem__, ids))
 
-    def _ids(self, token: str) -> tuple[int, ...]:
-        """Ids of a pre-token, memoised while short."""
+    def _packed(self, token: str) -> bytes:
+        """Ids of a pre-token as an array of numbers, memoised while short: far smaller than a tuple."""
         found = self.old.get(token)
         if found is None:
-            found = tuple(self.encode_piece(token.encode()))
+            found = array(self.kind, self.encode_piece(token.encode())).tobytes()
         if len(token) <= MEMO_CHARS:
             if len(self.young) >= MEMO:
                 self.old, self.young = self.young, {}
@@ -138,8 +139,10 @@ class RankQueueBPE:
         return found
 
     def encode(self, text: str) -> list[int]:
-        young, slow = self.young.get, self._ids
-        return list(chain.from_iterable([young(t) or slow(t) for t in self.find(text)]))
+        young, slow = self.young.get, self._packed
+        ids = array(self.kind)
+        ids.frombytes(b"".join([young(t) or slow(t) for t in self.find(text)]))
+        return ids.tolist()
 
 
 @lru_cache(maxsize=2)
