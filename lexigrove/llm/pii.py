@@ -163,7 +163,9 @@ _DISGUISED = re.compile(
     rf"(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
-_ADDRESS_HINT = re.compile(rf"[\[({{<]\s*(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s-?{_DOT_WORD}-?\s|[-_]{_DOT_WORD}[-_]|\s@|@\s|[0-9._]\s+{_AT_WORD}\s", re.IGNORECASE)
+# In every text with a span that _disguised_addresses accepts: with plain dots and no bracket or blank at the sign, a
+# bare word is followed by a label and a dot.
+_ADDRESS_HINT = re.compile(rf"[\[({{<]\s*(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s-?{_DOT_WORD}-?\s|[-_]{_DOT_WORD}[-_]|\s@|@\s|(?:\s-?{_AT_WORD}-?\s{{1,3}}|[-_]{_AT_WORD}[-_])[A-Za-z0-9-]{{1,63}}\.", re.IGNORECASE)
 _ONE_DOT = re.compile(_DOT, re.IGNORECASE)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 

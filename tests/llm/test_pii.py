@@ -57,6 +57,21 @@ def test_disguises():
     assert spans("host one nine two dot one six eight dot one dot seven up") == [("ip", "one nine two dot one six eight dot one dot seven")]
 
 
+def test_bare_at_needs_no_other_mark():
+    for found in ("john.doe at example.com", "j2smith at example.com", "john.doe-at-example.com", "john.doe_at_example.com", "j2 -at- mail.example.com"):
+        assert spans(f"write to {found} now") == [("email", found)]
+        assert spans(f"write to {found} now [at] all") == [("email", found)]
+
+
+def test_address_hint_loses_nothing(monkeypatch):
+    rng = random.Random(11)
+    parts = ["john", "j2", "a.b", "x_y", "example", "com", ".", " ", "  ", "\n", "-", "_", "at", "AT", "dot", "[at]", "(dot)", "@", "<", ">", "punkt", "arroba", "10", ".org", " at ", "-at-", "_at_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
+    got = [list(pii._disguised_addresses(t)) for t in texts]
+    monkeypatch.setattr(pii, "_ADDRESS_HINT", re.compile(""))
+    assert got == [list(pii._disguised_addresses(t)) for t in texts] and sum(map(bool, got)) > 100
+
+
 def test_prose_is_left_alone():
     for text in (
         "look at this dot product of two vectors", "meet at home. Then go on", "one two three four five six seven eight nine",
