@@ -201,6 +201,15 @@ def flt6(spark, sf):
     return M.chunks(spark, sf).select("chunk_id", knowledge.interest(t).alias("entity_hints"), knowledge.interest(t, "triplet").alias("triplet_hints"))
 
 
+_candidates = f"WITH {M.CHUNKS} SELECT chunk_id, company, fiscal_year, page_start FROM chunks WHERE {M.hits('lower(chunk_text)', [chr(92) + 'b' + h + chr(92) + 'b' for h in V.ENTITY_HINTS])} >= 1"
+
+
+@query("flt5_all_candidates", _candidates)
+def flt5_all(spark, sf):
+    rows = M.chunks(spark, sf).withColumn("page_end", F.col("page_start"))
+    return knowledge.candidates(rows, "heuristic").select("chunk_id", "company", "fiscal_year", "page_start")
+
+
 @query(
     "flt5_candidates",
     f"WITH {M.CHUNKS} SELECT chunk_id, company, fiscal_year, page_start FROM chunks WHERE {M.hits('lower(chunk_text)', [chr(92) + 'b' + h + chr(92) + 'b' for h in V.ENTITY_HINTS])} >= 1 ORDER BY company, fiscal_year, page_start, chunk_id LIMIT 50",
