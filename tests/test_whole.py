@@ -9,6 +9,7 @@ LARGER = "/root/testdata/sf0.01"
 
 WHOLE = [
     ("flt5_all_candidates", "flt5_candidates"),
+    ("join11_all_query_vectors", "join11_query_vectors"),
 ]
 
 
