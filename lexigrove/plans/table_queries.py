@@ -601,11 +601,20 @@ def evl1(spark, sf):
     return evaluation.load_questions(items, "item_id").select("question_id", F.length("question").alias("chars"), "question_order")
 
 
-@query("flt9_pending_questions", "SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 = 1 ORDER BY item_id LIMIT 10")
-def flt9(spark, sf):
+def _pending(spark, sf, limit=None):
     items = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("question_order"))
     status = F.when(F.col("question_id") % 3 == 0, "success").when(F.col("question_id") % 3 == 1, "error").otherwise("retrieval_only")
-    return evaluation.pending_questions(items, items.select("question_id", status.alias("status")), limit=10).select("question_id")
+    return evaluation.pending_questions(items, items.select("question_id", status.alias("status")), limit=limit).select("question_id")
+
+
+@query("flt9_all_pending_questions", "SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 = 1")
+def flt9_all(spark, sf):
+    return _pending(spark, sf)
+
+
+@query("flt9_pending_questions", "SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 = 1 ORDER BY item_id LIMIT 10")
+def flt9(spark, sf):
+    return _pending(spark, sf, 10)
 
 
 @query(

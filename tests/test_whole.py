@@ -10,6 +10,7 @@ LARGER = "/root/testdata/sf0.01"
 WHOLE = [
     ("flt5_all_candidates", "flt5_candidates"),
     ("join11_all_query_vectors", "join11_query_vectors"),
+    ("flt9_all_pending_questions", "flt9_pending_questions"),
 ]
 
 
@@ -26,3 +27,11 @@ def test_candidates_are_capped_only_when_asked(spark):
     every = sorted(r.page_start for r in knowledge.candidates(df, "heuristic").collect())
     assert every == [1, 2, 3, 5, 6, 7]
     assert [r.page_start for r in knowledge.candidates(df, "heuristic", most=4).collect()] == every[:4]
+
+
+def test_pending_questions_are_limited_only_when_asked(spark):
+    questions = spark.createDataFrame([(f"q{i}", i) for i in range(40)], "question_id string, question_order int")
+    runs = spark.createDataFrame([("q1", "success"), ("q2", "error")], "question_id string, status string")
+    left = [i for i in range(40) if i != 1]
+    assert sorted(r.question_order for r in evaluation.pending_questions(questions, runs).collect()) == left
+    assert [r.question_order for r in evaluation.pending_questions(questions, runs, limit=3).collect()] == left[:3]
