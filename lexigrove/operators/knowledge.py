@@ -313,6 +313,11 @@ def candidates(chunks: DataFrame, mode: str = "all", kind: str = "entity", least
     return out if most is None else out.orderBy("company", "fiscal_year", "page_start", "page_end", "chunk_id").limit(most)
 
 
+def with_context(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Entities with the text and first page of their chunk; null where there is no such chunk."""
+    return found.drop("page_start", "page_end").join(chunks.select("chunk_id", "chunk_text", "page_start"), "chunk_id", "left")
+
+
 @dataclass
 class Knowledge:
     """Eight lazy tables of one corpus."""

@@ -359,14 +359,25 @@ def join3(spark, sf):
     return out.select(F.col("chunk_id").alias("doc_id"), "entity_count", "knowledge_text")
 
 
+def _entity_context(spark, sf, chunks):
+    found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'")
+    return knowledge.with_context(found, chunks).select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
+
+
+@query(
+    "join4_all_entity_context",
+    f"{_entity_sql} SELECT e.chunk_id, e.x AS entity_text, c.page_start, length(c.chunk_text)::INT AS chars FROM entities e LEFT JOIN chunks c ON c.chunk_id = e.chunk_id WHERE e.kind = 'company'",
+)
+def join4_all(spark, sf):
+    return _entity_context(spark, sf, M.chunks(spark, sf))
+
+
 @query(
     "join4_entity_context",
     f"{_entity_sql} SELECT e.chunk_id, e.x AS entity_text, c.page_start, length(c.chunk_text)::INT AS chars FROM entities e LEFT JOIN chunks c ON c.chunk_id = e.chunk_id AND c.doc_id % 2 = 0 WHERE e.kind = 'company'",
 )
 def join4(spark, sf):
-    found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'").drop("page_start", "page_end")
-    inside = M.chunks(spark, sf).where("doc_id % 2 = 0").select("chunk_id", "chunk_text", "page_start")
-    return found.join(inside, "chunk_id", "left").select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
+    return _entity_context(spark, sf, M.chunks(spark, sf).where("doc_id % 2 = 0"))
 
 
 @query("join5_mentions")

@@ -35,3 +35,15 @@ def test_pending_questions_are_limited_only_when_asked(spark):
     left = [i for i in range(40) if i != 1]
     assert sorted(r.question_order for r in evaluation.pending_questions(questions, runs).collect()) == left
     assert [r.question_order for r in evaluation.pending_questions(questions, runs, limit=3).collect()] == left[:3]
+
+
+def test_entity_context(spark):
+    found = spark.createDataFrame([("c1", "Adobe", 9), ("c2", "Pfizer", 9)], "chunk_id string, entity_text string, page_start int")
+    chunks = spark.createDataFrame([("c1", "text", 3), ("c3", "other", 4)], "chunk_id string, chunk_text string, page_start int")
+    out = {tuple(r) for r in knowledge.with_context(found, chunks).select("chunk_id", "entity_text", "chunk_text", "page_start").collect()}
+    assert out == {("c1", "Adobe", "text", 3), ("c2", "Pfizer", None, None)}
+
+
+def test_every_entity_has_its_context(spark):
+    whole, part = (registry.queries()[n](spark, LARGER) for n in ("join4_all_entity_context", "join4_entity_context"))
+    assert whole.where("chars IS NULL").count() == 0 and part.where("chars IS NULL").count() > 0 and whole.count() == part.count()
