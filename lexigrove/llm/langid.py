@@ -6,9 +6,9 @@ difference of its two ranks, or the profile's length where the profile lacks it;
 the language. N-grams are packed into 63-bit integers and counted with a numpy sort, so the cost per
 character doesn't depend on the number of languages.
 
-Fitting uses a bounded sample: about ``sample_docs`` whole documents of each language (default 2000),
-chosen by a hash of their text, so that the choice is the same on every run and at every size. Counts are
-added up per task before they are shuffled; the profiles (``length`` n-grams a language) reach the driver.
+Fitting uses a bounded sample: about ``sample_docs`` whole, distinct texts of each language (default
+2000), chosen by their hash, so that the choice is the same on every run and at every size; copies count once, and a
+language of fewer distinct texts is learned from all of them. Counts are added up per task before they are shuffled; the profiles (``length`` n-grams a language) reach the driver.
 
 Ties: n-grams equally frequent in a document are ranked in the order of their total frequency in the
 training sample (then absent ones, which cost the same anywhere); languages equally near are taken in
@@ -91,10 +91,11 @@ def fit(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     # One number for each language, as the profiles are; a join would shuffle the texts.
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    sizes = {r.lang: r["count"] for r in hashed.select("lang", "hash").distinct().groupBy("lang").count().collect()}
+    place = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
     size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang")) if sizes else F.lit(0)
-    chosen = labelled.where(place * size < sample_docs)
+    chosen = hashed.where(place * size < sample_docs).groupBy("lang", "hash").agg(F.min("text").alias("text")).drop("hash")
 
     def count(langs, texts):
         total: dict[str, list] = {}

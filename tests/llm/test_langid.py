@@ -65,3 +65,12 @@ def test_edges(spark, langs):
     else:
         assert out[1].lang_pred == "und"
     assert langid.predict(df.limit(0), langid.fit(df.limit(0)), [F.col("doc_id")]).count() == 0
+
+
+def test_copies_count_once(spark):
+    texts = [(f"l{i:02d}", f"{'abcdefghijklmnopqrst'[i] * 3} one text of the language number {i}") for i in range(20)]
+    once = spark.createDataFrame(texts, "lang string, text string")
+    model = langid.fit(once.join(spark.range(30)), sample_docs=2)
+    want = langid.fit(once, sample_docs=2)
+    assert model.langs == want.langs == [lang for lang, _ in texts]
+    assert (model.keys == want.keys).all() and (model.ranks == want.ranks).all() and (model.order == want.order).all()
