@@ -201,17 +201,21 @@ def links(distinct: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS)
     return edges.union(again.select("a", "b").distinct())
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Rows (id, fp, component_id): the least id reachable over links of at most ``bits`` differing bits."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, bits: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and for each fingerprint (fp, root of its component, its least id)."""
     prints = saved(fingerprints(df, id_col, text_col), "fingerprints")
     first = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     roots = components(links(first.select("fp"), bits, bucket_rows))
     # Fingerprints without a link are their own root.
-    owned = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first"
-    )
+    owned = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    return prints, owned
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Rows (id, fp, component_id): the least id reachable over links of at most ``bits`` differing bits."""
+    prints, owned = _rooted(df, id_col, text_col, bits, bucket_rows)
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     named = owned.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
@@ -224,14 +228,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of each component: the one with its least id (of equal rows, one).
+    """One row of each component: the one with its least id, then fingerprint (of equal rows, one; null ids come last).
 
     The ids and fingerprints that stay are found first; texts are dealt once, to be matched with them.
     """
 
     keys = ["__lx_id", "__lx_null", "__lx_fp"]
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1])]
-    found = near_duplicates(docs, bits=bits)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*own, F.col("fp").alias(keys[2])).distinct()
+    _, owned = _rooted(docs, "doc_id", "text", bits, BUCKET_ROWS)
+    least = owned.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first").alias("doc_id"), "fp")).alias("least"))
+    stay = least.select("least.doc_id", "least.fp").select(*own, F.col("fp").alias(keys[2]))
     marked = docs.select("*", *own, each_text(F.col("text"), lambda t: _signed(fingerprint(t)), pa.int64()).alias(keys[2]))
     return marked.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -127,3 +127,19 @@ def test_components_of_paths_stars_and_random_graphs(spark):
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_one_row_stays_of_each_component(spark):
+    rng = random.Random(12)
+    words = [rng.choice("abcdefghij") + str(rng.randint(0, 50)) for _ in range(400)]
+    one, near = " ".join(words), None
+    for i in range(400):
+        text = " ".join([*words[:i], "x", *words[i + 1 :]])
+        if 0 < (plain(one) ^ plain(text)).bit_count() <= 4:
+            near = text
+    other = "some text that is far away from all of these"
+    for ids in ((None, None, None), (5, 5, 7), (None, 5, 5)):
+        rows = [(ids[0], one), (ids[1], near), (ids[2], one), (9, other)]
+        kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        near_kept = [r for r in kept if r.text != other]
+        assert len(kept) == 2 and len(near_kept) == 1 and near_kept[0].doc_id == min((i for i in ids if i is not None), default=None)
