@@ -38,6 +38,16 @@ def crc_fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that (in any case) are taken."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def over_rows(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
     """Apply ``fn(*columns)`` (python lists in, tuple of lists out) to each Arrow batch.
 
@@ -78,14 +88,22 @@ def each_text(text: Column, fn: Callable[[bytes | None], object], kind: pa.DataT
     return run.asNondeterministic()(text.cast("string").cast("binary"))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is made up only where the session names none."""
+    """The folder in spark.checkpoint.dir. Only a local session may do without: one is made up for it."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if base:
         # With its scheme: a bare path means a folder of the cluster's default file system.
-        target = sc._jvm.org.apache.hadoop.fs.Path(base)
-        return target.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(target).toString()
+        target, files = _hadoop_path(spark, base)
+        return files.makeQualified(target).toString()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = f"file://{tempfile.mkdtemp(prefix='lexigrove-')}"
@@ -93,8 +111,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own (as a URI) below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own (as a URI) below the shared one. It is removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    target, files = _hadoop_path(spark, path)
+    files.mkdirs(target.getParent())
+    # Only a folder that exists can be marked.
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    files.delete(target, True)
+    return path
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -106,9 +131,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _hadoop_path(spark, path)
+    files.delete(target, True)
 
 
 def local_path(uri: str) -> str:

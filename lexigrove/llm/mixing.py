@@ -6,35 +6,43 @@ closed form from the sources in order of cap * size / weight).
 
 Draws. A hash of id and text orders a source's documents at random; its leading bits cut the order into
 permuted blocks. A source gives whole epochs (all blocks) and, for the rest of its target, the blocks up to a
-threshold; in the last block documents are taken while that brings the sum nearer to the target. So the words
-taken miss the target by half a document at most, and no document is taken more than ``cap`` times.
+threshold; in the last block documents are taken while that brings the sum nearer to the target. Rows equal in id
+and text share a place in the order; where the threshold falls among them, as many of them are taken as bring the sum
+nearest. So the words taken miss the target by half a row at most, and no row is taken more than ``cap`` times.
 
 Shards. The block draws of all sources are one multiset. A binary tree over the output shards splits it: a node
 passes a random half of its draws to the left, without replacement, which makes the counts by source
-multivariate hypergeometric with exact row and column sums. A leaf's counts say how many of each source's
-permuted draws it owns; draws are disjoint. ``place`` is a random key for the local shuffle of a shard.
+multivariate hypergeometric with exact row and column sums. A node's counts come from halving its sources again and
+again: how many of a group's draws fall to its first half is hypergeometric, and is found by inverting the
+distribution from its mode outwards, in about as many steps as its standard deviation. A leaf's counts say how many
+of each source's permuted draws it owns; draws are disjoint. ``place`` is a random key for the local shuffle of a shard.
 
-Sizes. A source has 2**k blocks, about one for each ``block_docs`` documents, 2**12 at most, so a block of a
+Sizes. A source has 2**k blocks, about one for each ``block_docs`` documents, 2**16 at most, so a block of a
 source that holds a third of all rows stays small, and the tree works on counts of blocks, never on documents.
-Documents are only ever joined to tables of sources and blocks, which Spark broadcasts where they are small.
+Documents are only ever joined to tables of sources and blocks, which Spark broadcasts where they are small. The
+counts of all sources are one array in each node: sources are assumed to be fewer than a million.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; sources without
-words get target 0; rows equal in id and text are taken alike; reruns agree; extra columns are kept by
-:func:`sample` and never looked at; an empty table gives an empty result.
+words get target 0 and give nothing; rows equal in id and text differ by one draw at most, and which of them gets
+it is open; reruns agree in all else; extra columns are kept by :func:`sample`, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, saved, table
+from .common import free_names, n_words, new_folder, saved, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SHARDS = 64
 BLOCK_DOCS = 256
 _BITS = 62
+#: A source has 2**MOST_BITS blocks at most.
+MOST_BITS = 16
 
 
 def _order(id_col: str, text_col: str, seed: int) -> Column:
@@ -72,19 +80,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.
 def _plan(base: DataFrame, weights, cap: int, block_docs: int, share: float) -> DataFrame:
     """From (source, size, u): a row for each source with target, k, whole epochs, threshold, blocks of the last one."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    k = F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / F.lit(float(block_docs)))))).cast("int")
+    k = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / F.lit(float(block_docs)))))).cast("int")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = (
         targets(sizes, weights, cap, share)
         .withColumn("k", k)
         .withColumn("epochs", F.least(F.lit(cap), full).cast("int"))
-        .withColumn("remainder", F.col("target") - F.col("epochs") * F.col("source_size"))
+        # A source at its cap has no part of an epoch left, whatever rounding says.
+        .withColumn("remainder", F.when(F.col("epochs") < cap, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
     )
     sources = saved(sources, "sources")
     same = base["source"].eqNullSafe(sources["source"])
-    placed = base.join(sources.drop("source_size", "docs"), same).select(
-        "ord", "k", "remainder", "u", "size", _block("u", "k").alias("block")
-    )
+    partial = sources.where("remainder > 0").drop("source_size", "docs")
+    placed = base.join(partial, same).select("ord", "k", "remainder", "u", "size", _block("u", "k").alias("block"))
     blocks = placed.groupBy("ord", "block").agg(F.sum("size").alias("words"), F.first("remainder").alias("remainder"))
     run = Window.partitionBy("ord").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     edge = (
@@ -92,67 +100,116 @@ def _plan(base: DataFrame, weights, cap: int, block_docs: int, share: float) ->
         .where((F.col("before") <= F.col("remainder")) & (F.col("remainder") < F.col("before") + F.col("words")))
         .select("ord", F.col("block").alias("edge"), "before")
     )
-    within = placed.join(edge, "ord").where("block = edge")
-    so_far = F.sum("size").over(Window.partitionBy("ord").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # Equal rows have one place: they are counted, so a large group of them is one row here.
+    places = (
+        placed.join(edge, "ord").where("block = edge").groupBy("ord", "u")
+        .agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.first("before").alias("before"), F.first("remainder").alias("remainder"))
+    )
+    earlier = F.coalesce(F.sum("words").over(Window.partitionBy("ord").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.col("remainder") - F.col("reached")
+    some = F.floor(room * F.col("rows") / F.col("words") + 0.5)
+    takes = F.when(F.col("words") > 0, F.least(F.col("rows"), F.greatest(F.lit(0), some))).when(room >= 0, F.col("rows")).otherwise(0)
     last = (
-        within.withColumn("middle", F.col("before") + so_far - F.col("size") / 2)
-        .where("middle <= remainder")
+        places.withColumn("reached", F.col("before") + earlier)
+        .withColumn("takes", takes.cast("long"))
+        .where("takes > 0")
         .groupBy("ord")
-        .agg(F.max("u").alias("u_last"))
+        .agg(F.max(F.struct("u", "takes", "rows")).alias("last"))
+        .select("ord", F.col("last.u").alias("u_last"), F.col("last.takes").alias("takes"), F.col("last.rows").alias("equal_rows"))
     )
     threshold = F.coalesce("u_last", F.expr(f"shiftleft(cast(edge as bigint), {_BITS} - k) - 1"), F.lit(-1).cast("long"))
     part = F.when(F.col("u_last").isNotNull(), F.col("edge") + 1).otherwise(F.coalesce("edge", F.lit(0)))
     out = sources.join(edge.drop("before"), "ord", "left").join(last, "ord", "left")
-    return out.select("source", "source_size", "target", "ord", "k", "epochs", threshold.alias("threshold"), part.alias("part"))
-
-
-def _left_counts(node: Column, quotas: Column, left: Column, total: Column, seed: int) -> Column:
-    """How many draws of each source go left: each draw goes with probability (left to fill) / (draws to come)."""
-
-    def one_draw(state: Column, _: Column) -> Column:
-        hit = F.when(F.pmod(F.xxhash64(F.lit(seed), node, state["t"]), state["t"]) < state["l"], 1).otherwise(0).cast("long")
-        return F.struct((state["t"] - 1).alias("t"), (state["l"] - hit).alias("l"), (state["took"] + hit).alias("took"))
-
-    def one_source(state: Column, quota: Column) -> Column:
-        steps = F.when(quota > 0, F.sequence(F.lit(1).cast("long"), quota)).otherwise(F.array().cast("array<long>"))
-        start = F.struct(state["t"].alias("t"), state["l"].alias("l"), F.lit(0).cast("long").alias("took"))
-        done = F.aggregate(steps, start, one_draw)
-        return F.aggregate(
-            F.array(done),
-            state,
-            lambda _, d: F.struct(
-                d["t"].alias("t"), d["l"].alias("l"), F.concat(state["out"], F.array(d["took"])).alias("out")
-            ),
-        )
+    return out.select(
+        "source", "source_size", "target", "ord", "k", "epochs", threshold.alias("threshold"), part.alias("part"),
+        F.coalesce(F.col("takes") < F.col("equal_rows"), F.lit(False)).alias("divided"), "takes",
+    )
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of a body in which ``name`` is a value computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _log_factorial(n: str) -> str:
+    """SQL of ln n!, exact for small n, by Stirling's series beyond."""
+    exact = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(32))
+    series = f"(({n}) + 0.5D) * ln(({n}) + 1D) - (({n}) + 1D) + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12D * (({n}) + 1D)) - 1D / (360D * power(({n}) + 1D, 3))"
+    return f"if(({n}) < 32, array({exact})[cast(least({n}, 31) as int)], {series})"
+
+
+def _hypergeometric(total: str, good: str, drawn: str, hashed: str) -> str:
+    """SQL of how many of ``drawn`` out of ``total`` are among its ``good``.
+
+    It is the quantile at a 64-bit hash, searched from the mode outwards; beyond 12 standard deviations there is nothing to find.
+    """
+    given = f"named_struct('t', cast({total} as bigint), 'g', cast({good} as bigint), 'x', cast({drawn} as bigint), 'h', {hashed})"
+    bounds = """struct(v.t AS t, v.g AS g, v.x AS x, greatest(0L, v.x - (v.t - v.g)) AS low, least(v.x, v.g) AS high,
+        cast(floor((v.x + 1D) * (v.g + 1D) / (v.t + 2D)) as bigint) AS peak,
+        cast(ceil(12 + 12 * sqrt(1D * v.x * v.g / v.t * (v.t - v.g) / v.t * (v.t - v.x) / greatest(v.t - 1, 1))) as bigint) AS steps,
+        shiftrightunsigned(v.h, 11) / 9007199254740992D AS p)"""
+    mode = "struct(w.t AS t, w.g AS g, w.x AS x, w.low AS low, w.high AS high, least(w.high, greatest(w.low, w.peak)) AS mode, w.steps AS steps, w.p AS p)"
+    plus, minus = ["v.g", "v.t - v.g", "v.x", "v.t - v.x"], ["v.mode", "v.g - v.mode", "v.x - v.mode", "v.t - v.g - v.x + v.mode", "v.t"]
+    at_mode = "exp(" + " + ".join(map(_log_factorial, plus)) + " - " + " - ".join(map(_log_factorial, minus)) + ")"
+    up = "if(s.a < v.high, s.up * (v.g - s.a) * (v.x - s.a) / ((s.a + 1D) * (v.t - v.g - v.x + s.a + 1D)), 0D)"
+    down = "if(s.b > v.low, s.down * s.b * (v.t - v.g - v.x + s.b) / ((v.g - s.b + 1D) * (v.x - s.b + 1D)), 0D)"
+    step = _let(
+        "n",
+        f"struct({up} AS up, {down} AS down)",
+        """struct(s.rest - n.up - n.down AS rest, n.up AS up, n.down AS down, least(s.a + 1, v.high) AS a, greatest(s.b - 1, v.low) AS b,
+        CASE WHEN s.done THEN s.found WHEN s.rest < n.up THEN s.a + 1 WHEN s.rest < n.up + n.down THEN s.b - 1 ELSE s.found END AS found,
+        s.done OR s.rest < n.up + n.down AS done)""",
+    )
+    start = "struct(v.p - m AS rest, m AS up, m AS down, v.mode AS a, v.mode AS b, v.mode AS found, false AS done)"
+    walk = f"aggregate(sequence(1L, least(v.steps, greatest(v.mode - v.low, v.high - v.mode))), {start}, (s, i) -> {step}).found"
+    search = _let("m", at_mode, f"if(v.p < m OR v.high <= v.low, v.mode, {walk})")
+    drawn_some = _let("v", _let("w", _let("v", given, bounds), mode), search)
+    return f"CASE WHEN {drawn} <= 0 OR {good} <= 0 THEN 0L WHEN {drawn} >= {total} THEN {good} WHEN {good} >= {total} THEN {drawn} ELSE {drawn_some} END"
+
+
+def _pair_sums(finer: str, groups: int) -> Column:
+    return F.expr(f"transform(sequence(0, {groups - 1}), i -> {finer}[2 * i] + {finer}[2 * i + 1])")
+
 
-    start = F.struct(total.alias("t"), left.alias("l"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(quotas, start, one_source)["out"]
+def _halved(j: int, seed: int) -> Column:
+    """The draws that go left, of each group of level j, dealt to the two halves of the group."""
+    first = _hypergeometric(f"sum{j}[i]", f"sum{j + 1}[2 * i]", "x", f"xxhash64({seed}, node, {j}, i)")
+    return F.expr(f"flatten(transform(left{j}, (x, i) -> {_let('f', first, 'array(f, x - f)')}))")
 
 
 def split(sources: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """From (ord, quota): rows (shard, ord, n) of a random split of all draws, shard totals at most one apart."""
+    halvings = max(1, (max(1, sources.count()) - 1).bit_length())
+    width = 1 << halvings
+    zero = F.lit(0).cast("long")
+    padded = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(F.col("all"), i)["quota"].cast("long"), zero))
     nodes = sources.agg(F.array_sort(F.collect_list(F.struct("ord", "quota"))).alias("all")).select(
         F.lit(1).cast("long").alias("node"),
         F.lit(0).alias("lo"),
         F.lit(shards).alias("hi"),
         F.transform("all", lambda x: x["ord"]).alias("ords"),
-        F.transform("all", lambda x: x["quota"].cast("long")).alias("quotas"),
+        padded.alias("quotas"),
     )
-    for _ in range(max(0, (shards - 1).bit_length())):
-        middle = F.expr("(lo + hi + 1) div 2").cast("int")
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
-        nodes = nodes.withColumn("mid", middle).withColumn("total", total)
+    for level in range(max(0, (shards - 1).bit_length())):
+        if level == 3:
+            nodes = nodes.repartition("node")
+        # Sums of groups of sources: level j has 2**j groups.
+        nodes = nodes.withColumns({"mid": F.expr("(lo + hi + 1) div 2").cast("int"), f"sum{halvings}": F.col("quotas")})
+        for j in reversed(range(halvings)):
+            nodes = nodes.withColumn(f"sum{j}", _pair_sums(f"sum{j + 1}", 1 << j))
         # Shares are cut at whole multiples, so totals of equal shards differ by one at most.
-        left = F.expr("total * (mid - lo) div (hi - lo)").cast("long")
-        nodes = nodes.withColumn("left", _left_counts(F.col("node"), F.col("quotas"), left, F.col("total"), seed))
-        right = F.zip_with("quotas", "left", lambda q, x: q - x)
-        halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), "lo", F.col("mid").alias("hi"), F.col("left").alias("quotas")),
+        nodes = nodes.withColumn("left0", F.array(F.expr("sum0[0] * (mid - lo) div (hi - lo)").cast("long")))
+        for j in range(halvings):
+            nodes = nodes.withColumn(f"left{j + 1}", _halved(j, seed))
+        left = F.col(f"left{halvings}")
+        right = F.zip_with("quotas", left, lambda q, x: q - x)
+        children = F.array(
+            F.struct((F.col("node") * 2).alias("node"), "lo", F.col("mid").alias("hi"), left.alias("quotas")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.col("mid").alias("lo"), "hi", right.alias("quotas")),
         )
-        nodes = nodes.select("ords", F.explode(halves).alias("x")).select("x.node", "x.lo", "x.hi", "ords", "x.quotas")
+        nodes = nodes.select("ords", F.explode(children).alias("x")).select("x.node", "x.lo", "x.hi", "ords", "x.quotas")
         nodes = nodes.where("lo < hi")
-    counts = nodes.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("ords", "quotas")).alias("x"))
+    counts = nodes.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("ords", F.slice("quotas", 1, F.size("ords")).alias("quotas"))).alias("x"))
     return counts.select("shard", F.col("x.ords").alias("ord"), F.col("x.quotas").alias("n"))
 
 
@@ -190,9 +247,18 @@ def mix(
 ) -> DataFrame:
     """For each row of ``docs``: the ``keep`` columns, size, source_size, target, shards (one for each copy taken)."""
     keep = ["doc_id"] if keep is None else keep
-    # Prefixed names cannot clash with columns of the caller.
+    mixed = _mixed(docs, keep, weights, cap, shards, block_docs, share, seed)
+    return mixed.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *(F.col(c).alias(f"__{c}") for c in FOUND))
+
+
+#: What :func:`mix` finds for each row (as ``__size`` and so on).
+FOUND = ("size", "source_size", "target", "shards", "u")
+
+
+def _mixed(docs: DataFrame, keep: list[str], weights, cap: int, shards: int, block_docs: int, share: float, seed: int) -> DataFrame:
+    """keep_0, keep_1, ... (so that no column of the caller can clash), then what is found."""
     marked = docs.select(
-        *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)],
+        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
         _order("doc_id", "text", seed).alias("u"),
@@ -200,20 +266,37 @@ def mix(
     base = saved(marked.select("source", "size", "u"), "sizes")
     plan = saved(_plan(base, weights, cap, block_docs, share), "plan")
     owners = saved(draws(plan, shards, seed), "draws")
-    copies = F.col("epochs") + F.when(F.col("u") <= F.col("threshold"), 1).otherwise(0)
     named = plan.withColumnRenamed("source", "plan_source")
     joined = marked.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("block", _block("u", "k"))
-    joined = joined.join(owners, ["ord", "block"], "left")
-    return joined.select(
-        *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("size").alias("__size"),
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
-        F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), copies).alias("__shards"),
-        F.col("u").alias("__u"),
+    parted = F.col("divided") & (F.col("u") == F.col("threshold"))
+    drawn = joined.withColumn("copies", F.col("epochs") + (F.col("u") <= F.col("threshold")).cast("int"))
+    if plan.where("divided").take(1):
+        # The threshold of a source falls among equal rows: these alone are numbered.
+        equal = _numbered(joined.where(parted), "ord").withColumn("copies", F.col("epochs") + (F.col("number") <= F.col("takes")).cast("int"))
+        drawn = drawn.where(~parted).unionByName(equal.drop("number"))
+    drawn = drawn.join(owners, ["ord", "block"], "left")
+    return drawn.select(
+        *[f"keep_{i}" for i in range(len(keep))],
+        "size",
+        "source_size",
+        "target",
+        F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("shards"),
+        "u",
     )
 
 
+def _numbered(rows: DataFrame, by: str) -> DataFrame:
+    """Adds number, from 1, within the rows of each ``by``; by places in written files, so no task gets them all."""
+    path = new_folder(rows.sparkSession, "equal")
+    rows.sortWithinPartitions(by).write.parquet(path)
+    placed = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    placed = placed.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = placed.groupBy(by, "file").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select(by, "file", (before - F.col("first") + 1).alias("offset"))
+    return placed.join(files, [by, "file"]).withColumn("number", F.col("at") + F.col("offset")).drop("file", "at", "offset")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; words taken of each."""
     out = mix(table(spark, sf_dir, "documents"))
@@ -226,16 +309,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _copies(docs: DataFrame, weights=WEIGHTS, cap=CAP, shards=SHARDS, block_docs=BLOCK_DOCS, share=1.0, seed=0) -> DataFrame:
+    mixed = _mixed(docs, docs.columns, weights, cap, shards, block_docs, share, seed)
+    return mixed.select(*[f"keep_{i}" for i in range(len(docs.columns))], "u", F.posexplode("shards").alias("copy", "shard"))
+
+
 def sample(docs: DataFrame, **options) -> DataFrame:
     """``docs`` mixed: each row as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, keep=docs.columns, **options)
-    return out.withColumn("__shard", F.explode("__shards")).select(*docs.columns)
+    return _copies(docs, **options).select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def sharded(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """``docs`` mixed, dealt by shard and shuffled locally: the columns of ``docs``, then shard and place."""
-    out = mix(docs, keep=docs.columns, seed=seed, **options)
-    rows = out.select(*docs.columns, F.posexplode("__shards").alias("__copy", "__shard"), "__u")
-    place = F.xxhash64(F.lit(seed), "__shard", "__copy", "__u")
-    rows = rows.withColumn("__place", place).repartition("__shard", F.pmod(F.col("__place"), F.lit(8)))
-    return rows.sortWithinPartitions("__shard", "__place").drop("__copy", "__u")
+    """``docs`` mixed, dealt by shard and shuffled locally: the columns of ``docs``, then __shard and __place.
+
+    Where ``docs`` has columns of these names, underscores are added to the new ones.
+    """
+    rows = _copies(docs, seed=seed, **options)
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "shard", "copy", "u")).repartition("shard", F.pmod(F.col("place"), F.lit(8)))
+    shard, place = free_names(docs.columns, "__shard", "__place")
+    rows = rows.sortWithinPartitions("shard", "place")
+    return rows.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("shard").alias(shard), F.col("place").alias(place))
