@@ -5,8 +5,9 @@ keeping, for each character they emit, the source characters it stands for:
 
 1. characters: zero-width characters go; full-width and mathematical forms, foreign decimal digits and
    Cyrillic/Greek lookalikes become ASCII; odd dots, dashes, at-signs and blanks become plain ones;
-2. ``name [at] site (dot) org`` and ``name at site dot org`` become an address (the bare words only with a
-   spelled dot and a well-known last label, so that prose isn't taken for an address);
+2. signs: spelled, bracketed or spaced at-signs and dots become ``@`` and ``.`` (``name [at] site (dot) org``). A bare
+   ``at`` counts only before a well-known last label, and with a spelled dot or a name that is no plain word, so that
+   prose isn't taken for an address; dots between four numbers count too;
 3. runs of spelled digits (``four one one one ...``, ``plus one ...``, ``dot`` between them) become digits;
 4. letters that look like digits (O, o, l, I) inside long runs of digits become digits.
 
@@ -14,8 +15,8 @@ The detectors run again on what the transducers emit; a hit is mapped back to so
 if it overlaps no span found before, or contains it whole (``аlice@example.com`` whose first letter is Cyrillic). Base
 spans always stay.
 
-Work per text is linear: the patterns are possessive or anchored at ``@``, ``+`` or the start of a digit run,
-which gives the same matches as the plain leftmost patterns.
+Work per text is linear: the patterns are possessive, bounded or anchored at ``@``, ``+`` or the start of a digit run,
+which gives the same matches as the plain leftmost patterns, and the sorted hits are merged with the sorted base spans.
 
 Defined cases: a null text is the empty one; positions are code points, ends exclusive; spans are ordered by
 start, then kind; repeated rows get equal results; extra columns are never looked at.
@@ -188,25 +189,48 @@ _LOOKALIKE_HINT = re.compile(r"[0-9][\x20-]?[OolIBS]|[OolIBS][\x20-]?[0-9]")
 _TO_DIGIT = str.maketrans("OolIBS", "001185")
 
 
-def _disguised_addresses(text: str):
-    """(start, kind, end) of addresses with a spelled, bracketed or spaced at-sign or dot."""
+def _plain_signs(text: str, spots: list[tuple[int, int, str]], start: int, end: int) -> Mapped:
+    """A stretch of the text in which each spot (start, end, sign) is its sign."""
+    out, starts, ends, done = [], [], [], start
+    for a, b, sign in [*spots, (end, end, "")]:
+        out.append(text[done:a])
+        starts += range(done, a)
+        ends += range(done + 1, a + 1)
+        if sign:
+            out.append(sign)
+            starts.append(a)
+            ends.append(b)
+        done = b
+    return Mapped("".join(out), starts, ends)
+
+
+def _rewritten_signs(text: str):
+    """(start, kind, end) of what is found once spelled, bracketed or spaced at-signs and dots are plain ones."""
     if not _ADDRESS_HINT.search(text):
         return
     for m in _DISGUISED.finditer(text):
+        dots = [(*d.span(), ".") for part in ("local", "domain") for d in _ONE_DOT.finditer(text, *m.span(part))]
         labels = _ONE_DOT.split(m["domain"])
-        at = m["at"].strip(" \t\n\r-_")
-        bare = at.isalpha()
+        bare = m["at"].strip(" \t\n\r-_").isalpha()
         spelled = m["domain"].count(".") < len(labels) - 1 or re.search(r"\s", m["domain"])
-        if not labels[-1].isalpha() or len(labels[-1]) < 2:
+        if not labels[-1].isalpha() or len(labels[-1]) < 2 or (m["at"] == "@" and not spelled):
             continue
         # A bare word needs a known last label, and a spelled dot or a name that is no plain word.
         if bare and not (labels[-1].lower() in LAST_LABELS and (spelled or re.search(r"[0-9._]", m["local"]))):
             continue
-        if m["at"] != "@" or spelled:
-            yield m.start(), 0, m.end()
+        yield from _detected(_plain_signs(text, sorted([*dots, (*m.span("at"), "@")]), *m.span()), 0)
     for m in _DISGUISED_IP.finditer(text):
-        if not _IP.fullmatch(m[0]) and all(map(_small, _ONE_DOT.split(m[0]))):
-            yield m.start(), 1, m.end()
+        dots = [(*d.span(), ".") for d in _ONE_DOT.finditer(text, *m.span())]
+        if any(b - a > 1 for a, b, _ in dots):
+            yield from _detected(_plain_signs(text, dots, *m.span()), 1)
+
+
+def _detected(plain: Mapped, wanted: int):
+    """What the detectors find of a kind in rewritten text, in source positions."""
+    for s, kind, e in detect(plain.text):
+        if kind == wanted:
+            s, e = plain.source(s, e)
+            yield s, kind, e
 
 
 def _rewritten_numbers(text: str):
@@ -237,18 +261,23 @@ def find(text: str) -> tuple[list, list]:
     base = detect(text)
     plain = _plain_characters(text)
     hits = list(detect(plain.text)) if plain.starts is not None else []
-    hits += _disguised_addresses(plain.text)
+    hits += _rewritten_signs(plain.text)
     hits += _rewritten_numbers(plain.text)
     added: list = []
-    if hits:
-        taken = [(s, e) for s, _, e in base]
-        for s, kind, e in sorted(hits, key=lambda h: (h[0], h[1])):
-            s, e = plain.source(s, e)
-            touched = [(a, b) for a, b in taken if a < e and s < b]
-            # It may contain base spans, if what it has besides isn't just marks that stand for ASCII ones.
-            if all(s <= a and b <= e and e - s > b - a and MARKS.keys().isdisjoint(text[s:a] + text[b:e]) for a, b in touched):
-                taken.append((s, e))
-                added.append((s, kind, e))
+    near: list = []  # spans that start before the end of a hit and may reach into it
+    at = 0
+    for s, kind, e in sorted(hits, key=lambda h: (h[0], h[1])):
+        s, e = plain.source(s, e)
+        while at < len(base) and base[at][0] < e:
+            near.append((base[at][0], base[at][2]))
+            at += 1
+        # Hits come by start: what ends before one of them is behind all later ones.
+        near = [(a, b) for a, b in near if s < b]
+        touched = [(a, b) for a, b in near if a < e]
+        # It may contain spans found before, if what it has besides isn't just marks that stand for ASCII ones.
+        if all(s <= a and b <= e and e - s > b - a and MARKS.keys().isdisjoint(text[s:a] + text[b:e]) for a, b in touched):
+            near.append((s, e))
+            added.append((s, kind, e))
     return base, added
 
 

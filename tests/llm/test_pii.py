@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 from lexigrove.llm import pii
@@ -67,9 +68,9 @@ def test_address_hint_loses_nothing(monkeypatch):
     rng = random.Random(11)
     parts = ["john", "j2", "a.b", "x_y", "example", "com", ".", " ", "  ", "\n", "-", "_", "at", "AT", "dot", "[at]", "(dot)", "@", "<", ">", "punkt", "arroba", "10", ".org", " at ", "-at-", "_at_"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(40_000)]
-    got = [list(pii._disguised_addresses(t)) for t in texts]
+    got = [list(pii._rewritten_signs(t)) for t in texts]
     monkeypatch.setattr(pii, "_ADDRESS_HINT", re.compile(""))
-    assert got == [list(pii._disguised_addresses(t)) for t in texts] and sum(map(bool, got)) > 100
+    assert got == [list(pii._rewritten_signs(t)) for t in texts] and sum(map(bool, got)) > 100
 
 
 def test_prose_is_left_alone():
@@ -91,3 +92,55 @@ def test_operator(spark):
     assert out[5].n_ip == 25_000
     assert pii.scan(df.limit(0)).count() == 0
     assert pii.blank_out("mail a.b@c.de or 4111111111111111.") == "mail [EMAIL] or [CARD]."
+
+
+def plain_find(text):
+    """The added spans with every hit compared with all spans so far."""
+    base = pii.detect(text)
+    plain = pii._plain_characters(text)
+    hits = list(pii.detect(plain.text)) if plain.starts is not None else []
+    hits += [*pii._rewritten_signs(plain.text), *pii._rewritten_numbers(plain.text)]
+    taken, added = [(s, e) for s, _, e in base], []
+    for s, kind, e in sorted(hits, key=lambda h: (h[0], h[1])):
+        s, e = plain.source(s, e)
+        touched = [(a, b) for a, b in taken if a < e and s < b]
+        if all(s <= a and b <= e and e - s > b - a and pii.MARKS.keys().isdisjoint(text[s:a] + text[b:e]) for a, b in touched):
+            taken.append((s, e))
+            added.append((s, kind, e))
+    return base, added
+
+
+def test_merge_against_all_pairs():
+    rng = random.Random(21)
+    pieces = [
+        "a@b.com ", "\u0430lice@b.org ", "joe at site dot com ", "j.d [at] x (dot) net ", "1.2.3.4 ", "1 dot 2 dot 3 dot 4 ", "+49\xa030 1234 5678 ",
+        "four one one one  one one one one  one one one one  one one one one ", "4111 1111 1111 1111 ", "4O12 8888 8888 1881 ", "word ", "\u200b", "x@y", "\uff20z.com ",
+    ]
+    for _ in range(300):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 14)))
+        assert pii.find(text) == plain_find(text), text
+
+
+def test_signs_are_rewritten_then_detected():
+    for text, span in (
+        ("mail john.doe at example.com now", "john.doe at example.com"),
+        ("mail bob [at] site (dot) co (dot) uk.", "bob [at] site (dot) co (dot) uk"),
+        ("j2smith-at-example.com", "j2smith-at-example.com"),
+        ("amy @ site dot org", "amy @ site dot org"),
+    ):
+        base, added = pii.find(text)
+        assert [text[s:e] for s, k, e in added if k == 0] == [span]
+    assert [k for _, k, _ in pii.find("host 10 dot 20 dot 30 dot 40 up")[1]] == [1]
+    assert pii.find("we met at noon dot the rest")[1] == [] and pii.find("10 dot 20 dot 30 dot 400")[1] == []
+
+
+def test_long_texts_take_linear_time():
+    def seconds(n):
+        text = "\xa0" + "name%d@site.com " * n % tuple(range(n)) + "bob at site dot org " * n
+        start = time.process_time()
+        found = pii.find(text)
+        assert len(found[0]) == n and len(found[1]) >= n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 8 * 2.5 * max(0.02, seconds(2000))
