@@ -3,6 +3,9 @@
 Each step is two joins and aggregations on the edge table, so no node's neighbours meet in one row or on the
 driver; minima are pre-aggregated before the shuffle and skewed joins are left to adaptive execution, which
 may split them. Every round is written to the shared folder, so lost executors cost one round at most.
+
+Defined cases: an edge with a null end, or from a node to itself, says nothing; repeated edges count once; without any
+edge the result is empty.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ search removes what it reaches, so a dense group costs little more than its size
 ``bucket_rows`` fingerprints are not held: their members are dealt in chunks, and each pair of chunks gives its
 forest (an exact way whose memory is bounded by two chunks).
 
+The number of masks grows slowly with the number of distinct fingerprints: 5 up to about 7000, 35 near a million (m = 7),
+some 210 near 1e11. Fingerprints of more than a thousandth of all rows (copies of one text, empty texts) are joined to
+their components as a broadcast table of a thousand rows at most, so no task gets them all.
+
 Defined cases: a null text has no words; no words give fingerprint 0, linked like any other; fewer words than
 a shingle give one shingle; equal rows share a component; a component of null ids only has a null id; extra
 columns are never looked at; an empty table gives an empty result.
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_text, over_rows, saved, table, text_bytes
+from .common import each_text, free_names, over_rows, saved, table, text_bytes
 from .components import components
 
 BITS = 4
@@ -201,24 +205,32 @@ def links(distinct: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS)
     return edges.union(again.select("a", "b").distinct())
 
 
-def _rooted(df: DataFrame, id_col: str, text_col: str, bits: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp), and for each fingerprint (fp, root of its component, its least id)."""
-    prints = saved(fingerprints(df, id_col, text_col), "fingerprints")
-    first = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+#: Fingerprints of more than this part of all rows are joined by broadcast.
+HOT = 1000
+
+
+def _rooted(prints: DataFrame, id_col: str, bits: int, bucket_rows: int) -> DataFrame:
+    """For each fingerprint of rows (id, fp): (fp, root of its component, its least id, its number of rows)."""
+    first = saved(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("rows")), "distinct")
     roots = components(links(first.select("fp"), bits, bucket_rows))
     # Fingerprints without a link are their own root.
-    owned = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    return prints, owned
+    return first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "rows")
 
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Rows (id, fp, component_id): the least id reachable over links of at most ``bits`` differing bits."""
-    prints, owned = _rooted(df, id_col, text_col, bits, bucket_rows)
+    prints = saved(fingerprints(df, id_col, text_col), "fingerprints")
+    owned = _rooted(prints, id_col, bits, bucket_rows)
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = owned.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = saved(owned.join(least, "root").select("fp", "rows", "component_id"), "named")
+    # At most HOT of them, by their definition.
+    all_rows = prints.count()
+    hot = F.broadcast(named.where(F.col("rows") * HOT > all_rows).select("fp", "component_id"))
+    cold = named.where(F.col("rows") * HOT <= all_rows).select("fp", "component_id")
+    out = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(cold, "fp"))
+    return out.select(id_col, "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,13 +242,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of each component: the one with its least id, then fingerprint (of equal rows, one; null ids come last).
 
-    The ids and fingerprints that stay are found first; texts are dealt once, to be matched with them.
+    Rows are written once with their fingerprints; the ids and fingerprints that stay are found from those two columns, and
+    texts are dealt once, to be matched with them. An empty table stays empty; columns of any name are kept.
     """
-
-    keys = ["__lx_id", "__lx_null", "__lx_fp"]
-    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1])]
-    _, owned = _rooted(docs, "doc_id", "text", bits, BUCKET_ROWS)
+    names = free_names(docs.columns, "lx_id", "lx_null", "lx_fp")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1])]
+    print_ = each_text(F.col("text"), lambda t: _signed(fingerprint(t)), pa.int64()).alias(names[2])
+    marked = saved(docs.select("*", *own, print_), "marked")
+    prints = marked.select("doc_id", F.col(names[2]).alias("fp"))
+    owned = _rooted(prints, "doc_id", bits, BUCKET_ROWS)
     least = owned.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), F.col("first").alias("doc_id"), "fp")).alias("least"))
-    stay = least.select("least.doc_id", "least.fp").select(*own, F.col("fp").alias(keys[2]))
-    marked = docs.select("*", *own, each_text(F.col("text"), lambda t: _signed(fingerprint(t)), pa.int64()).alias(keys[2]))
-    return marked.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    stay = least.select("least.doc_id", "least.fp").select(*own, F.col("fp").alias(names[2]))
+    return marked.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
