@@ -33,22 +33,27 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + [None]
 
 
-def brute(rows, discount=0.75):
+def brute(rows, discount=0.75, order=3):
     train = [t for i, t in rows if zlib.crc32((str(i) if i is not None else "").encode()) % 7 != 2]
-    uni, bi = Counter(), Counter()
+    uni, bi, tri = Counter(), Counter(), Counter()
     for t in train:
         seq = tokens(t)
         uni.update(seq)
         bi.update(zip([None] + seq[:-1], seq))
+        tri.update(zip([None] + seq[:-2], seq[:-1], seq[1:]))
     n, v = sum(uni.values()), len(uni)
-    kids = Counter(c for c, _ in bi)
+    kids, grandkids = Counter(c for c, _ in bi), Counter((a, b) for a, b, _ in tri)
     out = []
     for i, t in rows:
         seq = tokens(t)
         base = [(uni[w] + 1) / (n + v + 1) for w in seq]
         full = []
-        for c, w, b in zip([None] + seq[:-1], seq, base):
-            full.append(b if not uni[c] else max(bi[c, w] - discount, 0) / uni[c] + discount * kids[c] / uni[c] * b)
+        for at, (c, w, b) in enumerate(zip([None] + seq[:-1], seq, base)):
+            p = b if not uni[c] else max(bi[c, w] - discount, 0) / uni[c] + discount * kids[c] / uni[c] * b
+            a = (seq[at - 2] if at > 1 else None, c)
+            if order > 2 and at and bi[a]:
+                p = max(tri[(*a, w)] - discount, 0) / bi[a] + discount * grandkids[a] / bi[a] * p
+            full.append(p)
         out.append((i, zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2, len(seq), sum(uni[w] > 0 for w in seq), n, sum(map(math.log10, base)), sum(map(math.log10, full))))
     return out
 
@@ -73,6 +78,35 @@ def test_against_brute_force(spark):
     full = {w[0]: w[6] for w in brute(rows)}
     for r in out:
         assert abs(r.score - full[r.doc_id]) < 0.02 * r.n_tokens, r
+    assert model.entries[1] > model.entries[0] > 500
+    # The same model scores at order 2; probabilities over all tokens add up to one.
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    two = {w[0]: w[6] for w in brute(rows, order=2)}
+    for r in lmtrie.score(df, model, [F.col("doc_id")], order=2).collect():
+        assert abs(r.score - two[r.doc_id]) < 0.02 * r.n_tokens, r
+
+
+def test_triples_merge_in_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    want, triples = Counter(), lmtrie.Triples()
+    monkeypatch.setattr(lmtrie, "MERGED_HELD", 300)
+    for _ in range(20):
+        rows = Counter(map(tuple, rng.integers(0, 9, (100, 2)).tolist()))
+        want.update(rows)
+        part = sorted(rows)
+        keys, following = (np.array(c, np.uint64) for c in zip(*part))
+        triples.add(lmtrie._packed_triples(keys << np.uint64(33), following, np.array([rows[r] for r in part])))
+    keys, following, counts = triples.merged()
+    assert list(zip((keys >> np.uint64(33)).tolist(), following.tolist())) == sorted(want) and counts.tolist() == [want[r] for r in sorted(want)]
+
+
+def test_distinct_rows():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 7, 500) for _ in range(3)]
+    for size in (7, 1 << 30):
+        found, counts = lmtrie.distinct_rows(columns, size)
+        want = Counter(zip(*(c.tolist() for c in columns)))
+        assert list(zip(*(c.tolist() for c in found))) == sorted(want) and counts.tolist() == [want[r] for r in sorted(want)]
 
 
 @pytest.mark.parametrize("rows", [[], [(6, "a b")], [(1, None)]])
