@@ -51,8 +51,8 @@ from .common import crc_fold, local_path, new_folder, table, text_bytes
 DISCOUNTS = (0.1, 0.95)
 #: Distinct words counted in one task before they are passed on.
 WORDS_HELD = 400_000
-#: Tokens whose bigrams are sorted at once, in counting and in scoring.
-TOKENS_HELD = 2_000_000
+#: Tokens whose trigrams are sorted at once, in counting and in scoring.
+TOKENS_HELD, SCORED_HELD = 2_000_000, 1_000_000
 #: Training tokens for each shard, about.
 SHARD_TOKENS = 4_000_000
 #: Trigrams merged at once.
@@ -605,7 +605,7 @@ def train(texts: DataFrame, folder: str, text_col: str = "text", discount: float
                 model.hot[model.offsets[shard] + at] = 0
     if model.tokens:
         blocks = data.mapInArrow(_count_triples(model), "shard int, block binary")
-        sorted_ = blocks.repartition(model.shards, "shard").sortWithinPartitions("shard")
+        sorted_ = blocks.repartitionById(model.shards, F.col("shard")).sortWithinPartitions("shard")
         rows = sorted_.mapInArrow(_build_shards(model, discount), "shard int, pairs long, triples long, hot array<long>, mass array<double>")
         mass: Counter[int] = Counter()
         for r in rows.collect():
@@ -767,7 +767,7 @@ def score(df: DataFrame, model: Model, keep: list[Column], text_col: str = "text
             start = 0
             for i in range(len(texts)):
                 tokens.add(texts[i].as_py())
-                if tokens.held > TOKENS_HELD or i == len(texts) - 1:
+                if tokens.held > SCORED_HELD or i == len(texts) - 1:
                     sizes, known, base, total = score_texts(model, tokens, order)
                     part = [c.slice(start, i + 1 - start) for c in batch.columns[: len(kept)]]
                     columns = [sizes, known, np.full(len(sizes), model.tokens), base, total]
