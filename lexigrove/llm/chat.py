@@ -7,10 +7,11 @@ asks, lists or shows code. Probabilities are counted on labelled rows, smoothed;
 Viterbi finds the best roles of the whole conversation; each unit is then rendered as ``<|role|>``, its text
 without marker, ``<|end|>``.
 
-A conversation of any length is decoded exactly without meeting in one task. Rows are dealt by ranges of
-(conversation, turn, text), so a large one spans several pieces; each edge piece first reports the best score from
-every role before it to every role at its end (a small matrix; at most two pieces a partition report), the driver
-chains these per conversation and fixes the roles at the seams, and each piece decodes between its seams.
+Rows are shuffled once: dealt by conversation, sorted by turn and decoded as they stream, one conversation at a time.
+A conversation of over ``large_turns`` rows doesn't meet in one task: its rows are dealt by ranges of (conversation, turn,
+text) into pieces of about ``piece_turns``; each edge piece first reports the best score from every role before it to
+every role at its end (a small matrix; at most two conversations a piece report), the driver chains these per
+conversation and fixes the roles at the seams, and each piece decodes between its seams. Decoding is exact either way.
 
 Fitting counts each feature over all labelled rows (sums, pre-aggregated); the driver gets one row for each (role,
 feature value) and each pair of roles. The set of roles is assumed to be small.
@@ -186,10 +187,12 @@ _ORDER = ["__piece", "__conv", "conv_id", "turn", "__hash"]
 _KEPT = ["__piece", "__conv", "conv_id", "turn", "text", "copies"]
 #: Turns put in one batch of results.
 _TURNS = 2000
+#: Rows of a conversation that one task decodes, of a piece of a larger one, and of a task, about.
+LARGE_TURNS, PIECE_TURNS, TASK_TURNS = 100_000, 50_000, 200_000
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """((piece, conversation), its rows of (conv_id, turn, text, copies)), which arrive together."""
+    """((piece, conversation), its rows of (conv_id, turn, text, copies)), which arrive together; equal rows are one."""
     held: list[tuple] = []
     held_key = None
     for batch in batches:
@@ -198,16 +201,37 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
                 if held:
                     yield held_key, held
                 held, held_key = [], (piece, conv)
-            held.append(tuple(row))
+            if held and held[-1][:3] == tuple(row[:3]):
+                held[-1] = (*row[:3], held[-1][3] + row[3])
+            else:
+                held.append(tuple(row))
     if held:
         yield held_key, held
 
 
-def format_turns(rows: DataFrame, model: Model) -> DataFrame:
+def format_turns(rows: DataFrame, model: Model, large_turns: int = LARGE_TURNS, piece_turns: int = PIECE_TURNS) -> DataFrame:
     """From (conv_id, turn, text): rows (conv_id, turn, part, role_pred, rendered, copies), one for each unit."""
-    distinct = rows.select("conv_id", "turn", "text").groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
-    marked = distinct.withColumn("__conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("__hash", F.xxhash64("text"))
-    dealt = marked.repartitionByRange("__conv", "conv_id", "turn", "__hash").withColumn("__piece", F.spark_partition_id())
+    spark = rows.sparkSession
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("__conv")
+    marked = rows.select("conv_id", "turn", "text", conv, F.xxhash64("text").alias("__hash"))
+    sizes = saved(rows.groupBy(conv).agg(F.count("*").alias("n")), "sizes")
+    totals = sizes.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > large_turns, F.col("n"))).alias("large")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(totals.n or 0) // TASK_TURNS))
+
+    def whole(df: DataFrame) -> DataFrame:
+        dealt = df.withColumns({"__piece": F.lit(0), "copies": F.lit(1).cast("long")}).repartition(tasks, "__conv")
+        return _written(dealt.sortWithinPartitions(*_ORDER, "text"), model, {}, rows)
+
+    if not totals.large:
+        return whole(marked)
+    names = sizes.where(F.col("n") > large_turns).select("__conv")
+    large = _in_pieces(marked.join(names, "__conv", "left_semi"), model, -(-totals.large // piece_turns), rows)
+    return whole(marked.join(names, "__conv", "left_anti")).unionByName(large)
+
+
+def _in_pieces(marked: DataFrame, model: Model, pieces: int, rows: DataFrame) -> DataFrame:
+    distinct = marked.groupBy("__conv", "conv_id", "turn", "__hash", "text").agg(F.count("*").alias("copies"))
+    dealt = distinct.repartitionByRange(pieces, "__conv", "conv_id", "turn", "__hash").withColumn("__piece", F.spark_partition_id())
     data = saved(dealt, "turns")
     # Conversations found in more than one piece; a piece shares at most its first and its last.
     shared = data.groupBy("__conv", "__piece").agg(F.lit(1).alias("one")).groupBy("__conv").agg(F.count("*").alias("n")).where("n > 1")
@@ -220,7 +244,7 @@ def format_turns(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([piece], pa.int32()), *ways], names=["conv", "piece", "at_start", "later"])
 
     def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition("__piece").sortWithinPartitions(*_ORDER)
+        return df.repartitionById(pieces, F.col("__piece")).sortWithinPartitions(*_ORDER, "text")
 
     edge = data.join(shared.select("__conv"), "__conv", "left_semi").select(*data.columns)
     found = in_order(edge).mapInArrow(report, "conv string, piece int, at_start array<double>, later array<double>").collect()
@@ -241,6 +265,11 @@ def format_turns(rows: DataFrame, model: Model) -> DataFrame:
         for i, r in enumerate(parts):
             seams[conv, r.piece] = (ends[i - 1] if i else None, ends[i])
 
+    return _written(in_order(data), model, seams, rows)
+
+
+def _written(data: DataFrame, model: Model, seams: dict, rows: DataFrame) -> DataFrame:
+    """Decoded and rendered units of rows that arrive by piece, conversation and turn."""
     kinds = dict(rows.select("conv_id", "turn").dtypes)
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, part int, role_pred string, rendered string, copies long"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
@@ -265,7 +294,7 @@ def format_turns(rows: DataFrame, model: Model) -> DataFrame:
                 out = []
         yield flush()
 
-    return in_order(data).mapInArrow(write, schema)
+    return data.select(*_KEPT).mapInArrow(write, schema)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

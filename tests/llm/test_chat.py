@@ -46,9 +46,11 @@ def test_long_conversation_spans_pieces(spark):
     rows += [(c, t, ["user", "assistant"][t % 2], "w " * (5 if t % 2 == 0 else 80)) for c in range(20, 60) for t in range(4)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     m = chat.fit(df)
-    out = chat.format_turns(df, m)
+    # In pieces, and as a whole.
+    out = chat.format_turns(df, m, 100, 300)
     got = {(r.conv_id, r.turn): r.role_pred for r in out.collect()}
     assert len(got) == len(rows)
+    assert got == {(r.conv_id, r.turn): r.role_pred for r in chat.format_turns(df, m).collect()}
     for conv in (7, 30):
         mine = sorted(r for r in rows if r[0] == conv)
         path = chat.decode(m, [m.score(*u) for r in mine for u in chat.units(r[3])])
@@ -70,5 +72,31 @@ def test_edges(spark, role):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, rendered string")
     out = chat.format_turns(df, chat.fit(df)).collect()
     assert len(out) == 5 and sorted(r.copies for r in out) == [1, 1, 1, 1, 2]
+    again = chat.format_turns(df, chat.fit(df), 0, 1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
     empty = df.limit(0)
     assert chat.format_turns(empty, chat.fit(empty)).count() == 0
+
+
+def test_fit_against_plain_counts(spark):
+    rng = random.Random(23)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["User: a b?", "- x\n- y", "plain " * rng.randint(1, 9), "AI: ok\nUser: why?"])) for c in range(40) for t in range(5)]
+    m = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    units, seen = {r: 2 * chat.PRIOR for r in m.roles}, {}
+    for _, _, role, text in rows:
+        for unit in chat.units(text) if role else []:
+            units[role] += 1
+            for f in chat.features(*unit):
+                seen.setdefault(f, dict.fromkeys(m.roles, chat.PRIOR))[role] += 1
+    for role in chat.MARKERS:
+        if role in m.roles:
+            seen.setdefault(f"marker={role}", dict.fromkeys(m.roles, chat.PRIOR))[role] += chat.SURE
+    assert m.emit.keys() == seen.keys()
+    for f, by_role in seen.items():
+        assert np.allclose(m.emit[f], [np.log(by_role[r] / units[r]) for r in m.roles])
+    roles = {(c, t): r for c, t, r, _ in rows if r}
+    move = np.full((len(m.roles),) * 2, chat.PRIOR)
+    for (c, t), r in roles.items():
+        if (c, t - 1) in roles:
+            move[m.roles.index(roles[c, t - 1]), m.roles.index(r)] += 1
+    assert np.allclose(m.move, np.log(move / move.sum(axis=1, keepdims=True)))

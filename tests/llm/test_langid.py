@@ -74,3 +74,38 @@ def test_copies_count_once(spark):
     want = langid.fit(once, sample_docs=2)
     assert model.langs == want.langs == [lang for lang, _ in texts]
     assert (model.keys == want.keys).all() and (model.ranks == want.ranks).all() and (model.order == want.order).all()
+
+
+def test_profiles_and_choice_against_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").limit(400).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_docs=10**9)
+
+    def grams(text):
+        return dict(zip(*(x.tolist() for x in langid.ngrams(text.encode()))))
+
+    totals = {}
+    for lang, text in {(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None}:
+        totals.setdefault(lang, Counter()).update(grams(text))
+    profile = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: model.length]] for lang, c in totals.items()}
+    assert model.langs == sorted(profile, key=lambda x: x.encode())
+    kept = Counter()
+    for lang, grams_ in profile.items():
+        for g in grams_:
+            kept[g] += totals[lang][g]
+    order = {g: i for i, (g, _) in enumerate(sorted(kept.items(), key=lambda x: (-x[1], x[0])))}
+    for r in rows[:120]:
+        own = grams(r.text or "")
+        if not own:
+            assert model.predict((r.text or "").encode())[0] == "und"
+            continue
+        known = sorted((g for g in own if g in order), key=lambda g: (-own[g], order[g]))
+        unknown = [g for g in own if g not in order]
+        ranked = sorted(known + unknown, key=lambda g: (-own[g], order.get(g, len(order))))[: model.length]
+        away = {}
+        for lang in model.langs:
+            rank = {g: i for i, g in enumerate(profile[lang])}
+            away[lang] = sum(min(abs(rank[g] - i), model.length) if g in rank else model.length for i, g in enumerate(ranked))
+        best = min(model.langs, key=lambda x: (away[x], x.encode()))
+        lang, score = model.predict(r.text.encode())
+        assert lang == best and score == pytest.approx(1 - away[best] / (model.length * len(ranked)))
