@@ -110,6 +110,9 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder of its own (as a URI) below the shared one. It is removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -119,6 +122,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     files.mkdirs(target)
     files.deleteOnExit(target)
     files.delete(target, True)
+    _folders.append(path)
     return path
 
 
@@ -130,6 +134,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, written and read again, and its folder; the folders made on the way are removed."""
+    first = len(_folders)
+    done = saved(make(), label)
+    for path in _folders[first:-1]:
+        drop_folder(spark, path)
+    path = _folders[-1]
+    del _folders[first:]
+    return done, path
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     target, files = _hadoop_path(spark, path)
     files.delete(target, True)
