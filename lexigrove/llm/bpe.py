@@ -45,6 +45,7 @@ class RankQueueBPE:
         self.find = regex.compile(pattern).findall
         self.leaves = (max(ranks.values(), default=0) >> 8) + 1
         self.kind = "H" if max(ranks.values(), default=0) < 1 << 16 else "L"
+        self.memo = MEMO
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -133,7 +134,7 @@ class RankQueueBPE:
         if found is None:
             found = array(self.kind, self.encode_piece(token.encode())).tobytes()
         if len(token) <= MEMO_CHARS:
-            if len(self.young) >= MEMO:
+            if len(self.young) >= self.memo:
                 self.old, self.young = self.young, {}
             self.young[token] = found
         return found
@@ -146,9 +147,11 @@ class RankQueueBPE:
 
 
 @lru_cache(maxsize=2)
-def engine(path: str, pattern: str) -> RankQueueBPE:
+def engine(path: str, pattern: str, memo: int = MEMO) -> RankQueueBPE:
     """One engine, with its memo, per worker process."""
-    return RankQueueBPE(load_ranks(path), pattern)
+    made = RankQueueBPE(load_ranks(path), pattern)
+    made.memo = memo
+    return made
 
 
 def _text(value: bytes | None) -> str:
@@ -177,11 +180,14 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return over_rows(df.select(F.col(id_col), F.col(ids_col).alias("ids")), run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode the ids, and return digests of both: n_tokens, ids_sha256, decoded_sha256, n_bytes."""
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """Encode, decode the ids, and return digests of both: n_tokens, ids_sha256, decoded_sha256, n_bytes.
+
+    A worker holds twice ``memo`` pre-tokens: fewer take less memory and more time.
+    """
 
     def run(keys, texts):
-        bpe = engine(path, pattern)
+        bpe = engine(path, pattern, memo)
         counts, ids_hash, text_hash, sizes = [], [], [], []
         for t in texts:
             ids = bpe.encode(_text(t))

@@ -132,10 +132,10 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _log_factorial(n: str) -> str:
-    """SQL of ln n!, exact for small n, by Stirling's series beyond."""
-    exact = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(32))
-    series = f"(({n}) + 0.5D) * ln(({n}) + 1D) - (({n}) + 1D) + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12D * (({n}) + 1D)) - 1D / (360D * power(({n}) + 1D, 3))"
-    return f"if(({n}) < 32, array({exact})[cast(least({n}, 31) as int)], {series})"
+    """SQL of ln n!: Stirling's series of (n + 8)!, less the factors beyond n; right to ten places."""
+    z = f"({n} + 9D)"
+    factors = " * ".join(f"({n} + {i}D)" for i in range(1, 9))
+    return f"({z} - 0.5D) * ln({z}) - {z} + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12D * {z}) - 1D / (360D * {z} * {z} * {z}) - ln({factors})"
 
 
 def _hypergeometric(total: str, good: str, drawn: str, hashed: str) -> str:
@@ -150,7 +150,7 @@ def _hypergeometric(total: str, good: str, drawn: str, hashed: str) -> str:
         shiftrightunsigned(v.h, 11) / 9007199254740992D AS p)"""
     mode = "struct(w.t AS t, w.g AS g, w.x AS x, w.low AS low, w.high AS high, least(w.high, greatest(w.low, w.peak)) AS mode, w.steps AS steps, w.p AS p)"
     plus, minus = ["v.g", "v.t - v.g", "v.x", "v.t - v.x"], ["v.mode", "v.g - v.mode", "v.x - v.mode", "v.t - v.g - v.x + v.mode", "v.t"]
-    at_mode = "exp(" + " + ".join(map(_log_factorial, plus)) + " - " + " - ".join(map(_log_factorial, minus)) + ")"
+    at_mode = "exp(" + " + ".join(f"({_log_factorial(n)})" for n in plus) + "".join(f" - ({_log_factorial(n)})" for n in minus) + ")"
     up = "if(s.a < v.high, s.up * (v.g - s.a) * (v.x - s.a) / ((s.a + 1D) * (v.t - v.g - v.x + s.a + 1D)), 0D)"
     down = "if(s.b > v.low, s.down * s.b * (v.t - v.g - v.x + s.b) / ((v.g - s.b + 1D) * (v.x - s.b + 1D)), 0D)"
     step = _let(
