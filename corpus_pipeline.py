@@ -15,6 +15,8 @@ from lexigrove.llm.common import drop_folder, settled, table
 
 #: Texts whose n-grams fit no language profile better than this are rejected, as are texts without letters.
 LEAST_LANGUAGE_SCORE = 0.30
+#: Pre-tokens a worker remembers in each of two generations: fewer than alone, as workers also keep what other stages need.
+PIPELINE_MEMO = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is the empty one; repeated rows, such as documents drawn more than once, give a row each.
     """
-    return bpe.round_trip(docs, *bpe.default_vocabulary())
+    return bpe.round_trip(docs, *bpe.default_vocabulary(), memo=PIPELINE_MEMO)
 
 
 STAGES = [
