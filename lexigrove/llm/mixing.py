@@ -191,8 +191,8 @@ def split(sources: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         padded.alias("quotas"),
     )
     for level in range(max(0, (shards - 1).bit_length())):
-        if level == 3:
-            nodes = nodes.repartition("node")
+        # Written after each level: the plan of a whole tree would fill the driver. Eight nodes are dealt to tasks.
+        nodes = saved(nodes.repartition("node") if level == 3 else nodes, "nodes") if level else nodes
         # Sums of groups of sources: level j has 2**j groups.
         nodes = nodes.withColumns({"mid": F.expr("(lo + hi + 1) div 2").cast("int"), f"sum{halvings}": F.col("quotas")})
         for j in reversed(range(halvings)):
