@@ -61,42 +61,61 @@ def _uploaded(chunks: DataFrame) -> Column:
     return F.coalesce(F.col("document_source") == "uploaded", F.lit(False)) if "document_source" in chunks.columns else F.lit(False)
 
 
+def masked(chunks: DataFrame) -> DataFrame:
+    """Chunks with the marks uploaded and noisy, which an index already has."""
+    made = {"uploaded": _uploaded(chunks), "noisy": navigation(F.col("chunk_text"))}
+    return chunks.withColumns({c: v for c, v in made.items() if c not in chunks.columns})
+
+
 def with_levels(queries: DataFrame, chunks: DataFrame, infer: bool = True, drop_noise: bool = True) -> DataFrame:
     """Adds company, year and drop_noise as they apply to each query: the first of three levels that leaves a chunk.
 
-    Chunks are counted once by (company, year, uploaded, noisy); queries are only compared with those few counts.
+    Chunks are counted by (company, year), by either and at all; a query looks up the count of its own filter, so the
+    work grows with the queries and not with their product with companies and years. Uploaded chunks fit any filter.
     """
-    cells = (
-        chunks.select(
-            F.col("company").alias("c_company"),
-            F.col("fiscal_year").alias("c_year"),
-            _uploaded(chunks).alias("c_uploaded"),
-            (navigation(F.col("chunk_text")) if drop_noise else F.lit(False)).alias("c_noisy"),
-        )
-        .groupBy("c_company", "c_year", "c_uploaded", "c_noisy")
-        .agg(F.count("*").alias("cell"))
+    rows = masked(chunks).select(
+        F.col("company").alias("c_company"),
+        F.col("fiscal_year").cast("int").alias("c_year"),
+        F.col("uploaded").alias("c_uploaded"),
+        (F.col("noisy") if drop_noise else F.lit(False)).alias("c_noisy"),
     )
-    asked = with_filters(queries, infer)
-
-    def fits(level: int) -> Column:
-        company, year = F.col(f"company_{level}"), F.col(f"year_{level}")
-        right = (company.isNull() | (F.col("c_company") == company) | F.col("c_uploaded")) & (
-            year.isNull() | (F.col("c_year") == year) | F.col("c_uploaded")
-        )
-        return F.sum(F.when(right & ~F.col("c_noisy"), F.col("cell")).otherwise(0))
-
-    keys = ["query_id", "company_1", "year_1", "company_2", "year_2"]
-    counts = asked.select(*keys).join(F.broadcast(cells)).groupBy(*keys).agg(fits(1).alias("n1"), fits(2).alias("n2"), F.sum("cell").alias("n3"))
-    level = F.when(F.col("n1") > 0, 1).when(F.col("n2") > 0, 2).otherwise(3)
-    chosen = counts.select(
-        "query_id",
-        level.alias("level"),
-        F.when(level == 1, F.col("company_1")).when(level == 2, F.col("company_2")).alias("company"),
-        F.when(level == 1, F.col("year_1")).when(level == 2, F.col("year_2")).alias("year"),
-        ((level < 3) & F.lit(drop_noise)).alias("drop_noise"),
-        F.when(level == 1, F.col("n1")).when(level == 2, F.col("n2")).otherwise(F.col("n3")).alias("n_candidates"),
+    totals = rows.agg(F.struct(F.count("*").alias("every"), F.count_if(F.col("c_uploaded") & ~F.col("c_noisy")).alias("uploaded")).alias("t"))
+    groups = rows.where(~F.col("c_uploaded") & ~F.col("c_noisy")).cube("c_company", "c_year")
+    own = groups.agg(F.count("*").alias("own"), F.grouping("c_company").alias("any_company"), F.grouping("c_year").alias("any_year"))
+    own = own.where("(any_company = 1 OR c_company IS NOT NULL) AND (any_year = 1 OR c_year IS NOT NULL)")
+    out = with_filters(queries, infer).withColumn("__total", totals.scalar())
+    for level in (1, 2):
+        counted = own.select(F.col("c_company").alias("__company"), F.col("c_year").alias("__year"), F.col("own").alias(f"__n{level}"))
+        fits = F.col(f"company_{level}").eqNullSafe(F.col("__company")) & F.col(f"year_{level}").eqNullSafe(F.col("__year"))
+        out = out.join(counted, fits, "left").drop("__company", "__year")
+    n = {i: F.coalesce(f"__n{i}", F.lit(0)) + F.col("__total.uploaded") for i in (1, 2)}
+    pick = lambda one, two, three: F.when(n[1] > 0, one).when(n[2] > 0, two).otherwise(three)
+    out = out.select(
+        *[c for c in queries.columns if c not in ("level", "company", "year", "drop_noise", "n_candidates")],
+        pick(F.lit(1), F.lit(2), F.lit(3)).alias("level"),
+        pick(F.col("company_1"), F.col("company_2"), F.lit(None)).alias("company"),
+        pick(F.col("year_1"), F.col("year_2"), F.lit(None)).alias("year"),
+        (pick(F.lit(True), F.lit(True), F.lit(False)) & F.lit(drop_noise)).alias("drop_noise"),
+        pick(n[1], n[2], F.col("__total.every")).alias("n_candidates"),
     )
-    return queries.join(chosen, "query_id")
+    return out
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+
+
+def first_by_filter(rows: DataFrame, keys: list[str], order: list[str], k: int, fixed: list[str] | None = None) -> DataFrame:
+    """The first k rows of every filter by the keys, where null stands for any value; rows without a value fit only that.
+
+    Rows are cut to k of each set of values before they are repeated for the filters.
+    """
+    kinds, fixed = dict(rows.dtypes), fixed or []
+    out = _first(rows, keys + fixed, order, k)
+    for c in keys:
+        out = out.withColumn(c, F.explode(F.array_distinct(F.array(F.lit(None).cast(kinds[c]), F.col(c)))))
+    return _first(out, keys + fixed, order, k)
 
 
 # Dense -------------------------------------------------------------------------------------------------------
@@ -115,12 +134,14 @@ def _unit(rows) -> np.ndarray:
     return matrix / np.where(norm == 0, 1.0, norm)
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best and of all that tie with the last of them."""
-    if len(score) <= k:
-        return np.flatnonzero(score > -np.inf)
+def _best(score: np.ndarray, k: int, names: np.ndarray) -> np.ndarray:
+    """Places of the k best; ties by name."""
+    valid = np.flatnonzero(score > -np.inf)
+    if len(valid) <= k:
+        return valid
     last = np.partition(score, len(score) - k)[len(score) - k]
-    return np.flatnonzero((score >= last) & (score > -np.inf))
+    above, tied = np.flatnonzero(score > last), np.flatnonzero(score == last)
+    return np.concatenate([above, tied[np.argsort(names[tied], kind="stable")[: k - len(above)]]])
 
 
 def dense(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -128,6 +149,7 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id")
 
     ``queries`` has query_id and embedding, and optionally company, year and drop_noise to filter by; ``chunks`` then
     has company, fiscal_year, uploaded and noisy. Scores are rounded to nine places, so summation order decides nothing.
+    Chunks without a key or a vector are left out. No task holds or sends more than k rows of a query, whatever ties.
     """
     kinds = dict(chunks.dtypes)
     filtered = "drop_noise" in queries.columns
@@ -155,7 +177,7 @@ def _scorer(rows: list, k: int, key: str, filtered: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for batch in batches:
-            batch = batch[batch["embedding"].notna()]
+            batch = batch[batch["embedding"].notna() & batch[key].notna()]
             if not len(batch):
                 continue
             score = np.round(vectors @ _unit(batch["embedding"]).T, 9)
@@ -173,19 +195,19 @@ def _scorer(rows: list, k: int, key: str, filtered: bool):
                     score[i, ~good] = -np.inf
             names = batch[key].to_numpy()
             for i, r in enumerate(ids):
-                best = _best(score[i], k)
+                best = _best(score[i], k, names)
                 kept.append(pd.DataFrame({"query_id": r, key: names[best], "score": score[i, best]}))
             if len(kept) > 4 * len(ids):
-                kept = [_trim(pd.concat(kept, ignore_index=True), k)]
+                kept = [_trim(pd.concat(kept, ignore_index=True), k, key)]
         if kept:
-            yield _trim(pd.concat(kept, ignore_index=True), k)
+            yield _trim(pd.concat(kept, ignore_index=True), k, key)
 
     return run
 
 
-def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    rank = found.groupby("query_id")["score"].rank(method="min", ascending=False)
-    return found[rank <= k].reset_index(drop=True)
+def _trim(found: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
+    best = found.sort_values(["score", key], ascending=[False, True], kind="stable")
+    return best.groupby("query_id", sort=False).head(k).reset_index(drop=True)
 
 
 def index(chunks: DataFrame, embeddings: DataFrame, model: str | None = None) -> DataFrame:
@@ -228,16 +250,15 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _total(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"))
-
-
 def tfidf(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """TF-IDF cosine over the whole corpus: (query_id, chunk_id, score, rank). Chunks without a common term score 0."""
+    """TF-IDF cosine: (query_id, chunk_id, score, rank). Chunks without a common term score 0.
+
+    Statistics are those of the whole corpus. Queries with company, year and drop_noise (see :func:`with_levels`) only
+    find chunks that fit these.
+    """
     posted = postings(chunks, ["chunk_id"], F.col("chunk_text"), True)
-    idf = document_frequency(posted).crossJoin(F.broadcast(_total(chunks))).select(
-        "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
-    )
+    corpus = document_frequency(posted).withColumn("n", chunks.agg(F.count("*")).scalar())
+    idf = corpus.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weight = (1.0 + F.log("tf")) * F.col("idf")
     docs = posted.join(idf, "term").select("chunk_id", "term", weight.alias("w"))
     norms = docs.groupBy("chunk_id").agg(F.greatest(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(1e-12)).alias("norm"))
@@ -247,17 +268,44 @@ def tfidf(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = dots.join(norms, "chunk_id").join(qnorms, "query_id").select(
         "query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score")
     )
+    if "drop_noise" in queries.columns:
+        marks = masked(chunks).select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").alias("c_year"), "uploaded", "noisy")
+        scored = scored.join(marks, "chunk_id").join(queries.select("query_id", "company", "year", "drop_noise"), "query_id").where(
+            (F.col("company").isNull() | (F.col("c_company") == F.col("company")) | F.col("uploaded"))
+            & (F.col("year").isNull() | (F.col("c_year") == F.col("year")) | F.col("uploaded"))
+            & (~F.col("drop_noise") | ~F.col("noisy"))
+        )
     return ranked(filled(scored, chunks, queries, k), k)
 
 
 def filled(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Adds the first k chunks by id with score 0, for queries that match fewer than k."""
-    spare = chunks.select("chunk_id").orderBy("chunk_id").limit(k)
-    zero = queries.select("query_id").join(F.broadcast(spare)).withColumn("score", F.lit(0.0))
-    both = scored.select("query_id", "chunk_id", "score").unionByName(zero)
+    """Adds the first k chunks by id with score 0, of those that fit the query, for queries that match fewer than k."""
+    if "drop_noise" in queries.columns:
+        zero = _fitting(chunks, queries, k)
+    else:
+        first = chunks.select("chunk_id").orderBy("chunk_id").limit(k).agg(F.collect_list("chunk_id")).scalar()
+        zero = queries.select("query_id", F.explode(first).alias("chunk_id"))
+    both = scored.select("query_id", "chunk_id", "score").unionByName(zero.withColumn("score", F.lit(0.0)))
     return both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
+def _fitting(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first k chunks by id that fit each query's filters; lists of at most k ids meet a query by its filter."""
+    marked = masked(chunks).select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").cast("int").alias("c_year"), "uploaded", "noisy")
+    kinds = F.when(~F.col("noisy"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    rows = marked.withColumn("c_drop", F.explode(kinds)).drop("noisy")
+    own = first_by_filter(rows.where("NOT uploaded").drop("uploaded"), ["c_company", "c_year"], ["chunk_id"], k, ["c_drop"])
+    own = own.groupBy("c_company", "c_year", "c_drop").agg(F.collect_list("chunk_id").alias("own"))
+    every = _first(rows.where("uploaded").select("chunk_id", "c_drop"), ["c_drop"], ["chunk_id"], k)
+    every = every.groupBy(F.col("c_drop").alias("u_drop")).agg(F.collect_list("chunk_id").alias("everywhere"))
+    asked = queries.select("query_id", "company", "year", "drop_noise")
+    fits = F.col("company").eqNullSafe(F.col("c_company")) & F.col("year").eqNullSafe(F.col("c_year")) & (F.col("drop_noise") == F.col("c_drop"))
+    both = asked.join(own, fits, "left").join(every, F.col("drop_noise") == F.col("u_drop"), "left")
+    none = F.array().cast(f"array<{dict(chunks.dtypes)['chunk_id']}>")
+    ids = F.concat(F.coalesce("own", none), F.coalesce("everywhere", none))
+    return both.select("query_id", F.explode(F.slice(F.array_sort(F.array_distinct(ids)), 1, k)).alias("chunk_id"))
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
@@ -295,10 +343,10 @@ def lexical_fallback(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame
     )
     found = held.join(wanted, "term").where(allowed()).groupBy("query_id", "chunk_id", "page_start").agg(F.count("*").alias("found"))
     scored = found.join(size, "query_id").select("query_id", "chunk_id", "page_start", (F.col("found") / F.col("wanted")).alias("lexical_score"))
-    # The first k chunks of each (company, year) are all that can fill up a query.
-    first = F.row_number().over(Window.partitionBy("company", "fiscal_year").orderBy("page_start", "chunk_id"))
-    spare = chunks.select("chunk_id", "company", "fiscal_year", "page_start").withColumn("first", first).where(F.col("first") <= k)
-    fill = asked.join(F.broadcast(spare)).where(allowed()).select("query_id", "chunk_id", "page_start", F.lit(0.0).alias("lexical_score"))
+    spare = chunks.select(slug(F.col("company")).alias("c_company"), F.col("fiscal_year").try_cast("int").alias("c_year"), "chunk_id", "page_start")
+    spare = first_by_filter(spare, ["c_company", "c_year"], ["page_start", "chunk_id"], k)
+    fits = F.col("q_company").eqNullSafe(F.col("c_company")) & F.col("q_year").eqNullSafe(F.col("c_year"))
+    fill = asked.join(spare, fits).select("query_id", "chunk_id", "page_start", F.lit(0.0).alias("lexical_score"))
     both = scored.unionByName(fill).groupBy("query_id", "chunk_id", "page_start").agg(F.max("lexical_score").alias("lexical_score"))
     final = F.round(0.65 * F.col("lexical_score") + 0.35 * F.col("lexical_score"), 9)
     both = both.withColumns({"coverage_score": F.col("lexical_score"), "final_score": final})
@@ -404,7 +452,13 @@ def hybrid(
     rows = rows.withColumns(
         {
             "coverage_score": coverage(F.col("q_terms"), terms(F.col("chunk_text"))),
-            "knowledge_score": F.least(F.lit(1.0), 0.70 * known + 0.30 * fits),
+            "knowledge_coverage_score": known,
+            "knowledge_relation_score": fits,
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "knowledge_score": F.least(F.lit(1.0), 0.70 * F.col("knowledge_coverage_score") + 0.30 * F.col("knowledge_relation_score")),
         }
     )
     if lexical:
@@ -462,12 +516,23 @@ def baseline_schema(found: DataFrame, name: str) -> DataFrame:
     return found.withColumns({c: F.lit(0.0) for c in SCORES} | {"final_score": F.col("score"), "retrieval_mode": F.lit(name)})
 
 
+def results(found: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
+    """Any mode's results in one schema: query, chunk, scores and mode, then the chunk's own columns."""
+    scores = ["query_id", "chunk_id", "rank", "score", *SCORES, "final_score"]
+    own = [c for c in chunks.columns if c == "chunk_id" or c not in (*scores, "embedding", "uploaded", "noisy", "retrieval_mode")]
+    return found.select(*scores, F.lit(name).alias("retrieval_mode")).join(chunks.select(*own), "chunk_id")
+
+
 def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, name: str = "improved", facts: DataFrame | None = None) -> DataFrame:
-    """Top k in any mode, under any of its names."""
+    """Top k in any mode, under any of its names, under the queries' filters; all modes give the same columns."""
     canonical = mode(name)
     if canonical == "classical_ml":
-        return baseline_schema(tfidf(chunks, queries, k), canonical)
+        ready = masked(chunks)
+        found = baseline_schema(tfidf(ready, with_levels(queries, ready), k), canonical)
+        return results(found, chunks, canonical)
     ready = index(chunks, embeddings)
     if canonical == "naive":
-        return baseline_schema(dense(ready, with_levels(queries, ready), k), canonical)
-    return hybrid(ready, queries, k, facts).withColumn("retrieval_mode", F.lit(canonical))
+        found = baseline_schema(dense(ready, with_levels(queries, ready), k), canonical)
+    else:
+        found = hybrid(ready, queries, k, facts)
+    return results(found, chunks, canonical)

@@ -165,6 +165,22 @@ def _sql_base() -> str:
  kept AS (SELECT query_id, chunk_id, lvl, max(lvl) OVER (PARTITION BY query_id) AS top FROM m QUALIFY lvl >= max(lvl) OVER (PARTITION BY query_id))"""
 
 
+@query(
+    "top2_filtered",
+    f"""WITH {_sql_base()}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk_text', True)}) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
+ idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM post, n GROUP BY term, n), dw AS (SELECT chunk_id, term, (1.0 + ln(tf)) * idf AS w FROM post JOIN idf USING (term)),
+ dn AS (SELECT chunk_id, greatest(sqrt(sum(w * w)), 1e-12) AS norm FROM dw GROUP BY chunk_id), qt AS (SELECT query_id, unnest({M.terms('query_text', True)}) AS term FROM q),
+ qp AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY ALL), qw AS (SELECT query_id, term, (1.0 + ln(tf)) * idf AS w FROM qp JOIN idf USING (term)),
+ qn AS (SELECT query_id, greatest(sqrt(sum(w * w)), 1e-12) AS norm FROM qw GROUP BY query_id), dots AS (SELECT query_id, chunk_id, sum(dw.w * qw.w) AS d FROM dw JOIN qw USING (term) GROUP BY ALL),
+ s AS (SELECT query_id, chunk_id, round(coalesce(d / (dn.norm * qn.norm), 0), 9) AS score FROM kept LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN dn USING (chunk_id) LEFT JOIN qn USING (query_id))
+ SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 5""",
+)
+def top2_filtered(spark, sf):
+    """Classical retrieval under company, year and noise filters of each fallback level."""
+    ready = retrieval.masked(M.chunks(spark, sf))
+    return retrieval.tfidf(ready, retrieval.with_levels(_search(spark, sf), ready), 5)
+
+
 @query("flt2_mask_levels", f"WITH {_sql_base()} SELECT query_id, (4 - any_value(top))::INT AS level, count(*)::BIGINT AS n_candidates FROM kept GROUP BY query_id")
 def flt2(spark, sf):
     return retrieval.with_levels(_search(spark, sf), _index(spark, sf)).select("query_id", "level", "n_candidates")
