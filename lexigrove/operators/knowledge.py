@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,7 @@ def entity_type(value: Column) -> Column:
     return _lookup(F.lower(_text(value)), V.ENTITY_TYPES)
 
 
-def is_entity(text: Column, kind: Column) -> Column:
-    low = F.lower(strip(text))
+def _is_entity(low: Column, kind: Column) -> Column:
     bad = (
         ((kind == "product") & low.isin(V.NOT_PRODUCTS))
         | ((kind == "financial_metric") & low.isin(V.NOT_METRICS))
@@ -42,24 +42,47 @@ def is_entity(text: Column, kind: Column) -> Column:
     return ~bad & (F.length(low) > 1)
 
 
+def is_entity(text: Column, kind: Column) -> Column:
+    return _is_entity(F.lower(strip(text)), kind)
+
+
+def first_items(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Items of an array whose key (a text) is met for the first time, in order."""
+    return let(items, lambda xs: let(F.transform(xs, key), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, key(x)) == i + 1)))
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws("\u0000", *parts)
+
+
 def entities(responses: DataFrame) -> DataFrame:
-    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk."""
-    items = F.from_json(F.col("response"), f"entities {ENTITIES}")["entities"]
-    rows = responses.withColumn("items", items).select("*", F.posexplode("items").alias("ordinal", "item"))
-    rows = rows.select(
+    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk.
+
+    A chunk has one response. Its items are cleaned, checked and made distinct inside their array, so nothing is shuffled.
+    """
+
+    def item(x: Column, i: Column) -> Column:
+        kind = entity_type(x["entity_type"])
+        return let(
+            _text(x["entity_text"]),
+            lambda text: F.struct(text.alias("text"), F.lower(text).alias("low"), kind.alias("kind"), confidence(x["confidence"]).alias("confidence"), i.alias("ordinal")),
+        )
+
+    items = F.transform(F.from_json(F.col("response"), f"entities {ENTITIES}")["entities"], item)
+    valid = F.filter(items, lambda x: x["kind"].isNotNull() & _is_entity(x["low"], x["kind"]))
+    rows = responses.select("*", F.explode(first_items(valid, lambda x: _key(x["kind"], x["low"]))).alias("item"))
+    return rows.select(
         "chunk_id",
-        _text(F.col("item.entity_text")).alias("entity_text"),
-        entity_type(F.col("item.entity_type")).alias("entity_type"),
-        confidence(F.col("item.confidence")).alias("confidence"),
+        F.col("item.text").alias("entity_text"),
+        F.col("item.kind").alias("entity_type"),
+        F.col("item.confidence").alias("confidence"),
         F.col("doc_id").alias("source_doc_id"),
         F.col("fiscal_year").cast("int").alias("year"),
         "company",
         "page_start",
         "page_end",
-        "ordinal",
+        F.col("item.ordinal").alias("ordinal"),
     )
-    valid = rows.where(F.col("entity_type").isNotNull() & is_entity(F.col("entity_text"), F.col("entity_type")))
-    return keep_first(valid.withColumn("__low", F.lower("entity_text")), ["chunk_id", "__low", "entity_type"], ["ordinal"]).drop("__low")
 
 
 def relation(value: Column) -> Column:
@@ -86,31 +109,36 @@ def is_triplet(a: Column, name: Column, b: Column) -> Column:
 
 
 def triplets(responses: DataFrame) -> DataFrame:
-    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid relations, once a chunk."""
-    items = F.from_json(F.col("response"), f"triplets {TRIPLETS}")["triplets"]
-    rows = responses.withColumn("items", items).select("*", F.posexplode("items").alias("ordinal", "item"))
-    rows = rows.select(
+    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid relations, once a chunk.
+
+    A chunk has one response, whose items are cleaned, checked and made distinct inside their array.
+    """
+
+    def item(x: Column, i: Column) -> Column:
+        return F.struct(_text(x["entity_a"]).alias("a"), relation(x["relation"]).alias("name"), _text(x["entity_b"]).alias("b"), i.alias("ordinal"))
+
+    items = F.transform(F.from_json(F.col("response"), f"triplets {TRIPLETS}")["triplets"], item)
+    valid = F.filter(items, lambda x: is_triplet(x["a"], x["name"], x["b"]))
+    once = first_items(valid, lambda x: _key(F.lower(x["a"]), x["name"], F.lower(x["b"])))
+    return responses.select("*", F.explode(once).alias("item")).select(
         "chunk_id",
-        _text(F.col("item.entity_a")).alias("entity_a"),
-        relation(F.col("item.relation")).alias("relation"),
-        _text(F.col("item.entity_b")).alias("entity_b"),
+        F.col("item.a").alias("entity_a"),
+        F.col("item.name").alias("relation"),
+        F.col("item.b").alias("entity_b"),
         F.col("fiscal_year").cast("int").alias("year"),
         "company",
         "doc_id",
         "page_start",
         "page_end",
-        "ordinal",
+        F.col("item.ordinal").alias("ordinal"),
     )
-    valid = rows.where(is_triplet(F.col("entity_a"), F.col("relation"), F.col("entity_b")))
-    marked = valid.withColumns({"__a": F.lower("entity_a"), "__b": F.lower("entity_b")})
-    return keep_first(marked, ["chunk_id", "__a", "relation", "__b"], ["ordinal"]).drop("__a", "__b")
 
 
-def distinct_texts(df: DataFrame, key: str, text: Column, name: str, order: str = "ordinal") -> DataFrame:
-    """For each key the texts in order, stripped, non-empty, once whatever their case: the first spelling stays."""
-    rows = df.where(F.col(key).isNotNull()).select(key, _text(text).alias("text"), F.col(order).alias("at")).where("text <> ''")
-    first = rows.groupBy(key, F.lower("text").alias("low")).agg(F.min(F.struct("at", "text")).alias("one"))
-    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["text"]).alias(name))
+def _texts(text: Column, name: str, order: str = "ordinal") -> Column:
+    """Aggregate: a group's texts in order, stripped, non-empty, once whatever their case: the first spelling stays."""
+    text = _text(text)
+    rows = F.array_sort(F.collect_list(F.when(text != "", F.struct(F.col(order).alias("at"), text.alias("text")))))
+    return F.transform(first_items(rows, lambda x: F.lower(x["text"])), lambda x: x["text"]).alias(name)
 
 
 def triplet_label(a: Column, name: Column, b: Column) -> Column:
@@ -121,16 +149,14 @@ def triplet_label(a: Column, name: Column, b: Column) -> Column:
 def chunk_facts(found: DataFrame, related: DataFrame) -> DataFrame:
     """What was extracted from each chunk, from either side."""
     label = triplet_label(F.col("entity_a"), F.col("relation"), F.col("entity_b"))
-    sides = [
-        distinct_texts(found, "chunk_id", F.col("entity_text"), "knowledge_entities"),
-        distinct_texts(found, "chunk_id", F.col("entity_type"), "knowledge_entity_types"),
-        distinct_texts(related, "chunk_id", label, "knowledge_triplets"),
-        distinct_texts(related, "chunk_id", F.col("relation"), "knowledge_relations"),
-        distinct_texts(related.where("relation = 'COMPETES_WITH'"), "chunk_id", F.col("entity_b"), "knowledge_competitors"),
-    ]
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.join(side, "chunk_id", "full")
+    one = found.where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(
+        _texts(F.col("entity_text"), "knowledge_entities"), _texts(F.col("entity_type"), "knowledge_entity_types")
+    )
+    rival = F.when(F.col("relation") == "COMPETES_WITH", F.col("entity_b"))
+    two = related.where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(
+        _texts(label, "knowledge_triplets"), _texts(F.col("relation"), "knowledge_relations"), _texts(rival, "knowledge_competitors")
+    )
+    out = one.join(two, "chunk_id", "full")
     lists = ["knowledge_entities", "knowledge_entity_types", "knowledge_triplets", "knowledge_relations", "knowledge_competitors"]
     out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
     return out.select(

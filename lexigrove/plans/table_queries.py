@@ -184,18 +184,50 @@ def ent2(spark, sf):
     return knowledge.triplets(_responses(spark, sf)).select("chunk_id", "entity_a", "relation", "entity_b", "year", "company")
 
 
+_both_sql = _triplet_sql.removeprefix(f"WITH {M.CHUNKS}, ").replace(" w AS ", " w2 AS ").replace("w AS (", "w2 AS (", 1).replace("FROM w)", "FROM w2)").replace(" e AS (", " e2 AS (").replace("FROM e)", "FROM e2)")
+_both_sql = _both_sql.replace(" t AS (", " t2 AS (").replace("FROM t WHERE", "FROM t2 WHERE").replace(" ok AS (", " ok2 AS (").replace("FROM ok QUALIFY", "FROM ok2 QUALIFY")
+
+
+def _distinct_sql(name: str, table: str, text: str, where: str = "true") -> str:
+    """CTE: a chunk's texts in order, the first spelling of each."""
+    first = f"SELECT chunk_id, min(i) AS i, arg_min({text}, i) AS x FROM {table} WHERE {where} GROUP BY chunk_id, lower({text})"
+    return f"{name} AS (SELECT chunk_id, list(x ORDER BY i, x) AS {name} FROM ({first}) GROUP BY chunk_id)"
+
+
+_sides = [
+    _distinct_sql("names", "entities", "x"),
+    _distinct_sql("kinds", "entities", "kind"),
+    _distinct_sql("labels", "triplets", "a || ' [' || rel || '] ' || b"),
+    _distinct_sql("relations", "triplets", "rel"),
+    _distinct_sql("rivals", "triplets", "b", "rel = 'COMPETES_WITH'"),
+]
+_sha = lambda x: f"sha256(array_to_string({x}, ' '))"
+
+
 @query(
     "agg2_chunk_facts",
-    f"""{_entity_sql}, d AS (SELECT chunk_id, lower(x) AS low, min(i) AS i, arg_min(x, i) AS x FROM entities GROUP BY chunk_id, lower(x)),
- f AS (SELECT chunk_id, list(x ORDER BY i) AS names FROM d GROUP BY chunk_id)
- SELECT chunk_id, len(names)::INT AS entity_count, sha256(array_to_string(names, ' ')) AS names_sha, array_to_string(names[:5], ' | ') AS preview FROM f""",
+    f"""{_entity_sql}, {_both_sql}, {', '.join(_sides)},
+ every AS (SELECT chunk_id, coalesce(names, []) AS names, kinds, coalesce(labels, []) AS labels, coalesce(relations, []) AS relations, coalesce(rivals, []) AS rivals
+ FROM names FULL JOIN kinds USING (chunk_id) FULL JOIN labels USING (chunk_id) FULL JOIN relations USING (chunk_id) FULL JOIN rivals USING (chunk_id))
+ SELECT chunk_id, len(names)::INT AS entity_count, {_sha('names')} AS names_sha, array_to_string(names[:5], ' | ') AS preview, len(labels)::INT AS triplet_count, {_sha('labels')} AS triplets_sha,
+ array_to_string(coalesce(kinds, []), ',') AS kinds, array_to_string(relations, ',') AS relations, {_sha('rivals')} AS rivals_sha, {_sha('names || labels || rivals')} AS text_sha FROM every""",
 )
 def agg2(spark, sf):
-    found = knowledge.entities(_responses(spark, sf))
-    none = found.select("chunk_id", F.lit("a").alias("entity_a"), F.lit("R").alias("relation"), F.lit("b").alias("entity_b"), "ordinal").where(F.lit(False))
-    facts = knowledge.chunk_facts(found, none)
-    sha = F.sha2(F.array_join("knowledge_entities", " ").cast("binary"), 256)
-    return facts.select("chunk_id", "entity_count", sha.alias("names_sha"), F.col("knowledge_entities_preview").alias("preview"))
+    answers = _responses(spark, sf)
+    facts = knowledge.chunk_facts(knowledge.entities(answers), knowledge.triplets(answers))
+    sha = lambda c: F.sha2(F.array_join(c, " ").cast("binary"), 256)
+    return facts.select(
+        "chunk_id",
+        "entity_count",
+        sha("knowledge_entities").alias("names_sha"),
+        F.col("knowledge_entities_preview").alias("preview"),
+        "triplet_count",
+        sha("knowledge_triplets").alias("triplets_sha"),
+        F.array_join("knowledge_entity_types", ",").alias("kinds"),
+        F.array_join("knowledge_relations", ",").alias("relations"),
+        sha("knowledge_competitors").alias("rivals_sha"),
+        F.sha2(F.col("knowledge_text").cast("binary"), 256).alias("text_sha"),
+    )
 
 
 @query(
