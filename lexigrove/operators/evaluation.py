@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import guard
 from ..functions import values as V
 from ..functions.text import cleaned, content_hash, doc_name, optional_int, optional_text, slug
-from .incremental import numbered, upsert
+from .incremental import numbered, union_keep_last
 
 CITATIONS = "array<struct<doc_id: string, page: string>>"
 DONE = ["success", "retrieval_only"]
@@ -137,9 +137,9 @@ def pending_questions(questions: DataFrame, runs: DataFrame, done: list[str] = D
     return out if limit is None else out.orderBy("question_order").limit(limit)
 
 
-def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """Runs with those of the same question replaced."""
-    return upsert(runs.withColumn("ordinal", F.lit(0)), new.withColumn("ordinal", F.lit(0)), ["question_id"]).drop("ordinal")
+def upsert_runs(runs: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Runs with those of the same question replaced, in question order; of new runs of a question, the last by ``order``."""
+    return union_keep_last(runs, new, ["question_id"], order).orderBy("question_order")
 
 
 def run_records(questions: DataFrame, retrieved: DataFrame, answers: DataFrame) -> DataFrame:

@@ -59,15 +59,20 @@ def checkpoint_from_output(output: DataFrame) -> DataFrame:
 
 def bootstrap(checkpoint: DataFrame, output: DataFrame) -> DataFrame:
     """Rows made from the output override the checkpoint's."""
-    made = checkpoint_from_output(output).withColumn("ordinal", F.lit(0))
-    return upsert(checkpoint.withColumn("ordinal", F.lit(0)), made, ["chunk_id"]).drop("ordinal")
+    return union_keep_last(checkpoint, checkpoint_from_output(output), ["chunk_id"])
 
 
-def union_keep_last(base: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
-    """Both tables with columns missing on a side as null; on equal keys the added row stays."""
-    one = base.withColumn("ordinal", F.lit(0)) if "ordinal" not in base.columns else base
-    two = added.withColumn("ordinal", F.lit(0)) if "ordinal" not in added.columns else added
-    return upsert(one, two, key).drop("ordinal")
+def union_keep_last(base: DataFrame, added: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Both tables with columns missing on a side as null; on equal keys the added row stays.
+
+    Of several rows of a key on one side the last by ``order`` stays (by default the column ordinal, where there is
+    one); rows alike in that are decided by a hash of their other columns, so that reruns agree.
+    """
+    both = base.withColumn("__new", F.lit(0)).unionByName(added.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    order = order if order is not None else [c for c in ("ordinal",) if c in both.columns]
+    rest = [c for c in both.columns if c not in (*key, *order, "__new")]
+    tie = [F.xxhash64(*rest)] if rest else []
+    return keep_last(both, key, ["__new", *order, *tie]).drop("__new", "ordinal")
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str, start: int = 1, by: list[str] | None = None) -> DataFrame:

@@ -43,7 +43,11 @@ def read_optional(spark: SparkSession, path: str, columns: dict[str, str]) -> Da
 
 
 def write_table(df: DataFrame, path: str) -> str:
-    """Write whole, by suffix: to a folder aside, renamed in place at the end, so that readers see old or new."""
+    """Write whole, by suffix: to a folder aside that takes the old table's place at the end.
+
+    The old table is kept aside until the new one has its place and is put back if that fails. Between the two renames
+    readers find no table; one that must never miss it reads versions (see operators/index_store).
+    """
     spark = df.sparkSession
     aside = f"{path}.{uuid.uuid4().hex}"
     suffix = path.rpartition(".")[2].lower()
@@ -58,9 +62,16 @@ def write_table(df: DataFrame, path: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs
     old, new = hadoop.Path(path), hadoop.Path(aside)
     files = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
+    before = hadoop.Path(f"{aside}.before")
+    replaced = files.exists(old)
+    if replaced and not files.rename(old, before):
+        raise OSError(f"could not replace {path}")
     if not files.rename(new, old):
+        if replaced:
+            files.rename(before, old)
         raise OSError(f"could not write {path}")
+    if replaced:
+        files.delete(before, True)
     return path
 
 

@@ -43,6 +43,55 @@ def test_three_modes(spark):
     assert naive.score == naive.final_score == 1.0 and naive.lexical_score == naive.hybrid_score == 0.0
 
 
+def test_modes_have_one_schema_and_obey_filters(spark):
+    asked = spark.createDataFrame(
+        [("p", "Adobe design competition", "pfizer", None, [1.0, 0.0]), ("y", "vaccine revenue", None, 1990, [0.0, 1.0]), ("n", "none of these", "adobe", 2022, [1.0, 0.0])],
+        "query_id string, query_text string, company_filter string, fiscal_year_filter int, embedding array<float>",
+    )
+    without = chunks(spark).where("document_source IS NULL")
+    every = None
+    for name in ("naive", "classical_ml", "improved"):
+        found = retrieval.retrieve(chunks(spark), vectors(spark), asked, 5, name)
+        rows = {(r.query_id, r.chunk_id) for r in found.collect()}
+        # Uploaded notes fit any filter; a year that nothing has leaves only them.
+        assert rows == {("p", "chunk_2"), ("p", "chunk_3"), ("y", "chunk_3"), ("n", "chunk_1"), ("n", "chunk_3")}, name
+        alone = {(r.query_id, r.chunk_id) for r in retrieval.retrieve(without, vectors(spark), asked, 5, name).collect()}
+        assert alone == {("p", "chunk_2"), ("y", "chunk_1"), ("y", "chunk_2"), ("n", "chunk_1")}, name
+        every = found if every is None else every.union(found)
+        assert found.columns == every.columns
+    assert every.dropDuplicates(["retrieval_mode"]).count() == 3
+
+
+def test_classical_mode_drops_navigation(spark):
+    extra = spark.createDataFrame([("chunk_0", "a", "adobe", 2022, 1, 1, "Table of Contents", None)], CHUNK)
+    both = retrieval.masked(chunks(spark).unionByName(extra))
+    asked = spark.createDataFrame([("q", "contents", "adobe", 2022)], "query_id string, query_text string, company_filter string, fiscal_year_filter int")
+    found = retrieval.tfidf(both, retrieval.with_levels(asked, both), 5)
+    assert both.where("noisy").count() == 1 and {r.chunk_id for r in found.collect()} == {"chunk_1", "chunk_3"}
+    kept = retrieval.tfidf(both, retrieval.with_levels(asked, both, drop_noise=False), 5)
+    assert [r.chunk_id for r in kept.orderBy("rank").collect()] == ["chunk_0", "chunk_1", "chunk_3"]
+
+
+def test_ties_leave_k_rows(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import Row
+
+    names = [f"c{i:05d}" for i in range(3000)]
+    batches = [pd.DataFrame({"chunk_id": names[i::3], "embedding": [np.array([1.0, 0.0])] * 1000}) for i in (2, 0, 1)]
+    run = retrieval._scorer([Row(query_id="q", embedding=[1.0, 0.0])], 5, "chunk_id", False)
+    out = pd.concat(list(run(iter(batches))))
+    assert sorted(out["chunk_id"]) == names[:5]
+
+
+def test_no_filter_meets_all_queries_at_once(spark):
+    asked = spark.createDataFrame([("q", "software", "adobe", 2022)], "query_id string, query_text string, company_filter string, fiscal_year_filter int")
+    levels = retrieval.with_levels(asked, chunks(spark))
+    for out in (levels, retrieval.tfidf(chunks(spark), levels, 2), retrieval.lexical_fallback(chunks(spark), asked, 2)):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
 def test_filter_levels(spark):
     asked = spark.createDataFrame(
         [("a", "x", "adobe", 2022), ("b", "x", "nobody", None), ("c", "x", "adobe", 1990), ("d", "Pfizer in 2023", None, None)],
@@ -122,6 +171,29 @@ def test_upsert_and_hash(spark):
     assert [r.text_hash for r in incremental.with_hash(df, "t").orderBy("text_hash").collect()] == sorted([hashlib.sha256(b"x").hexdigest(), "h"])
 
 
+def test_last_new_row_stays(spark):
+    old = spark.createDataFrame([("q_2", 2, "keep", 9), ("q_1", 1, "old", 9)], "question_id string, question_order int, payload string, at int")
+    new = spark.createDataFrame([("q_1", 1, "z", 1), ("q_1", 1, "a", 2), ("q_3", 3, "b", 1), ("q_3", 3, "c", 1)], old.schema)
+    tied = set()
+    for part in (new, new.orderBy("payload"), new.orderBy(F.desc("payload"))):
+        out = [(r.question_id, r.payload) for r in evaluation.upsert_runs(old, part, ["at"]).collect()]
+        assert out[:2] == [("q_1", "a"), ("q_2", "keep")] and len(out) == 3
+        tied.add(out[2])
+    assert len(tied) == 1
+    wider = incremental.union_keep_last(old.drop("at"), new.select("question_id", "at"), ["question_id"], ["at"])
+    assert {(r.question_id, r.payload, r["at"]) for r in wider.collect()} == {("q_1", None, 2), ("q_2", "keep", None), ("q_3", None, 1)}
+
+
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    tables.write_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        tables.write_table(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert spark.read.parquet(path).count() == 3
+    tables.write_table(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and not [n for n in tmp_path.iterdir() if n.name.endswith(".before")]
+
+
 def test_verdicts_and_citations(spark):
     df = spark.createDataFrame([("YES",), ("y",), ("no",), (" N ",), ("maybe",)], "x string")
     assert [r[0] for r in df.select(evaluation.verdict(F.col("x"))).collect()] == ["Yes", "Yes", "No", "No", None]
