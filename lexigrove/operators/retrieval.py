@@ -219,14 +219,19 @@ def index(chunks: DataFrame, embeddings: DataFrame, model: str | None = None) ->
 
 
 def query_vectors(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """Vectors by the hash of the text, else by the text itself; queries without one are left out."""
+    """Vectors by the hash of the text, else by the text itself; queries without one are left out.
+
+    Texts are compared by their SHA-256, so the shuffles carry digests; a text is moved only if the caller reads it.
+    """
     from ..functions.text import content_hash
 
-    asked = queries.withColumn("__hash", content_hash(F.col("query_text")))
+    same = F.sha2(F.col("query_text").cast("binary"), 256)
+    asked = queries.withColumns({"__hash": content_hash(F.col("query_text")), "__text": same})
     by_id = cache.select(F.col("query_id").alias("__hash"), F.col("embedding").alias("__one"))
-    by_text = cache.groupBy("query_text").agg(F.max_by("embedding", "query_id").alias("__two"))
-    out = asked.join(by_id, "__hash", "left").join(by_text, "query_text", "left")
-    return out.withColumn("embedding", F.coalesce("__one", "__two")).where("embedding IS NOT NULL").drop("__hash", "__one", "__two")
+    by_text = cache.groupBy(same.alias("__text")).agg(F.max_by("embedding", "query_id").alias("__two"))
+    out = asked.join(by_id, "__hash", "left").join(by_text, "__text", "left")
+    found = out.withColumn("embedding", F.coalesce("__one", "__two")).where("embedding IS NOT NULL")
+    return found.select(*[c for c in queries.columns if c != "embedding"], "embedding")
 
 
 # Lexical -----------------------------------------------------------------------------------------------------
