@@ -57,31 +57,20 @@ def join1(spark, sf):
     return _index(spark, sf).select("chunk_id", "company", "fiscal_year", F.size("embedding").alias("size"))
 
 
-def _query_vectors(docs, vectors, by_hash):
+@query("join11_all_query_vectors", "SELECT doc_id AS query_id, embedding[1]::DOUBLE AS first FROM documents JOIN embeddings ON vec_id = doc_id")
+def join11_all(spark, sf):
     from ..functions.text import content_hash
 
-    docs = docs.select("doc_id", F.concat("text", F.lit(" #"), "doc_id").alias("query_text"))
+    docs = M.read(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" #"), "doc_id").alias("query_text"))
+    vectors = M.read(spark, sf, "embeddings")
     found = docs.join(vectors, docs.doc_id == F.col("vec_id"))
     # Half of the cache is keyed by the hash of the text, half by another id.
-    key = F.when(by_hash, content_hash(F.col("query_text"))).otherwise(F.concat(F.lit("x"), "doc_id"))
+    key = F.when(F.col("doc_id") % 2 == 0, content_hash(F.col("query_text"))).otherwise(F.concat(F.lit("x"), "doc_id"))
     asked = docs.select(F.col("doc_id").alias("query_id"), "query_text")
     out = retrieval.query_vectors(asked, found.select(key.alias("query_id"), "query_text", "embedding"))
     return out.select("query_id", F.col("embedding")[0].cast("double").alias("first"))
 
 
-@query("join11_all_query_vectors", "SELECT doc_id AS query_id, embedding[1]::DOUBLE AS first FROM documents JOIN embeddings ON vec_id = doc_id")
-def join11_all(spark, sf):
-    return _query_vectors(M.read(spark, sf, "documents"), M.read(spark, sf, "embeddings"), F.col("doc_id") % 2 == 0)
-
-
-@query(
-    "join11_query_vectors",
-    f"SELECT doc_id AS query_id, embedding[1]::DOUBLE AS first FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 2 = 0",
-)
-def join11(spark, sf):
-    return _query_vectors(M.read(spark, sf, "documents").where("doc_id % 2 = 0"), M.read(spark, sf, "embeddings"), F.col("doc_id") % 4 == 0)
-
-
 # Lexical ---------------------------------------------------------------------------------------------------------
 
 

@@ -391,25 +391,13 @@ def join3(spark, sf):
     return out.select(F.col("chunk_id").alias("doc_id"), "entity_count", "knowledge_text")
 
 
-def _entity_context(spark, sf, chunks):
-    found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'")
-    return knowledge.with_context(found, chunks).select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
-
-
 @query(
     "join4_all_entity_context",
     f"{_entity_sql} SELECT e.chunk_id, e.x AS entity_text, c.page_start, length(c.chunk_text)::INT AS chars FROM entities e LEFT JOIN chunks c ON c.chunk_id = e.chunk_id WHERE e.kind = 'company'",
 )
 def join4_all(spark, sf):
-    return _entity_context(spark, sf, M.chunks(spark, sf))
-
-
-@query(
-    "join4_entity_context",
-    f"{_entity_sql} SELECT e.chunk_id, e.x AS entity_text, c.page_start, length(c.chunk_text)::INT AS chars FROM entities e LEFT JOIN chunks c ON c.chunk_id = e.chunk_id AND c.doc_id % 2 = 0 WHERE e.kind = 'company'",
-)
-def join4(spark, sf):
-    return _entity_context(spark, sf, M.chunks(spark, sf).where("doc_id % 2 = 0"))
+    found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'")
+    return knowledge.with_context(found, M.chunks(spark, sf)).select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
 
 
 @query("join5_mentions")
@@ -644,20 +632,11 @@ def evl1(spark, sf):
     return evaluation.load_questions(items, "item_id").select("question_id", F.length("question").alias("chars"), "question_order")
 
 
-def _pending(spark, sf, limit=None):
-    items = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("question_order"))
-    status = F.when(F.col("question_id") % 3 == 0, "success").when(F.col("question_id") % 3 == 1, "error").otherwise("retrieval_only")
-    return evaluation.pending_questions(items, items.select("question_id", status.alias("status")), limit=limit).select("question_id")
-
-
 @query("flt9_all_pending_questions", "SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 = 1")
 def flt9_all(spark, sf):
-    return _pending(spark, sf)
-
-
-@query("flt9_pending_questions", "SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 = 1 ORDER BY item_id LIMIT 10")
-def flt9(spark, sf):
-    return _pending(spark, sf, 10)
+    items = M.read(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("question_order"))
+    status = F.when(F.col("question_id") % 3 == 0, "success").when(F.col("question_id") % 3 == 1, "error").otherwise("retrieval_only")
+    return evaluation.pending_questions(items, items.select("question_id", status.alias("status"))).select("question_id")
 
 
 @query(

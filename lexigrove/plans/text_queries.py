@@ -210,15 +210,6 @@ def flt5_all(spark, sf):
     return knowledge.candidates(rows, "heuristic").select("chunk_id", "company", "fiscal_year", "page_start")
 
 
-@query(
-    "flt5_candidates",
-    f"WITH {M.CHUNKS} SELECT chunk_id, company, fiscal_year, page_start FROM chunks WHERE {M.hits('lower(chunk_text)', [chr(92) + 'b' + h + chr(92) + 'b' for h in V.ENTITY_HINTS])} >= 1 ORDER BY company, fiscal_year, page_start, chunk_id LIMIT 50",
-)
-def flt5(spark, sf):
-    rows = M.chunks(spark, sf).withColumn("page_end", F.col("page_start"))
-    return knowledge.candidates(rows, "heuristic", most=50).select("chunk_id", "company", "fiscal_year", "page_start")
-
-
 @query(
     "flt10_guardrails",
     f"""SELECT conv_id, turn, {M.found("lower(trim(text))", V.INJECTION)} AS injection, {M.found("lower(trim(text))", V.BIAS)} AS bias,

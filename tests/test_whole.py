@@ -1,23 +1,25 @@
-"""Queries over all rows, beside the registered ones whose SQL takes a part."""
+"""Registered queries take all rows; optional limits only when asked."""
 
-import pytest
+from pyspark.sql import functions as F
 
 from lexigrove.operators import evaluation, knowledge
 from lexigrove.plans import registry
 
 LARGER = "/root/testdata/sf0.01"
 
-WHOLE = [
-    ("flt5_all_candidates", "flt5_candidates"),
-    ("join11_all_query_vectors", "join11_query_vectors"),
-    ("flt9_all_pending_questions", "flt9_pending_questions"),
-]
 
+def found(spark, name):
+    return registry.queries()[name](spark, LARGER)
 
-@pytest.mark.parametrize("whole, part", WHOLE)
-def test_all_rows_hold_the_part(spark, whole, part):
-    every, some = ([tuple(r) for r in registry.queries()[n](spark, LARGER).collect()] for n in (whole, part))
-    assert set(some) < set(every) and len(every) > len(some)
+
+def test_all_rows_are_taken(spark):
+    read = lambda t: spark.read.parquet(f"{LARGER}/{t}.parquet")
+    documents, vectors = read("documents"), read("embeddings")
+    with_vector = documents.join(vectors, documents.doc_id == vectors.vec_id).select("doc_id")
+    assert found(spark, "join11_all_query_vectors").select("query_id").exceptAll(with_vector).isEmpty()
+    assert found(spark, "join11_all_query_vectors").count() == with_vector.count()
+    assert found(spark, "flt9_all_pending_questions").count() == read("benchmark").where("item_id % 3 = 1").count() > 10
+    assert found(spark, "flt5_all_candidates").count() > 50
 
 
 def test_candidates_are_capped_only_when_asked(spark):
@@ -45,5 +47,17 @@ def test_entity_context(spark):
 
 
 def test_every_entity_has_its_context(spark):
-    whole, part = (registry.queries()[n](spark, LARGER) for n in ("join4_all_entity_context", "join4_entity_context"))
-    assert whole.where("chars IS NULL").count() == 0 and part.where("chars IS NULL").count() > 0 and whole.count() == part.count()
+    whole = found(spark, "join4_all_entity_context")
+    assert whole.where("chars IS NULL").isEmpty() and not whole.isEmpty()
+
+
+def test_query_vectors_by_hash_else_by_text(spark):
+    from lexigrove.functions.text import content_hash
+    from lexigrove.operators.retrieval import query_vectors
+
+    asked = spark.createDataFrame([(1, "a"), (2, "b "), (3, "c"), (4, None), (5, "a")], "query_id int, query_text string")
+    cache = spark.createDataFrame([("h", "a", [1.0]), ("x2", "b ", [2.0]), ("x3", "b ", [3.0]), ("x4", "b", [4.0])], "query_id string, query_text string, embedding array<double>")
+    by_hash = cache.where("query_id = 'h'").withColumn("query_id", content_hash(F.col("query_text")))
+    out = query_vectors(asked, by_hash.unionByName(cache.where("query_id <> 'h'")))
+    assert out.columns == ["query_id", "query_text", "embedding"]
+    assert {(r.query_id, r.query_text, r.embedding[0]) for r in out.collect()} == {(1, "a", 1.0), (5, "a", 1.0), (2, "b ", 3.0)}
