@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -150,6 +151,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a file: URI of the shared folder."""
     if uri.startswith("file:"):

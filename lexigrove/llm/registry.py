@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash, sql
+from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash, sql, substrings
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_score": lmtrie.op8_lm_score,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
+        "op11_substrings": substrings.op11_substrings,
     }
 
 
