@@ -33,11 +33,11 @@ from .common import over_rows, release, saved, table, text_bytes
 
 K, M = 13, 4
 #: Bytes of strings in a bucket, about, and how many times as many make it overfull.
-BUCKET_BYTES, OVERFULL = 32 << 20, 4
+BUCKET_BYTES, OVERFULL = 16 << 20, 4
 #: Bound of the sample that finds hot minimisers; one part in HOT of its strings makes a minimiser hot.
 SAMPLE_DOCS, HOT = 20_000, 5_000
-#: Bytes of strings that a task combines before it sends them, and words that it cuts at once.
-HELD_BYTES, PIECE_WORDS = 48 << 20, 1 << 18
+#: Bytes of combined strings (with what Python adds) that a task holds before it sends them, and words that it cuts at once.
+HELD_BYTES, PIECE_WORDS = 96 << 20, 1 << 16
 NO_ID = (1 << 63) - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -156,12 +156,12 @@ def _dealt(parts: int, hot: np.ndarray):
                         ids = mine.get(string)
                         if ids is None:
                             mine[string] = [own, own]
-                            size += b - a + 150
+                            size += b - a + 330
                         elif own < ids[0]:
                             ids[0] = own
                         elif own > ids[1]:
                             ids[1] = own
-                    if size > 3 * HELD_BYTES:
+                    if size > HELD_BYTES:
                         yield from flush()
                         size = 0
         yield from flush()
@@ -176,8 +176,8 @@ def _owners(low: np.ndarray, high: np.ndarray, lengths: np.ndarray, text: bytes)
     begins = stops - lengths
     hashes, of, starts, ends = [], [], [], []
     # As many strings at once as make some megabytes: hashing takes 24 bytes for each of theirs.
-    for a in range(0, len(lengths), 1 << 15):
-        b = min(len(lengths), a + (1 << 15))
+    for a in range(0, len(lengths), 1 << 13):
+        b = min(len(lengths), a + (1 << 13))
         base = int(begins[a])
         raw = text[base : int(stops[b - 1])]
         sums, down = _slices(raw)
