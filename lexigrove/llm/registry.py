@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, langid, lmtrie, mixing, pii, repetition, sharding, simhash, sql, substrings
+from . import alignment, bm25, bpe, chat, langid, lmtrie, mixing, pii, prefix_trie, repetition, sharding, simhash, sql, substrings
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
         "op11_substrings": substrings.op11_substrings,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
