@@ -21,7 +21,6 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,10 +110,11 @@ def cut(words: list[bytes], hot: np.ndarray) -> Iterator[tuple[bytes, np.ndarray
 _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 
 
-def _packed(strings: dict[bytes, list[int]]) -> bytes:
+def _packed(strings: dict[bytes, int], greatest: dict[bytes, int]) -> bytes:
     import zstandard
 
-    low, high = np.array(list(strings.values()), np.int64).T
+    low = np.fromiter(strings.values(), np.int64, len(strings))
+    high = np.fromiter(map(greatest.get, strings, strings.values()), np.int64, len(strings))
     lengths = np.fromiter(map(len, strings), np.uint32, len(strings))
     head = np.array([len(strings)], np.int64).tobytes()
     # Ids come in the order of the rows: their steps are small.
@@ -137,13 +137,17 @@ def _dealt(parts: int, hot: np.ndarray):
     """Over rows (id, text): combined strings of each part as compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, list[int]]] = {}
+        # Least ids of the strings of each part, and greatest ones where they differ.
+        held: list[dict[bytes, int]] = [{} for _ in range(parts)]
+        greatest: dict[bytes, int] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for part, strings in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(strings)], pa.binary())], schema=_BLOCKS)
-            held.clear()
+            for part, strings in enumerate(held):
+                if strings:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(strings, greatest)], pa.binary())], schema=_BLOCKS)
+                    held[part] = {}
+            greatest.clear()
 
         for batch in batches:
             for row, text in zip(batch.column(0), batch.column(1)):
@@ -152,15 +156,15 @@ def _dealt(parts: int, hot: np.ndarray):
                     places = (keys % np.uint64(parts)).tolist()
                     for a, b, part in zip(starts.tolist(), ends.tolist(), places):
                         string = line[a:b]
-                        mine = held.setdefault(part, {})
-                        ids = mine.get(string)
-                        if ids is None:
-                            mine[string] = [own, own]
-                            size += b - a + 330
-                        elif own < ids[0]:
-                            ids[0] = own
-                        elif own > ids[1]:
-                            ids[1] = own
+                        least = held[part].setdefault(string, own)
+                        if least != own:
+                            if own < least:
+                                held[part][string] = own
+                                greatest.setdefault(string, least)
+                            elif own > greatest.get(string, least):
+                                greatest[string] = own
+                    # Repeats count as well: about what the strings take, with what Python adds.
+                    size += int((ends - starts).sum()) + 150 * len(starts)
                     if size > HELD_BYTES:
                         yield from flush()
                         size = 0
@@ -254,7 +258,8 @@ def _counted(limit: int):
     def rows(strings: list[bytes], owners: list[np.ndarray]) -> pa.RecordBatch:
         d = _digests(strings)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(d), pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(owners, pa.list_(pa.int64()))], schema=arrow
+            [pa.nulls(len(d), pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, owners)]), pa.int32()), pa.array(np.concatenate(owners)))],
+            schema=arrow,
         )
 
     def judged(blocks: list) -> Iterator[pa.RecordBatch]:
@@ -336,6 +341,12 @@ def _hot_minimisers(docs: DataFrame, rows: int, sample_docs: int, hot: int) -> n
     return np.sort(np.array([r.key for r in found], np.int64).view(np.uint64))
 
 
+def _windows(docs: DataFrame, parts: int, hot: np.ndarray, bucket_bytes: int) -> DataFrame:
+    blocks = docs.select("id", "text").mapInArrow(_dealt(parts, hot), "part int, block binary")
+    # Blocks are sorted by part, as a task may get several.
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_counted(OVERFULL * bucket_bytes), _FOUND)
+
+
 def repeated_strings(
     docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sample_docs: int = SAMPLE_DOCS, hot_share: int = HOT
 ) -> tuple[DataFrame, np.ndarray]:
@@ -345,10 +356,7 @@ def repeated_strings(
     hot = _hot_minimisers(docs, rows, sample_docs, hot_share)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-3 * (size or 0) // bucket_bytes))
     while True:
-        blocks = docs.select("id", "text").mapInArrow(_dealt(parts, hot), "part int, block binary")
-        # Blocks are sorted by part, as a task may get several.
-        counted = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_counted(OVERFULL * bucket_bytes), _FOUND)
-        found = saved(counted, "windows")
+        found = saved(_windows(docs, parts, hot, bucket_bytes), "windows")
         release(docs.sparkSession)
         over = [r.over for r in found.where("over is not null").select("over").distinct().collect()]
         if not over:
@@ -397,13 +405,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             gone = np.zeros(len(words) + 1, np.int64)
             if found_:
                 owners_of = {(f["h1"], f["h2"]): np.array(f["owners"]) for f in found_}
+                taken = []
                 for line, starts, ends, firsts, _ in cut(words, hot):
                     for (h1, h2), first in zip(_digests([line[a:b] for a, b in zip(starts.tolist(), ends.tolist())]).tolist(), firsts.tolist()):
                         owners = owners_of.get((h1, h2))
                         if owners is not None:
-                            at = first + np.flatnonzero(owners < own)
-                            np.add.at(gone, at, 1)
-                            np.add.at(gone, at + K, -1)
+                            taken.append(first + np.flatnonzero(owners < own))
+                if taken:
+                    at = np.concatenate(taken)
+                    gone += np.bincount(at, minlength=len(gone)) - np.bincount(at + K, minlength=len(gone))
             stays = np.cumsum(gone)[: len(words)] == 0
             n_words.append(len(words))
             n_removed.append(len(words) - int(stays.sum()))
