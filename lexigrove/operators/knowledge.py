@@ -47,18 +47,31 @@ def is_entity(text: Column, kind: Column) -> Column:
 
 
 def first_items(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Items of an array whose key (a text) is met for the first time, in order."""
-    return let(items, lambda xs: let(F.transform(xs, key), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, key(x)) == i + 1)))
+    """Items of an array whose key (a text) is met for the first time, in order.
+
+    Keys are sorted with their places, so each is compared with the one before only: n log n, whatever the array's size.
+    """
+    keyed = lambda xs: F.transform(xs, lambda x, i: F.struct(key(x).alias("key"), i.alias("at")))
+    once = lambda ks: F.filter(ks, lambda k, i: (i == 0) | ~k["key"].eqNullSafe(ks[F.greatest(i - 1, F.lit(0))]["key"]))
+    places = lambda xs: let(F.sort_array(keyed(xs)), lambda ks: F.sort_array(F.transform(once(ks), lambda k: k["at"])))
+    return let(items, lambda xs: F.transform(places(xs), lambda at: xs[at]))
 
 
 def _key(*parts: Column) -> Column:
     return F.concat_ws("\u0000", *parts)
 
 
+def _once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each key by ordinal: facts of several responses of a chunk are one. Rows alike in ordinal are decided by a hash."""
+    rest = [c for c in rows.columns if c not in (*key, "ordinal")]
+    return keep_first(rows, key, ["ordinal", F.xxhash64(*rest)]).select(*[c for c in rows.columns if not c.startswith("__")])
+
+
 def entities(responses: DataFrame) -> DataFrame:
     """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk.
 
-    A chunk has one response. Its items are cleaned, checked and made distinct inside their array, so nothing is shuffled.
+    Items are cleaned, checked and made distinct inside their array; those that a chunk's other responses repeat (a chunk
+    joined twice, a response given again) are found by an aggregate that combines before its shuffle.
     """
 
     def item(x: Column, i: Column) -> Column:
@@ -71,8 +84,9 @@ def entities(responses: DataFrame) -> DataFrame:
     items = F.transform(F.from_json(F.col("response"), f"entities {ENTITIES}")["entities"], item)
     valid = F.filter(items, lambda x: x["kind"].isNotNull() & _is_entity(x["low"], x["kind"]))
     rows = responses.select("*", F.explode(first_items(valid, lambda x: _key(x["kind"], x["low"]))).alias("item"))
-    return rows.select(
+    rows = rows.select(
         "chunk_id",
+        F.col("item.low").alias("__low"),
         F.col("item.text").alias("entity_text"),
         F.col("item.kind").alias("entity_type"),
         F.col("item.confidence").alias("confidence"),
@@ -83,6 +97,7 @@ def entities(responses: DataFrame) -> DataFrame:
         "page_end",
         F.col("item.ordinal").alias("ordinal"),
     )
+    return _once(rows, ["chunk_id", "entity_type", "__low"])
 
 
 def relation(value: Column) -> Column:
@@ -111,7 +126,7 @@ def is_triplet(a: Column, name: Column, b: Column) -> Column:
 def triplets(responses: DataFrame) -> DataFrame:
     """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid relations, once a chunk.
 
-    A chunk has one response, whose items are cleaned, checked and made distinct inside their array.
+    Made distinct as entities are.
     """
 
     def item(x: Column, i: Column) -> Column:
@@ -120,8 +135,10 @@ def triplets(responses: DataFrame) -> DataFrame:
     items = F.transform(F.from_json(F.col("response"), f"triplets {TRIPLETS}")["triplets"], item)
     valid = F.filter(items, lambda x: is_triplet(x["a"], x["name"], x["b"]))
     once = first_items(valid, lambda x: _key(F.lower(x["a"]), x["name"], F.lower(x["b"])))
-    return responses.select("*", F.explode(once).alias("item")).select(
+    rows = responses.select("*", F.explode(once).alias("item")).select(
         "chunk_id",
+        F.lower("item.a").alias("__a"),
+        F.lower("item.b").alias("__b"),
         F.col("item.a").alias("entity_a"),
         F.col("item.name").alias("relation"),
         F.col("item.b").alias("entity_b"),
@@ -132,6 +149,7 @@ def triplets(responses: DataFrame) -> DataFrame:
         "page_end",
         F.col("item.ordinal").alias("ordinal"),
     )
+    return _once(rows, ["chunk_id", "relation", "__a", "__b"])
 
 
 def _texts(text: Column, name: str, order: str = "ordinal") -> Column:

@@ -1,27 +1,22 @@
 """Retrieval over (query, chunk): filters with fallback, dense, TF-IDF, lexical and staged hybrid ranking.
 
-A batch of queries is one plan. Dense scores of all pairs are made in blocks (a matrix product per Arrow batch that
-keeps the best rows of each query), so only those rows are shuffled. Lexical features are made from postings
-joined on terms, or only for the candidates that the dense stage left.
+A batch of queries is one plan. Dense search deals queries to pieces of chunks (see dense_search) and keeps the best rows of
+each query. Lexical features are made from postings joined on terms, or only for the candidates that the dense stage left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sections
 from ..functions import values as V
 from ..functions.text import coverage, slug, stem, terms
+from . import dense_search, postings_store
 from .chunking import navigation
+from ..sources.scratch import saved
 from .checks import require
 
-#: Queries whose vectors are sent to tasks at once.
-QUERY_BLOCK = 2000
 K1, B = 1.5, 0.75
 
 
@@ -128,86 +123,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _unit(rows) -> np.ndarray:
-    matrix = np.asarray([np.asarray(r, np.float64) for r in rows])
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norm == 0, 1.0, norm)
-
-
-def _best(score: np.ndarray, k: int, names: np.ndarray) -> np.ndarray:
-    """Places of the k best; ties by name."""
-    valid = np.flatnonzero(score > -np.inf)
-    if len(valid) <= k:
-        return valid
-    last = np.partition(score, len(score) - k)[len(score) - k]
-    above, tied = np.flatnonzero(score > last), np.flatnonzero(score == last)
-    return np.concatenate([above, tied[np.argsort(names[tied], kind="stable")[: k - len(above)]]])
-
-
 def dense(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     """The k chunks nearest to each query: (query_id, key, score, rank). Ties by key.
 
     ``queries`` has query_id and embedding, and optionally company, year and drop_noise to filter by; ``chunks`` then
     has company, fiscal_year, uploaded and noisy. Scores are rounded to nine places, so summation order decides nothing.
-    Chunks without a key or a vector are left out. No task holds or sends more than k rows of a query, whatever ties.
+    Chunks without a key or a vector, and queries without a vector, are left out. See :mod:`.dense_search`: exact, with pieces of chunks
+    that a query needn't see left out.
     """
-    kinds = dict(chunks.dtypes)
     filtered = "drop_noise" in queries.columns
-    columns = [key, "embedding"] + (["company", "fiscal_year", "uploaded", "noisy"] if filtered else [])
-    qcolumns = ["query_id", "embedding"] + (["company", "year", "drop_noise"] if filtered else [])
-    asked = queries.select(*qcolumns)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {kinds[key]}, score double"
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if rows:
-            part = chunks.select(*columns).mapInPandas(_scorer(rows, k, key, filtered), schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = chunks.sparkSession.createDataFrame([], schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
-
-
-def _scorer(rows: list, k: int, key: str, filtered: bool):
-    vectors = _unit([r.embedding for r in rows])
-    ids = [r.query_id for r in rows]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            batch = batch[batch["embedding"].notna() & batch[key].notna()]
-            if not len(batch):
-                continue
-            score = np.round(vectors @ _unit(batch["embedding"]).T, 9)
-            if filtered:
-                company, year = batch["company"].to_numpy(object), batch["fiscal_year"].to_numpy()
-                uploaded, noisy = batch["uploaded"].to_numpy(bool), batch["noisy"].to_numpy(bool)
-                for i, r in enumerate(rows):
-                    good = np.ones(len(batch), bool)
-                    if r.company is not None:
-                        good &= (company == r.company) | uploaded
-                    if r.year is not None:
-                        good &= (year == r.year) | uploaded
-                    if r.drop_noise:
-                        good &= ~noisy
-                    score[i, ~good] = -np.inf
-            names = batch[key].to_numpy()
-            for i, r in enumerate(ids):
-                best = _best(score[i], k, names)
-                kept.append(pd.DataFrame({"query_id": r, key: names[best], "score": score[i, best]}))
-            if len(kept) > 4 * len(ids):
-                kept = [_trim(pd.concat(kept, ignore_index=True), k, key)]
-        if kept:
-            yield _trim(pd.concat(kept, ignore_index=True), k, key)
-
-    return run
-
-
-def _trim(found: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
-    best = found.sort_values(["score", key], ascending=[False, True], kind="stable")
-    return best.groupby("query_id", sort=False).head(k).reset_index(drop=True)
+    return dense_search.search(dense_search.place(chunks, key, filtered), queries, k)[0]
 
 
 def index(chunks: DataFrame, embeddings: DataFrame, model: str | None = None) -> DataFrame:
@@ -255,32 +180,38 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def idf(df: DataFrame, n: DataFrame | int) -> DataFrame:
+    """(term, idf) of (term, df) among n chunks; n is a number or a table of one."""
+    counted = df.withColumn("n", F.lit(n) if isinstance(n, int) else n.scalar())
+    return counted.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def tfidf(chunks: DataFrame | postings_store.Lexical, queries: DataFrame, k: int) -> DataFrame:
     """TF-IDF cosine: (query_id, chunk_id, score, rank). Chunks without a common term score 0.
 
-    Statistics are those of the whole corpus. Queries with company, year and drop_noise (see :func:`with_levels`) only
-    find chunks that fit these.
+    ``chunks`` are chunks, or an index of them. Statistics are those of the whole corpus. Queries with company, year and drop_noise
+    (see :func:`with_levels`) only find chunks that fit these.
     """
-    posted = postings(chunks, ["chunk_id"], F.col("chunk_text"), True)
-    corpus = document_frequency(posted).withColumn("n", chunks.agg(F.count("*")).scalar())
-    idf = corpus.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    index = chunks if isinstance(chunks, postings_store.Lexical) else postings_store.of_chunks(chunks)
+    n = index.chunks.agg(F.count("*")) if index.n is None else index.n
+    idfs = idf(index.df, n)
+    norms = postings_store.norms(index.postings, index.df, n) if index.norms is None else index.norms
     weight = (1.0 + F.log("tf")) * F.col("idf")
-    docs = posted.join(idf, "term").select("chunk_id", "term", weight.alias("w"))
-    norms = docs.groupBy("chunk_id").agg(F.greatest(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(1e-12)).alias("norm"))
-    asked = postings(queries, ["query_id"], F.col("query_text"), True).join(idf, "term").select("query_id", "term", weight.alias("qw"))
+    asked = postings(queries, ["query_id"], F.col("query_text"), True).join(idfs, "term").select("query_id", "term", weight.alias("qw"), "idf")
     qnorms = asked.groupBy("query_id").agg(F.greatest(F.sqrt(F.sum(F.col("qw") * F.col("qw"))), F.lit(1e-12)).alias("qnorm"))
-    dots = docs.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    # Only the terms that are asked for go on.
+    dots = index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("qw")).alias("dot"))
     scored = dots.join(norms, "chunk_id").join(qnorms, "query_id").select(
         "query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score")
     )
     if "drop_noise" in queries.columns:
-        marks = masked(chunks).select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").alias("c_year"), "uploaded", "noisy")
+        marks = index.chunks.select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").alias("c_year"), "uploaded", "noisy")
         scored = scored.join(marks, "chunk_id").join(queries.select("query_id", "company", "year", "drop_noise"), "query_id").where(
             (F.col("company").isNull() | (F.col("c_company") == F.col("company")) | F.col("uploaded"))
             & (F.col("year").isNull() | (F.col("c_year") == F.col("year")) | F.col("uploaded"))
             & (~F.col("drop_noise") | ~F.col("noisy"))
         )
-    return ranked(filled(scored, chunks, queries, k), k)
+    return ranked(filled(scored, index.chunks, queries, k), k)
 
 
 def filled(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -296,7 +227,8 @@ def filled(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) ->
 
 def _fitting(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The first k chunks by id that fit each query's filters; lists of at most k ids meet a query by its filter."""
-    marked = masked(chunks).select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").cast("int").alias("c_year"), "uploaded", "noisy")
+    ready = chunks if {"uploaded", "noisy"} <= set(chunks.columns) else masked(chunks)
+    marked = ready.select("chunk_id", F.col("company").alias("c_company"), F.col("fiscal_year").cast("int").alias("c_year"), "uploaded", "noisy")
     kinds = F.when(~F.col("noisy"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     rows = marked.withColumn("c_drop", F.explode(kinds)).drop("noisy")
     own = first_by_filter(rows.where("NOT uploaded").drop("uploaded"), ["c_company", "c_year"], ["chunk_id"], k, ["c_drop"])
@@ -332,23 +264,26 @@ def bm25(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     return out.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
 
 
-def lexical_fallback(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def lexical_fallback(chunks: DataFrame | postings_store.Lexical, queries: DataFrame, k: int) -> DataFrame:
     """Overlap and coverage only, with loose company and exact year filters where a query has them.
 
-    A query's share of found terms comes from postings; chunks without any term fill up to k in page order.
+    ``chunks`` are chunks, or an index of them. A query's share of found terms comes from postings; chunks without any term fill up to k
+    in page order.
     """
+    index = chunks if isinstance(chunks, postings_store.Lexical) else postings_store.of_chunks(chunks)
     own = lambda c, t: (F.col(c) if c in queries.columns else F.lit(None)).cast(t)
     asked = queries.select("query_id", "query_text", slug(own("company_filter", "string")).alias("q_company"), own("fiscal_year_filter", "int").alias("q_year"))
     asked = asked.withColumn("q_company", F.nullif("q_company", F.lit("")))
     wanted = exploded_terms(asked, ["query_id", "q_company", "q_year"], F.col("query_text"), True).distinct()
     size = wanted.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    held = exploded_terms(chunks, ["chunk_id", "company", "fiscal_year", "page_start"], F.col("chunk_text")).distinct()
     allowed = lambda: (F.col("q_company").isNull() | (slug(F.col("company")) == F.col("q_company"))) & (
         F.col("q_year").isNull() | (F.col("fiscal_year").try_cast("int") == F.col("q_year"))
     )
-    found = held.join(wanted, "term").where(allowed()).groupBy("query_id", "chunk_id", "page_start").agg(F.count("*").alias("found"))
+    # A query has no stopwords, so postings needn't have any.
+    found = index.postings.join(wanted, "term").groupBy("query_id", "q_company", "q_year", "chunk_id").agg(F.count("*").alias("found"))
+    found = found.join(index.chunks.select("chunk_id", "company", "fiscal_year", "page_start"), "chunk_id").where(allowed())
     scored = found.join(size, "query_id").select("query_id", "chunk_id", "page_start", (F.col("found") / F.col("wanted")).alias("lexical_score"))
-    spare = chunks.select(slug(F.col("company")).alias("c_company"), F.col("fiscal_year").try_cast("int").alias("c_year"), "chunk_id", "page_start")
+    spare = index.chunks.select(slug(F.col("company")).alias("c_company"), F.col("fiscal_year").try_cast("int").alias("c_year"), "chunk_id", "page_start")
     spare = first_by_filter(spare, ["c_company", "c_year"], ["page_start", "chunk_id"], k)
     fits = F.col("q_company").eqNullSafe(F.col("c_company")) & F.col("q_year").eqNullSafe(F.col("c_year"))
     fill = asked.join(spare, fits).select("query_id", "chunk_id", "page_start", F.lit(0.0).alias("lexical_score"))
@@ -447,7 +382,8 @@ def hybrid(
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     said = queries.select("query_id", "query_text", terms(F.col("query_text"), True).alias("q_terms"), intents(F.col("query_text")).alias("asked"))
-    rows = rows.join(said, "query_id")
+    # Read four times from here on: its length, statistics and terms, and the rows themselves.
+    rows = saved(rows.join(said, "query_id"), "pool")
     if facts is not None:
         rows = rows.join(facts.select("chunk_id", "knowledge_text", "knowledge_relations"), "chunk_id", "left")
     else:

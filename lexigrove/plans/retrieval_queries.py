@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sections
 from ..functions import values as V
 from ..functions.text import coverage, terms
-from ..operators import answering, evaluation, retrieval
+from ..operators import answering, evaluation, postings_store, retrieval
+from ..sources.scratch import shared_folder
+from ..sources.versions import Versions
 from . import model as M
 
 Q: dict = {}
@@ -74,6 +79,23 @@ def join11_all(spark, sf):
 # Lexical ---------------------------------------------------------------------------------------------------------
 
 
+def _stored(spark, sf):
+    """The index of all chunks, in the session's shared folder: built by the first query that asks for it, while ``documents`` is as it was."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = files.getFileStatus(path)
+    found = files.listStatus(path) if status.isDirectory() else [status]
+    signature = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found)
+    name = hashlib.sha256(json.dumps([spark.sparkContext.applicationId, signature]).encode()).hexdigest()
+    store = Versions(spark, f"{shared_folder(spark)}/index-{name}")
+    if not store.current()[0]:
+        postings_store.add(store, M.chunks(spark, sf))
+        postings_store.with_norms(store)
+        target = spark._jvm.org.apache.hadoop.fs.Path(store.root)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return postings_store.open_store(store)
+
+
 def _asked(spark, sf):
     return M.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
@@ -83,7 +105,7 @@ _doc_terms = f"{M.CHUNKS}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk
 
 @query("agg14_document_frequency", f"WITH {_doc_terms} SELECT term, count(DISTINCT chunk_id)::BIGINT AS df FROM doc_terms GROUP BY term")
 def agg14(spark, sf):
-    return retrieval.document_frequency(retrieval.postings(M.chunks(spark, sf), ["chunk_id"], F.col("chunk_text"), True))
+    return _stored(spark, sf).df
 
 
 _tfidf = f"""WITH {_doc_terms}, post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
@@ -97,7 +119,7 @@ _tfidf = f"""WITH {_doc_terms}, post AS (SELECT chunk_id, term, count(*) AS tf F
 
 @query("top2_tfidf", _tfidf)
 def top2(spark, sf):
-    return retrieval.tfidf(M.chunks(spark, sf), _asked(spark, sf), 5)
+    return retrieval.tfidf(_stored(spark, sf), _asked(spark, sf), 5)
 
 
 @query(
@@ -108,7 +130,7 @@ def top2(spark, sf):
  SELECT query_id, chunk_id, lexical_score, final_score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, lexical_score DESC, page_start, chunk_id) AS r FROM s) WHERE r <= 5""",
 )
 def top4(spark, sf):
-    return retrieval.lexical_fallback(M.chunks(spark, sf), _asked(spark, sf), 5).select("query_id", "chunk_id", "lexical_score", "final_score", "rank")
+    return retrieval.lexical_fallback(_stored(spark, sf), _asked(spark, sf), 5).select("query_id", "chunk_id", "lexical_score", "final_score", "rank")
 
 
 # Filters, features, hybrid -----------------------------------------------------------------------------------------
@@ -142,11 +164,12 @@ def _index(spark, sf):
 
 
 
-def _sql_base() -> str:
+def _sql_base(embedded: bool = True) -> str:
+    """Candidates and levels of the queries that have a vector: chunks with a vector, or all (classical retrieval needs none)."""
     from .text_queries import _lines as lines
     from .text_queries import _nav as nav
 
-    return f"""{M.CHUNKS}, lined AS (SELECT *, {lines} AS h, {M.word_count("coalesce(chunk_text, '')")} AS nw FROM chunks JOIN embeddings ON vec_id = doc_id),
+    return f"""{M.CHUNKS}, lined AS (SELECT *, {lines} AS h, {M.word_count("coalesce(chunk_text, '')")} AS nw FROM chunks {"JOIN" if embedded else "LEFT JOIN"} embeddings ON vec_id = doc_id),
  cand AS (SELECT *, len(h) = 0 OR (nw < 40 AND {nav} = len(h)) OR (nw < 80 AND {nav} / greatest(1, len(h)) >= 0.7) AS noisy FROM lined),
  q AS (SELECT vec_id AS query_id, embedding, 'What are the risk factors? ' || chunk_text AS query_text, CASE WHEN vec_id % 300 = 0 THEN 'co' || ((vec_id // 8) % 20) WHEN vec_id % 300 = 100 THEN 'nobody' END AS company_filter,
  try_cast(regexp_extract('What are the risk factors? ' || chunk_text, '(?:^|[^\\p{{L}}\\p{{N}}_])(2022|2023|2024)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) AS INT) AS y FROM cand WHERE vec_id % 100 = 0),
@@ -156,7 +179,7 @@ def _sql_base() -> str:
 
 @query(
     "top2_filtered",
-    f"""WITH {_sql_base()}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk_text', True)}) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
+    f"""WITH {_sql_base(embedded=False)}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk_text', True)}) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
  idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM post, n GROUP BY term, n), dw AS (SELECT chunk_id, term, (1.0 + ln(tf)) * idf AS w FROM post JOIN idf USING (term)),
  dn AS (SELECT chunk_id, greatest(sqrt(sum(w * w)), 1e-12) AS norm FROM dw GROUP BY chunk_id), qt AS (SELECT query_id, unnest({M.terms('query_text', True)}) AS term FROM q),
  qp AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY ALL), qw AS (SELECT query_id, term, (1.0 + ln(tf)) * idf AS w FROM qp JOIN idf USING (term)),
@@ -166,8 +189,8 @@ def _sql_base() -> str:
 )
 def top2_filtered(spark, sf):
     """Classical retrieval under company, year and noise filters of each fallback level."""
-    ready = retrieval.masked(M.chunks(spark, sf))
-    return retrieval.tfidf(ready, retrieval.with_levels(_search(spark, sf), ready), 5)
+    index = _stored(spark, sf)
+    return retrieval.tfidf(index, retrieval.with_levels(_search(spark, sf), index.chunks), 5)
 
 
 @query("flt2_mask_levels", f"WITH {_sql_base()} SELECT query_id, (4 - any_value(top))::INT AS level, count(*)::BIGINT AS n_candidates FROM kept GROUP BY query_id")

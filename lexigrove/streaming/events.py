@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.incremental import keep_last
-from ..sources.tables import read_optional, write_table
+from ..sources.versions import Versions
+from . import state
 
 
 def tumbling(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -31,29 +33,64 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return keep_last(rows, key, order)
 
 
-def keep_latest(stream: DataFrame, key: list[str], order: list[str], path: str, checkpoint: str):
-    """Keeps a table of the last row of each key up to date from a stream; a batch that comes again changes nothing."""
-    columns = dict(stream.dtypes)
+def read_latest(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The table that :func:`keep_latest` keeps: the last row of each key among its changes."""
+    return keep_last(Versions(spark, path).read(), key, order)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        old = read_optional(spark, path, columns)
-        write_table(keep_last(old.unionByName(batch.select(*columns)), key, order), path)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact_latest(spark: SparkSession, path: str, key: list[str], order: list[str]) -> None:
+    """Leave one change of each key."""
+    Versions(spark, path).compact(lambda changes: keep_last(changes, key, order))
+
+
+def keep_latest(stream: DataFrame, key: list[str], order: list[str], path: str, checkpoint: str, ttl: str | None = None):
+    """Keeps a table of the last row of each key up to date from a stream; a batch that comes again changes nothing.
+
+    The state of a key is its place in the order. A batch writes the rows that took their key's place, and no others; see
+    :func:`read_latest`. A key that isn't seen for ``ttl`` is forgotten: a late row of it is then a change again, which
+    reading puts right.
+    """
+    changes = state.newer(stream, key, order, ttl)
+
+    def write(batch: DataFrame, number: int) -> None:
+        Versions(batch.sparkSession, path).append(batch.select(*stream.columns), (checkpoint, number))
+
+    return _started(changes, write, checkpoint)
 
 
 def process_pending(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "chunk_id"):
     """Runs ``work`` on the rows of each micro-batch that have no successful record yet, and appends its records.
 
-    ``work`` returns (key, status, record_count, error_message); success without records counts, errors come again.
+    ``work`` returns (key, status, record_count, error_message); success without records counts, errors come again. A batch
+    reads the keys that are done and writes its own records; see :func:`records`.
+    """
+    columns = [key, "status", "record_count", "error_message"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        log = Versions(batch.sparkSession, path)
+        if log.current()[1].get("parts"):
+            batch = batch.join(log.read().where("status = 'success'").select(key), key, "left_anti")
+        log.append(work(batch).select(*columns), (checkpoint, number))
+
+    return _started(stream, step, checkpoint, "append")
+
+
+def process_keys(
+    stream: DataFrame, work: Callable[[pd.DataFrame], tuple[str, int, str]], path: str, checkpoint: str, key: str = "chunk_id", ttl: str | None = None
+):
+    """Runs ``work`` in the workers, once on each key's first rows, and appends (key, status, record_count, error_message).
+
+    What is done is state, so a batch neither reads nor writes more than its own rows. Keys that failed come again with their next rows; a raised
+    exception is an error with its message. ``ttl`` forgets what was done so long ago.
     """
-    columns = {key: dict(stream.dtypes)[key], "status": "string", "record_count": "int", "error_message": "string"}
+    done = state.worked(stream, key, work, ttl)
+    return _started(done, lambda batch, number: Versions(batch.sparkSession, path).append(batch, (checkpoint, number)), checkpoint)
+
+
+def records(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
+    """A record of each key: a successful one if there is any."""
+    return keep_last(Versions(spark, path).read(), [key], [F.col("status") == "success", F.xxhash64("status", "record_count", "error_message")])
 
-    def step(batch: DataFrame, _: int) -> None:
-        done = read_optional(batch.sparkSession, path, columns)
-        left = batch.join(done.where("status = 'success'").select(key), key, "left_anti")
-        both = done.withColumn("at", F.lit(0)).unionByName(work(left).select(*columns).withColumn("at", F.lit(1)))
-        write_table(keep_last(both, [key], ["at"]).drop("at"), path)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update"):
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
