@@ -176,7 +176,7 @@ def answer_questions(questions: DataFrame, retrieved: DataFrame, call: Callable[
     from .evaluation import json_list, valid_citations
 
     asked = questions.join(context_blocks(retrieved), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    prompted = asked.withColumn("prompt", F.concat(F.lit(direct_prompt() + "\n\n"), user_prompt(F.col("query_text"), F.col("context"))))
+    prompted = asked.withColumn("prompt", F.concat(F.lit(direct_prompt() + "\n\n"), user_prompt(F.coalesce("query_text", F.lit("")), F.col("context"))))
     said = call_rows(prompted, "query_id", "prompt", call)
     shape = F.from_json("response", "answer string, citations string")
     out = prompted.join(said, "query_id").withColumn("answer", F.coalesce(shape["answer"], F.lit(""))).withColumn("raw", shape["citations"])
