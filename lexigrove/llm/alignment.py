@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens by the byte offsets where tokens of both end.
 
-Python only tokenises: a row gets ids and end offsets of both tokenizers (A: byte-level BPE ranks; B: a sentencepiece model). All else are
-array functions of Spark. ``array_intersect`` of the two end arrays gives the ends that both share; sorting a tokenizer's ends together with
-these puts each shared end next to its copy, whose place says which token it closes; ``sequence`` and ``transform`` cut the ids into
-groups, and ``aggregate`` counts links. Every step is linear in the text but for the sort of two sorted runs. A link is a pair of
+Python only tokenises: a row gets ids and end offsets of both tokenizers (A: byte-level BPE ranks; B: a sentencepiece model), and for each
+offset the number of tokens that end there or before and the token that ends there. All else are array functions of Spark. ``array_intersect`` of the two end arrays
+gives the ends that both share, and so the groups; ``sequence`` and ``transform`` cut the ids into groups by the
+numbers at their ends, and ``aggregate`` counts links. Every step is linear in the text. A link is a pair of
 tokens of one group, coded as one number. Groups end at most word boundaries, so they are short; their pairs are the result asked for.
 
 Counts: a link's number of documents is a combined count over the distinct links of each row. Rows then look up their links. The
@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import SLICE, new_folder, saved, table, text_bytes
+from .common import new_folder, saved, table, text_bytes
 
 #: Links sent to all tasks, at most.
 MOST_BROADCAST = 500_000
+#: Texts whose tokens are in memory at once.
+TEXTS = 64
 
 
 @lru_cache(2)
@@ -58,94 +60,123 @@ def _pieces(path: str):
     return model, pieces, np.array(list(map(len, pieces)), np.int32)
 
 
-def _encoded(raws: list[bytes | None], ranks: str, pattern: str, model: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """(A's ids, A's ends, B's ids, B's ends) of each text."""
+def _encoded(raws: list[bytes | None], ranks: str, pattern: str, model: str) -> Iterator[tuple[np.ndarray, ...] | None]:
+    """(A's ids, A's ends, B's ids, B's ends) of each text, or None."""
     first, first_sizes = _byte_level(ranks, pattern)
     second, pieces, second_sizes = _pieces(model)
-    none = (np.zeros(0, np.int32),) * 4
     texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raws]
     for raw, text, ids in zip(raws, texts, second.encode(texts, num_threads=1)):
-        if not raw:
-            yield none
+        # Bytes that aren't UTF-8 are read as others. A's tokens spell what they are given.
+        if not raw or b"".join(map(pieces.__getitem__, ids)) != b" " + raw:
+            yield None
             continue
-        whole = b" " + raw
-        # Bytes that aren't UTF-8 are read as others, so either tokenizer's bytes tell.
-        if b"".join(map(pieces.__getitem__, ids)) != whole:
-            yield none
-            continue
-        a = np.asarray(first.encode_to_numpy(" " + text, disallowed_special=())).astype(np.int32)
-        if first.decode_bytes(a.tolist()) != whole:
-            yield none
-            continue
-        b = np.array(ids, np.int32)
+        a, b = np.asarray(first.encode_to_numpy(" " + text, disallowed_special=())).astype(np.int32), np.array(ids, np.int32)
         yield a, np.cumsum(first_sizes[a], dtype=np.int32), b, np.cumsum(second_sizes[b], dtype=np.int32)
 
 
+def _upto(ends: np.ndarray) -> np.ndarray:
+    """For each byte offset, how many tokens end there or before."""
+    marks = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
+    marks[ends] = 1
+    return np.cumsum(marks, dtype=np.int32)
+
+
+def _at(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each byte offset, the token that ends there: its length above ``ID_BITS`` bits, its id below."""
+    out = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
+    out[ends] = (sizes << ID_BITS) + ids
+    return out
+
+
+#: Bits of an id.
+ID_BITS = 17
+_TOKENS = ["a", "a_ends", "a_upto", "a_at", "b", "b_ends", "b_upto", "b_at"]
+
+
 def tokens(df: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, a, a_ends, b, b_ends)."""
+    """Rows (id, a, a_ends, a_upto, a_at, b, b_ends, b_upto, b_at): ids and end offsets; by offset, the number of tokens up to there, and the
+    length and id of the token that ends there."""
+    none = np.zeros(0, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = list(zip(*_encoded(part.column(1).to_pylist(), ranks, pattern, model)))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "a", "a_ends", "b", "b_ends"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                rows = []
+                for found in _encoded(part.column(1).to_pylist(), ranks, pattern, model):
+                    a, a_ends, b, b_ends = found or (none,) * 4
+                    rows.append([x for ids, ends in ((a, a_ends), (b, b_ends)) for x in (ids, ends, _upto(ends), _at(ids, np.diff(ends, prepend=0), ends))])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", *_TOKENS])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+    schema = f"id {kind}, {', '.join(f'{c} array<int>' for c in _TOKENS)}"
     return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _closing(both: str) -> Column:
-    """Of sorted ends where a shared one is there twice: places of the second ones."""
-    s = F.col(both)
-    places = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda p: s[p] == s[p - 1])
+def shared_ends(tokens: DataFrame) -> DataFrame:
+    """Adds ``shared``, the ends that both have, in order, and ``before``, the same from a zero on: a group goes from one to the other."""
+    shared = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
+    # Used more than once from here on, so the optimizer keeps the steps apart.
+    return shared.withColumn("before", F.concat(F.array(F.lit(0)), F.col("shared")))
 
 
-def _token_group(ids: str, places: str, j: Column) -> Column:
-    """Ids of group ``j``: the j-th closing place is that many tokens and j + 1 copies from the start."""
-    p = F.col(places)
-    start = F.when(j == 0, F.lit(0)).otherwise(p[j - 1] - j + 1)
-    return F.transform(F.sequence(start, p[j] - j - 1), lambda k: F.col(ids)[k])
+def _between(side: str, first: Column, after: Column) -> Column:
+    return F.transform(F.sequence(first, after - 1), lambda k: F.col(side)[k])
 
 
-def groups(tokens: DataFrame) -> DataFrame:
-    """Rows (id, n_a, n_b, groups): groups is an array of (a, b), the ids of each group's tokens."""
-    # Each step refers to the arrays of the one before more than once, so the optimizer keeps them as steps.
-    shared = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
-    sort = lambda ends: F.sort_array(F.concat(F.col(ends), F.col("shared")))
-    both = shared.select("id", "a", "b", F.size("shared").alias("n"), sort("a_ends").alias("a_both"), sort("b_ends").alias("b_both"))
-    closed = both.select("id", "a", "b", "n", _closing("a_both").alias("a_at"), _closing("b_both").alias("b_at"))
-    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(numbers, lambda j: F.struct(_token_group("a", "a_at", j).alias("a"), _token_group("b", "b_at", j).alias("b")))
-    return closed.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), cut.alias("groups"))
+def groups(shared: DataFrame) -> DataFrame:
+    """Rows (id, groups): an array of (a, b), the ids of each group's tokens."""
+
+    def ids(side: str, start: Column, end: Column) -> Column:
+        return _between(side, F.col(f"{side}_upto")[start], F.col(f"{side}_upto")[end])
+
+    cut = F.transform("shared", lambda end, j: F.struct(ids("a", F.col("before")[j], end).alias("a"), ids("b", F.col("before")[j], end).alias("b")))
+    return shared.select("id", cut.alias("groups"))
+
+
+def links(shared: DataFrame, b_bits: int) -> DataFrame:
+    """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links): a link is its A id above ``b_bits`` bits and its B id below; in
+    order of its number.
+
+    Most groups are one token of each: the tokens that end at a shared end are equally long, and so began at one. Such a group
+    is its link. The others are numbered below zero and cut by :func:`_between`.
+    """
+    mask, b_mask = (1 << ID_BITS) - 1, (1 << b_bits) - 1
+
+    def link(end: Column, j: Column) -> Column:
+        a, b = F.col("a_at")[end], F.col("b_at")[end]
+        alone = F.shiftright(a, ID_BITS) == F.shiftright(b, ID_BITS)
+        return F.when(alone, F.shiftleft(a.bitwiseAND(mask).cast("long"), b_bits) + b.bitwiseAND(mask)).otherwise(-1 - j.cast("long"))
 
+    def ids(side: str, number: Column) -> Column:
+        j = (-1 - number).cast("int")
+        return _between(side, F.col(f"{side}_upto")[F.col("before")[j]], F.col(f"{side}_upto")[F.col("shared")[j]])
 
-def _spelled(groups: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+    joined = lambda x: F.array_join(x.cast("array<string>"), ",")
+    first = shared.withColumn("groups", F.transform("shared", link))
+    large = F.transform(F.filter("groups", lambda g: g < 0), lambda g: F.struct(ids("a", g).alias("a"), ids("b", g).alias("b")))
+    cut = first.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "groups", "shared", "before", "a_upto", "b_upto", "a", "b", large.alias("large"))
 
+    def spelled(g: Column) -> Column:
+        one = F.concat(F.shiftright(g, b_bits).cast("string"), F.lit("|"), g.bitwiseAND(b_mask).cast("string"))
+        return F.when(g >= 0, one).otherwise(F.concat(joined(ids("a", g)), F.lit("|"), joined(ids("b", g))))
 
-def links(groups: DataFrame, b_size: int) -> DataFrame:
-    """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links): a link is a * b_size + b, in order of its number."""
+    pairs = F.transform("large", lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a.cast("long"), b_bits) + b))))
+    n_large = F.aggregate("large", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"]))
     g = F.col("groups")
-    pairs = F.flatten(F.transform(g, lambda x: F.flatten(F.transform(x["a"], lambda a: F.transform(x["b"], lambda b: a.cast("long") * b_size + b)))))
-    n_links = F.aggregate(g, F.lit(0).cast("long"), lambda n, x: n + F.size(x["a"]).cast("long") * F.size(x["b"]))
-    digest = F.when(F.size(g) > 0, F.sha2(_spelled(g), 256)).otherwise("")
-    return groups.select(
-        "id", "n_a", "n_b", F.size(g).cast("long").alias("n_groups"), n_links.alias("n_links"), digest.alias("groups_sha256"),
-        F.sort_array(pairs).alias("links"),
+    digest = F.when(F.size(g) > 0, F.sha2(F.array_join(F.transform(g, spelled), ";").cast("binary"), 256)).otherwise("")
+    return cut.select(
+        "id", "n_a", "n_b", F.size(g).cast("long").alias("n_groups"), (F.size(g) - F.size("large") + n_large).alias("n_links"), digest.alias("groups_sha256"),
+        F.sort_array(F.concat(F.filter(g, lambda x: x >= 0), F.flatten(pairs))).alias("links"),
     )
 
 
-def link_counts(rows: DataFrame, b_size: int) -> DataFrame:
+def link_counts(rows: DataFrame, b_bits: int) -> DataFrame:
     """Rows (link, n, best): in how many rows a link is, and whether none of its A id's links is in more."""
     n = rows.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n"))
     n = saved(n, "link-counts")
-    first = F.expr(f"link div {b_size}")
+    first = F.shiftright("link", b_bits)
     most = n.groupBy(first.alias("first")).agg(F.max("n").alias("most"))
     return n.join(most, first == F.col("first")).select("link", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -155,12 +186,14 @@ def align(
 ) -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links, n_best, count_sum)."""
     spark = df.sparkSession
-    b_size = 1 << (len(_pieces(model)[1]) - 1).bit_length()
-    found = links(groups(tokens(df, ranks, pattern, model, id_col, text_col)), b_size)
+    b_bits = (len(_pieces(model)[1]) - 1).bit_length()
+    if max(b_bits, (len(_byte_level(ranks, pattern)[1]) - 1).bit_length()) > ID_BITS:
+        raise ValueError(f"ids of more than {ID_BITS} bits")
+    found = links(shared_ends(tokens(df, ranks, pattern, model, id_col, text_col)), b_bits)
     path = new_folder(spark, "aligned")
     found.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
-    counts = saved(link_counts(rows, b_size), "links")
+    counts = saved(link_counts(rows, b_bits), "links")
     power = F.floor(F.log2("n")).cast("int")
     left, least = most_broadcast, None
     histogram = counts.groupBy(power.alias("power")).count().collect()

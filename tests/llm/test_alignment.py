@@ -90,6 +90,15 @@ def test_random_signs(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_groups(spark):
+    df = spark.createDataFrame([(1, "the antidisestablishment of 日本"), (2, None)], "doc_id long, text string")
+    first = alignment.shared_ends(alignment.tokens(df, *PATHS))
+    got = {r.id: r.groups for r in alignment.groups(first).collect()}
+    spelled = ";".join(",".join(map(str, g.a)) + "|" + ",".join(map(str, g.b)) for g in got[1])
+    want = {r[0]: r[5] for r in brute([(1, "the antidisestablishment of 日本")])}
+    assert hashlib.sha256(spelled.encode()).hexdigest() == want[1] and got[2] == []
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     bad = spark.sql("SELECT 1 AS doc_id, cast(X'61ff62' AS string) AS text")
