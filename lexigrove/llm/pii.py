@@ -5,9 +5,10 @@ keeping, for each character they emit, the source characters it stands for:
 
 1. characters: zero-width characters go; full-width and mathematical forms, foreign decimal digits and
    Cyrillic/Greek lookalikes become ASCII; odd dots, dashes, at-signs and blanks become plain ones;
-2. signs: spelled, bracketed or spaced at-signs and dots become ``@`` and ``.`` (``name [at] site (dot) org``). A bare
-   ``at`` counts only before a well-known last label, and with a spelled dot or a name that is no plain word, so that
-   prose isn't taken for an address; dots between four numbers count too;
+2. signs: spelled, bracketed or spaced at-signs and dots between two labels become ``@`` and ``.`` in the whole text
+   (``name [at] site (dot) org``), with any number of labels. Of the addresses found then, one with a bare ``at`` counts only with
+   a well-known last label, and with a spelled dot or a name that is no plain word, so that prose isn't taken for an
+   address; dots between four numbers count too;
 3. runs of spelled digits (``four one one one ...``, ``plus one ...``, ``dot`` between them) become digits;
 4. letters that look like digits (O, o, l, I) inside long runs of digits become digits.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -157,18 +159,13 @@ def _plain_characters(text: str) -> Mapped:
 #: Last labels that a spelled address must end in.
 LAST_LABELS = "com org net edu gov info biz io ai co uk us eu de fr es it nl ch at be ca au nz ie in jp cn br mx pl se no dk fi ru dev app me tv".split()
 _AT_WORD, _DOT_WORD = "(?:at|arobase|arroba)", "(?:dot|punkt|punto|point)"
-_AT = rf"(?:\s{{0,3}}@\s{{0,3}}|\s{{0,3}}[\[({{<]\s{{0,3}}(?:@|{_AT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}-?{_AT_WORD}-?\s{{1,3}}|[-_]{_AT_WORD}[-_])"
-_DOT = rf"(?:\.|\s{{0,3}}[\[({{<]\s{{0,3}}(?:\.|{_DOT_WORD})\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}-?{_DOT_WORD}-?\s{{1,3}}|[-_]{_DOT_WORD}[-_])"
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?)(?P<at>{_AT})"
-    rf"(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}})(?![A-Za-z0-9])",
-    re.IGNORECASE,
-)
-# In every text with a span that _disguised_addresses accepts: with plain dots and no bracket or blank at the sign, a
-# bare word is followed by a label and a dot.
-_ADDRESS_HINT = re.compile(rf"[\[({{<]\s*(?:@|\.|{_AT_WORD}|{_DOT_WORD})\s*[\])}}>]|\s-?{_DOT_WORD}-?\s|[-_]{_DOT_WORD}[-_]|\s@|@\s|(?:\s-?{_AT_WORD}-?\s{{1,3}}|[-_]{_AT_WORD}[-_])[A-Za-z0-9-]{{1,63}}\.", re.IGNORECASE)
-_ONE_DOT = re.compile(_DOT, re.IGNORECASE)
-_DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_IN = r"[\[({<]\s{0,3}"
+_OUT = r"\s{0,3}[\])}>]"
+_AT = rf"(?:\s{{1,3}}@\s{{0,3}}|@\s{{1,3}}|\s{{0,3}}{_IN}(?:@|{_AT_WORD}){_OUT}\s{{0,3}}|\s{{1,3}}-?{_AT_WORD}-?\s{{1,3}}|[-_]{_AT_WORD}[-_])"
+_DOT = rf"(?:\s{{0,3}}{_IN}(?:\.|{_DOT_WORD}){_OUT}\s{{0,3}}|\s{{1,3}}-?{_DOT_WORD}-?\s{{1,3}}|[-_]{_DOT_WORD}[-_])"
+#: A disguised sign has a character of a name or label on either side.
+_SIGN = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:(?P<at>{_AT})|{_DOT})(?=[A-Za-z0-9_%+-])", re.IGNORECASE)
+_SIGN_HINT = re.compile(rf"[\[({{<]|\s@|@\s|{_AT_WORD}|{_DOT_WORD}", re.IGNORECASE)
 
 #: Digits in words (English, German, French, Spanish).
 SPELLED = {
@@ -178,59 +175,78 @@ SPELLED = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
-_UNIT = rf"(?:{_WORDS}|[0-9]{{1,19}})"
+_UNIT = rf"(?:{_WORDS}|[0-9]++)"
 _GAP = rf"(?:[\s,().-]{{1,3}}(?:{_DOT_WORD}\s{{1,3}})?)"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?{_UNIT}(?:{_GAP}{_UNIT}){{3,63}}(?!\w)", re.IGNORECASE)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)\s{{0,3}})?{_UNIT}(?:{_GAP}{_UNIT}){{3,}}(?!\w)", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,().-]{{1,3}}(?:{_WORDS}|{_DOT_WORD}|[0-9])(?!\w)", re.IGNORECASE)
 _SPELLED_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<dot>{_DOT_WORD}|\.)|(?P<word>{_WORDS})(?!\w)|(?P<digit>[0-9])|(?P<skip>[\s,()-])", re.IGNORECASE)
-_LOOKALIKE_DIGITS = re.compile(r"(?<![\w+])(?:\+[0-9OolIBS][\x20().0-9OolIBS-]{8,40}[0-9OolIBS]|[0-9OolIBS](?:[\x20-]?[0-9OolIBS]){9,40})(?!\w)")
+_LOOKALIKE_DIGITS = re.compile(r"(?<![\w+])(?:\+[0-9OolIBS][\x20().0-9OolIBS-]{8,}[0-9OolIBS]|[0-9OolIBS](?:[\x20-]?[0-9OolIBS]){9,})(?!\w)")
 _LOOKALIKE_HINT = re.compile(r"[0-9][\x20-]?[OolIBS]|[OolIBS][\x20-]?[0-9]")
 _TO_DIGIT = str.maketrans("OolIBS", "001185")
 
 
-def _plain_signs(text: str, spots: list[tuple[int, int, str]], start: int, end: int) -> Mapped:
-    """A stretch of the text in which each spot (start, end, sign) is its sign."""
-    out, starts, ends, done = [], [], [], start
-    for a, b, sign in [*spots, (end, end, "")]:
-        out.append(text[done:a])
-        starts += range(done, a)
-        ends += range(done + 1, a + 1)
-        if sign:
-            out.append(sign)
-            starts.append(a)
-            ends.append(b)
-        done = b
-    return Mapped("".join(out), starts, ends)
+class _Signs:
+    """A text in which every disguised sign is a plain one; between signs positions move together."""
+
+    def __init__(self, text: str):
+        self.spots = [(*m.span(), "@" if m["at"] else ".", bool(m["at"]) and m[0].strip(" \t\n\r-_").isalpha()) for m in _SIGN.finditer(text)]
+        out, done, size = [], 0, 0
+        self.places: list[int] = []
+        for a, b, sign, _ in self.spots:
+            out += [text[done:a], sign]
+            size += a - done
+            self.places.append(size)
+            size += 1
+            done = b
+        self.text = "".join(out) + text[done:]
+
+    def inside(self, start: int, end: int) -> range:
+        """Numbers of the rewritten signs in a stretch."""
+        return range(bisect_left(self.places, start), bisect_left(self.places, end))
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """A stretch that neither starts nor ends with a rewritten sign."""
+        shift = lambda at: at if (k := bisect_left(self.places, at)) == 0 else at + self.spots[k - 1][1] - self.places[k - 1] - 1
+        return shift(start), shift(end - 1) + 1
 
 
 def _rewritten_signs(text: str):
-    """(start, kind, end) of what is found once spelled, bracketed or spaced at-signs and dots are plain ones."""
-    if not _ADDRESS_HINT.search(text):
+    """(start, kind, end) of what the detectors find once spelled, bracketed or spaced at-signs and dots are plain ones.
+
+    Whether a bare word was meant as a sign is decided by the address that it makes: it needs a known last label, and a spelled
+    dot or a name that is no plain word. Labels after a spelled dot that can't be last ones are left out from the end.
+    """
+    if not _SIGN_HINT.search(text):
         return
-    for m in _DISGUISED.finditer(text):
-        dots = [(*d.span(), ".") for part in ("local", "domain") for d in _ONE_DOT.finditer(text, *m.span(part))]
-        labels = _ONE_DOT.split(m["domain"])
-        bare = m["at"].strip(" \t\n\r-_").isalpha()
-        spelled = m["domain"].count(".") < len(labels) - 1 or re.search(r"\s", m["domain"])
-        if not labels[-1].isalpha() or len(labels[-1]) < 2 or (m["at"] == "@" and not spelled):
-            continue
-        # A bare word needs a known last label, and a spelled dot or a name that is no plain word.
-        if bare and not (labels[-1].lower() in LAST_LABELS and (spelled or re.search(r"[0-9._]", m["local"]))):
+    signs = _Signs(text)
+    if not signs.spots:
+        return
+    plain = signs.text
+    for start, end in _emails(plain):
+        at = plain.index("@", start)
+        within = signs.inside(start, end)
+        if not within:
             continue
-        yield from _detected(_plain_signs(text, sorted([*dots, (*m.span("at"), "@")]), *m.span()), 0)
-    for m in _DISGUISED_IP.finditer(text):
-        dots = [(*d.span(), ".") for d in _ONE_DOT.finditer(text, *m.span())]
-        if any(b - a > 1 for a, b, _ in dots):
-            yield from _detected(_plain_signs(text, dots, *m.span()), 1)
-
-
-def _detected(plain: Mapped, wanted: int):
-    """What the detectors find of a kind in rewritten text, in source positions."""
-    for s, kind, e in detect(plain.text):
-        if kind == wanted:
-            s, e = plain.source(s, e)
-            yield s, kind, e
+        bare = any(signs.places[k] == at and signs.spots[k][3] for k in within)
+        dots = {signs.places[k] for k in within if signs.spots[k][2] == "."}
+        while True:
+            dot = plain.rindex(".", at, end)
+            last = plain[dot + 1 : end]
+            good = len(last) >= 2 and last.isalpha() and (not bare or last.lower() in LAST_LABELS)
+            if good or dot not in dots or plain.find(".", at, dot) < 0:
+                break
+            end = dot
+        dots = {d for d in dots if d < end}
+        # What is left may have no rewritten sign, and is then found without this.
+        if good and (dots or any(signs.places[k] == at for k in within)) and (not bare or dots or re.search(r"[0-9._]", plain[start:at])):
+            s, e = signs.source(start, end)
+            yield s, 0, e
+    if "." in {spot[2] for spot in signs.spots}:
+        for m in _IP.finditer(plain):
+            if signs.inside(*m.span()) and all(map(_small, m[0].split("."))):
+                s, e = signs.source(*m.span())
+                yield s, 1, e
 
 
 def _rewritten_numbers(text: str):
