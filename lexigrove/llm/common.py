@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,7 +112,8 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-_folders: list[str] = []
+#: Folders made on the way to a settled table, by thread: runs in one driver don't see each other's.
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -123,7 +125,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     files.mkdirs(target)
     files.deleteOnExit(target)
     files.delete(target, True)
-    _folders.append(path)
+    made = _folders.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -137,12 +141,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
     """What ``make`` gives, written and read again, and its folder; the folders made on the way are removed."""
-    first = len(_folders)
-    done = saved(make(), label)
-    for path in _folders[first:-1]:
-        drop_folder(spark, path)
-    path = _folders[-1]
-    del _folders[first:]
+    made: list[str] = []
+    before = _folders.set(made)
+    try:
+        done = saved(make(), label)
+    finally:
+        _folders.reset(before)
+    *rest, path = made
+    for other in rest:
+        drop_folder(spark, other)
+    if _folders.get() is not None:
+        _folders.get().append(path)
     return done, path
 
 

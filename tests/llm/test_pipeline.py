@@ -83,3 +83,34 @@ def test_run_and_empty(spark, tmp_path):
     nulls = full.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in full.schema])
     nulls.write.parquet(f"{tmp_path}/nulls/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/nulls").count() == 0
+
+
+def test_runs_at_once_keep_their_folders(spark):
+    import threading
+
+    from lexigrove.llm.common import drop_folder, saved, settled
+
+    meet = threading.Barrier(2)
+    got = {}
+
+    def run(i):
+        def make():
+            first = saved(spark.range(i, i + 3), "first")
+            meet.wait(30)
+            second = saved(first.selectExpr("id * 10 AS id"), "second")
+            meet.wait(30)
+            return second
+
+        done, path = settled(spark, make, f"run{i}")
+        meet.wait(30)
+        got[i] = (sorted(r.id for r in done.collect()), path)
+
+    threads = [threading.Thread(target=run, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert [got[i][0] for i in range(2)] == [[0, 10, 20], [10, 20, 30]]
+    assert all(f"/run{i}-" in got[i][1] for i in range(2))
+    for _, path in got.values():
+        drop_folder(spark, path)
