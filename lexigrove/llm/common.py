@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
@@ -161,9 +162,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage.
+
+    Python's handles on them are given back to the JVM by a thread of their own, within a second or so.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1)
+        spark.sparkContext._jvm.System.gc()
 
 
 def local_path(uri: str) -> str:
