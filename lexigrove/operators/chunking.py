@@ -65,38 +65,58 @@ def window_starts(n: Column, size: int, overlap: int, least: int) -> Column:
 def fixed_chunks(pages: DataFrame, method: str = "token", size: int = 500, overlap: int = 75, least: int = 100) -> DataFrame:
     """Windows over the tokens or words of each run of pages in one section.
 
-    Units of a section are gathered as one array per page, in page order; a document is the unit of work.
+    A running sum over a section's pages numbers its units, and each page says by arithmetic which windows it has a part of; the parts
+    of a window meet by its key. So a task holds a page or a window (``size`` units), never a section or a document; a chunk's place in
+    its document follows from the numbers of windows of the sections before it.
     """
     if method not in ("token", "word"):
         raise ValueError("method must be token or word")
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
     require(pages, ["doc_id", "company", "fiscal_year", "page_num", "clean_text"])
     units = (chunk_tokens if method == "token" else words)(F.col("clean_text"))
-    names = ["doc_id", "section_id"]
-    shared = ["company", "fiscal_year", "document_type", "file_name"]
-    runs = (
-        annotate(pages)
-        .withColumn("units", units)
-        .groupBy(*names)
-        .agg(
-            *[F.first(c).alias(c) for c in [*(c for c in shared if c in pages.columns), "section_code", "section_title", "section_group"]],
-            F.array_sort(F.collect_list(F.struct("page_num", "units"))).alias("parts"),
-        )
+    shared = [c for c in ("company", "fiscal_year", "document_type", "file_name") if c in pages.columns]
+    own = [*shared, "section_code", "section_title", "section_group"]
+    marked = annotate(pages).select("doc_id", "page_num", "section_id", *own, units.alias("units")).withColumn("n", F.size("units"))
+    in_order = Window.partitionBy("doc_id", "section_id").orderBy("page_num")
+    marked = marked.withColumn("at", (F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).cast("int"))
+    sections_ = marked.groupBy("doc_id", "section_id").agg(
+        F.sum("n").cast("int").alias("total"), F.min("page_num").alias("first_page"), F.min_by(F.struct(*own), "page_num").alias("own")
+    )
+    # Regular windows start at multiples of the step; a short rest becomes one that ends with the section.
+    step, total = size - overlap, F.col("total")
+    regular = F.when(total <= size, 1).otherwise(F.floor(F.greatest(F.lit(0), F.least(total - 1, total - least)) / step).cast("int") + 1)
+    last = (F.col("regular") - 1) * step
+    tail = (total > size) & (last + step < total) & (total - size > last)
+    counted = sections_.where("total > 0").withColumn("regular", regular).withColumn("tail", tail)
+    before = Window.partitionBy("doc_id").orderBy("first_page", "section_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("before", F.coalesce(F.sum(F.col("regular") + F.col("tail").cast("int")).over(before), F.lit(0)).cast("int"))
+    parts = marked.where("n > 0").select("doc_id", "page_num", "section_id", "units", "n", "at").join(counted.drop("own"), ["doc_id", "section_id"])
+    # Windows k that overlap units at .. at + n - 1.
+    low = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / F.lit(step)).cast("int"))
+    high = F.least(F.col("regular") - 1, F.floor((F.col("at") + F.col("n") - 1) / F.lit(step)).cast("int"))
+    hit = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), (k * step).alias("start")))).otherwise(F.array().cast("array<struct<k: int, start: int>>"))
+    at_end = F.when(F.col("tail") & (F.col("at") + F.col("n") > total - size), F.array(F.struct(F.col("regular").alias("k"), (total - size).alias("start")))).otherwise(F.array().cast("array<struct<k: int, start: int>>"))
+    cut = parts.withColumn("w", F.explode(F.concat(hit, at_end))).select(
+        "doc_id", "section_id", "page_num", "at", (F.col("before") + F.col("w.k")).alias("chunk_index"),
+        F.slice(
+            "units", F.greatest(F.lit(1), F.col("w.start") - F.col("at") + 1),
+            F.least(F.col("w.start") + size, F.col("at") + F.col("n")) - F.greatest(F.col("w.start"), F.col("at")),
+        ).alias("units"),
+    )
+    whole = cut.groupBy("doc_id", "section_id", "chunk_index").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "units"))), lambda p: p["units"])).alias("mine"),
+        F.min("page_num").alias("page_start"),
+        F.max("page_num").alias("page_end"),
     )
-    flat = F.flatten(F.transform("parts", lambda p: p["units"]))
-    pages_of = F.flatten(F.transform("parts", lambda p: F.array_repeat(p["page_num"], F.size(p["units"]))))
-    runs = runs.withColumn("first_page", F.element_at("parts", 1)["page_num"]).withColumn("units", flat).withColumn("on", pages_of)
-    cut = runs.withColumn("start", F.explode(window_starts(F.size("units"), size, overlap, least)))
-    cut = cut.withColumn("mine", F.slice("units", F.col("start") + 1, F.lit(size))).withColumn("on", F.slice("on", F.col("start") + 1, F.lit(size)))
     text = untokenize(F.col("mine")) if method == "token" else F.array_join("mine", " ")
-    cut = cut.withColumns({"chunk_text": text, "page_start": F.array_min("on"), "page_end": F.array_max("on")})
-    count = F.size("mine") if method == "token" else token_count(F.col("chunk_text"))
-    cut = cut.withColumns({"word_count": word_count(F.col("chunk_text")), "token_count": count, "char_count": F.length("chunk_text")})
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_page", "start")) - 1
-    cut = cut.withColumn("chunk_index", place)
+    whole = whole.select("doc_id", "section_id", "chunk_index", "page_start", "page_end", F.size("mine").alias("__n"), text.alias("chunk_text"))
+    count = F.col("__n") if method == "token" else token_count(F.col("chunk_text"))
+    whole = whole.withColumns({"word_count": word_count(F.col("chunk_text")), "token_count": count, "char_count": F.length("chunk_text")})
+    whole = whole.join(counted.select("doc_id", "section_id", "own.*"), ["doc_id", "section_id"])
     key = F.format_string("%s_p%04d_p%04d_c%04d", F.col("doc_id").cast("string"), "page_start", "page_end", "chunk_index")
-    columns = [c for c in shared if c in pages.columns]
-    return cut.select(
-        key.alias("chunk_id"), "chunk_index", "doc_id", *columns, "page_start", "page_end", "chunk_text", "word_count", "token_count",
+    return whole.select(
+        key.alias("chunk_id"), "chunk_index", "doc_id", *shared, "page_start", "page_end", "chunk_text", "word_count", "token_count",
         "char_count", "section_id", "section_code", "section_title", "section_group",
     )
 

@@ -138,8 +138,8 @@ def pending_questions(questions: DataFrame, runs: DataFrame, done: list[str] = D
 
 
 def upsert_runs(runs: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Runs with those of the same question replaced, in question order; of new runs of a question, the last by ``order``."""
-    return union_keep_last(runs, new, ["question_id"], order).orderBy("question_order")
+    """Runs with those of the same question replaced, in order of question and id; of new runs of a question, the last by ``order``."""
+    return union_keep_last(runs, new, ["question_id"], order).orderBy("question_order", "question_id")
 
 
 def run_records(questions: DataFrame, retrieved: DataFrame, answers: DataFrame) -> DataFrame:

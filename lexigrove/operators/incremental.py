@@ -66,7 +66,7 @@ def union_keep_last(base: DataFrame, added: DataFrame, key: list[str], order: li
     """Both tables with columns missing on a side as null; on equal keys the added row stays.
 
     Of several rows of a key on one side the last by ``order`` stays (by default the column ordinal, where there is
-    one); rows alike in that are decided by a hash of their other columns, so that reruns agree.
+    one); rows alike in that are decided by a hash of their other columns, so that reruns agree. The result has no column ordinal.
     """
     both = base.withColumn("__new", F.lit(0)).unionByName(added.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     order = order if order is not None else [c for c in ("ordinal",) if c in both.columns]

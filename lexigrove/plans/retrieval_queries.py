@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -177,16 +178,16 @@ def _sql_base(embedded: bool = True) -> str:
  kept AS (SELECT query_id, chunk_id, lvl, max(lvl) OVER (PARTITION BY query_id) AS top FROM m QUALIFY lvl >= max(lvl) OVER (PARTITION BY query_id))"""
 
 
-@query(
-    "top2_filtered",
-    f"""WITH {_sql_base(embedded=False)}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk_text', True)}) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
+_filtered = f"""WITH {_sql_base(embedded=False)}, doc_terms AS (SELECT chunk_id, unnest({M.terms('chunk_text', True)}) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM chunks),
  idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM post, n GROUP BY term, n), dw AS (SELECT chunk_id, term, (1.0 + ln(tf)) * idf AS w FROM post JOIN idf USING (term)),
  dn AS (SELECT chunk_id, greatest(sqrt(sum(w * w)), 1e-12) AS norm FROM dw GROUP BY chunk_id), qt AS (SELECT query_id, unnest({M.terms('query_text', True)}) AS term FROM q),
  qp AS (SELECT query_id, term, count(*) AS tf FROM qt GROUP BY ALL), qw AS (SELECT query_id, term, (1.0 + ln(tf)) * idf AS w FROM qp JOIN idf USING (term)),
  qn AS (SELECT query_id, greatest(sqrt(sum(w * w)), 1e-12) AS norm FROM qw GROUP BY query_id), dots AS (SELECT query_id, chunk_id, sum(dw.w * qw.w) AS d FROM dw JOIN qw USING (term) GROUP BY ALL),
  s AS (SELECT query_id, chunk_id, round(coalesce(d / (dn.norm * qn.norm), 0), 9) AS score FROM kept LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN dn USING (chunk_id) LEFT JOIN qn USING (query_id))
- SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 5""",
-)
+ SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 5"""
+
+
+@query("top2_filtered", _filtered)
 def top2_filtered(spark, sf):
     """Classical retrieval under company, year and noise filters of each fallback level."""
     index = _stored(spark, sf)
@@ -298,26 +299,68 @@ _bm25 = f"""doc_words AS (SELECT query_id, chunk_id, {M.terms("coalesce(section_
  dterm AS (SELECT query_id, chunk_id, dl, term, count(*) AS tf FROM (SELECT query_id, chunk_id, dl, unnest(w) AS term FROM sized) GROUP BY ALL), hit AS (SELECT * FROM dterm JOIN qterm USING (query_id, term)),
  dfs AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY ALL),
  bm AS (SELECT query_id, chunk_id, sum(qtf * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS bm25_score FROM hit JOIN dfs USING (query_id, term) JOIN st USING (query_id) GROUP BY ALL)"""
-_hybrid = f"""WITH {_sql_base()}, near AS (SELECT * FROM (SELECT k.query_id, c.chunk_id, {_cos} AS score FROM kept k JOIN q USING (query_id) JOIN cand c USING (chunk_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {_dense_pool}),
+def _hybrid_sql(facts: str = "", known: str = "0") -> str:
+    """The staged ranking; ``known`` is SQL of a knowledge score between 0 and 1 over the columns of a CTE in ``facts``."""
+    return f"""WITH {_sql_base()}, {facts}near AS (SELECT * FROM (SELECT k.query_id, c.chunk_id, {_cos} AS score FROM kept k JOIN q USING (query_id) JOIN cand c USING (chunk_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {_dense_pool}),
  pool AS (SELECT query_id, chunk_id, score, chunk_text, section_title, section_group, doc_id, query_text, {_intents_sql('lower(query_text)')} AS asked FROM near JOIN cand USING (chunk_id) JOIN q USING (query_id)), {_bm25},
  cov AS (SELECT *, coalesce(bm25_score, 0) AS bm, list_distinct({M.terms('query_text', True)}) AS qt FROM pool LEFT JOIN bm USING (query_id, chunk_id)),
- f1 AS (SELECT *, len(list_intersect(qt, list_distinct({M.terms('chunk_text')}))) / len(qt)::DOUBLE AS coverage FROM cov),
- f2 AS (SELECT *, round(0.55 * {_norm('score')} + 0.30 * {_norm('bm')} + 0.15 * coverage, 9) AS preliminary FROM f1),
+ f1 AS (SELECT *, len(list_intersect(qt, list_distinct({M.terms('chunk_text')}))) / len(qt)::DOUBLE AS coverage, {known} AS know FROM cov),
+ f2 AS (SELECT *, round(0.55 * {_norm('score')} + 0.30 * {_norm('bm')} + 0.15 * coverage + 0.08 * know, 9) AS preliminary FROM f1),
  f3 AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY preliminary DESC, chunk_id) <= {_second_pool}),
  f4 AS (SELECT *, CASE WHEN trim(chunk_text) = '' THEN 0.0 ELSE {_prior_sql('lower(chunk_text)')} END AS sec, {_weights_sql(V.UNWANTED)}::DOUBLE AS pen, len(list_intersect(qt, list_distinct({M.terms(_header_text)}))) / len(qt)::DOUBLE AS hdr, {_digits} AS g, {_letters} AS l FROM f3),
  f5 AS (SELECT *, CASE WHEN g / greatest(1, g + l)::DOUBLE > 0.18 THEN least(0.35, (g / (g + l)::DOUBLE - 0.18) * 1.5) ELSE 0 END AS p0 FROM f4),
  f6 AS (SELECT *, CASE WHEN list_contains(asked, 'financial_metrics') OR g = 0 THEN 0 ELSE least(0.6, CASE WHEN section_group = 'financial_statements' THEN greatest(p0, 0.35) ELSE p0 END) END AS num FROM f5),
- f7 AS (SELECT *, 0.48 * {_norm('score')} + 0.27 * {_norm('bm')} + 0.15 * coverage + 0.20 * sec - 0.15 * pen AS hyb FROM f6),
- f8 AS (SELECT *, round(0.30 * hyb + 0.18 * coverage + 0.24 * sec + 0.12 * hdr + 0.10 * {_norm('coverage')} + 0.10 * {_norm('bm')} - 0.10 * num - 0.15 * pen, 9) AS final FROM f7)
+ f7 AS (SELECT *, 0.48 * {_norm('score')} + 0.27 * {_norm('bm')} + 0.15 * coverage + 0.20 * sec - 0.15 * pen + 0.08 * know AS hyb FROM f6),
+ f8 AS (SELECT *, round(0.30 * hyb + 0.18 * coverage + 0.24 * sec + 0.12 * hdr + 0.10 * {_norm('coverage')} + 0.10 * {_norm('bm')} - 0.10 * num - 0.15 * pen + 0.10 * know, 9) AS final FROM f7)
  SELECT query_id, chunk_id, round(final, 6) AS final_score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS r FROM f8) WHERE r <= 5"""
 
 
+_hybrid = _hybrid_sql()
+
+
 @query("top3_hybrid", _hybrid)
 def top3(spark, sf):
     out = retrieval.hybrid(_index(spark, sf), _search(spark, sf), 5)
     return out.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
+_RELATION_NAMES = ["COMPETES_WITH", "offers ", "REPORTS", "LEADS_BY", "FACES_RISK_FROM", "MENTIONS"]
+# Facts of a chunk here: its section's name as text, and one relation.
+_known = f"""least(1.0, 0.70 * len(list_intersect(qt, list_distinct({M.terms("replace(section_group, '_', ' ')")}))) / len(qt)::DOUBLE + 0.30 * greatest(
+ CASE WHEN rel = 'COMPETES_WITH' AND list_contains(asked, 'competition') THEN 1.0 ELSE 0 END, CASE WHEN rel = 'REPORTS' AND list_contains(asked, 'financial_metrics') THEN 1.0 ELSE 0 END,
+ CASE WHEN rel = 'FACES_RISK_FROM' AND list_contains(asked, 'risk_factors') THEN 1.0 ELSE 0 END, CASE WHEN rel = 'offers ' AND regexp_matches(lower(query_text), 'offer|product|platform|service') THEN 0.85 ELSE 0 END,
+ CASE WHEN rel = 'LEADS_BY' AND regexp_matches(lower(query_text), 'ceo|chief executive|lead|led by|executive') THEN 0.85 ELSE 0 END, CASE WHEN rel = 'MENTIONS' AND lower(query_text) LIKE '%mention%' THEN 0.5 ELSE 0 END))"""
+_rel = f"{_RELATION_NAMES!r}[doc_id % 6 + 1]"
+
+
+@query("scr10_hybrid_with_facts", _hybrid_sql(known=_known.replace("rel =", f"{_rel} =")))
+def scr10(spark, sf):
+    """The staged ranking with what is known of each chunk."""
+    relation = F.element_at(F.array(*[F.lit(r) for r in _RELATION_NAMES]), (F.col("doc_id") % 6).cast("int") + 1)
+    facts = M.chunks(spark, sf).select("chunk_id", F.replace("section_group", F.lit("_"), F.lit(" ")).alias("knowledge_text"), F.array(relation).alias("knowledge_relations"))
+    out = retrieval.hybrid(_index(spark, sf), _search(spark, sf), 5, facts)
+    return out.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+def _mode_sql(name: str, sql: str, score: str) -> str:
+    return f"SELECT query_id, chunk_id, '{name}' AS retrieval_mode, round({score}, 6) AS final_score, rank FROM ({sql})"
+
+
+_naive = f"""WITH {_sql_base()}, near AS (SELECT k.query_id, c.chunk_id, {_cos} AS score FROM kept k JOIN q USING (query_id) JOIN cand c USING (chunk_id))
+ SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM near) WHERE r <= 5"""
+
+
+@query("scr14_all_modes", " UNION ALL ".join([_mode_sql("classical_ml", _filtered, "score"), _mode_sql("naive", _naive, "score"), _mode_sql("improved", _hybrid, "final_score")]))
+def scr14(spark, sf):
+    """The same questions in all three modes, in one schema."""
+    vectors = M.read(spark, sf, "embeddings").select(F.concat(F.lit("c"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("chunk_id"), "embedding")
+    asked, out = _search(spark, sf), None
+    for name in V.MODES:
+        one = retrieval.retrieve(M.chunks(spark, sf), vectors, asked, 5, name)
+        out = one if out is None else out.union(one)
+    return out.select("query_id", "chunk_id", "retrieval_mode", F.round("final_score", 6).alias("final_score"), "rank")
+
+
 @query("scr2_bm25", f"WITH {_sql_base()}, near AS (SELECT * FROM (SELECT k.query_id, c.chunk_id, {_cos} AS score FROM kept k JOIN q USING (query_id) JOIN cand c USING (chunk_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {_dense_pool}),\n pool AS (SELECT query_id, chunk_id, chunk_text, section_title FROM near JOIN cand USING (chunk_id)), {_bm25} SELECT query_id, chunk_id, round(coalesce(bm25_score, 0), 6) AS bm25_score FROM pool LEFT JOIN bm USING (query_id, chunk_id)")
 def scr2(spark, sf):
     indexed, asked = _index(spark, sf), _search(spark, sf)
@@ -368,7 +411,30 @@ def udf1(spark, sf):
     return answering.embed(M.chunks(spark, sf), "chunk_id", "chunk_text", answering.hash_encoder())
 
 
-@query("udf5_extract")
+@query(
+    "udf2_cached_answers",
+    f"WITH {M.CHUNKS}, w AS (SELECT doc_id, {M.word_list('chunk_text')} AS w FROM chunks) SELECT doc_id, CASE WHEN len(w) > 0 THEN w[1] ELSE '' END AS answer, len(w)::INT AS n, 'success' AS status FROM w",
+)
+def udf2(spark, sf):
+    """Answers of an injected model to all chunks through the cache, asked twice: the second time none is called."""
+    from ..operators.answer_cache import AnswerCache
+
+    def call(prompt: str, tokens: int) -> str:
+        words = prompt.split()
+        return json.dumps({"answer": words[0] if words else "", "n": len(words)})
+
+    cache = AnswerCache(Versions(spark, f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"))
+    rows = M.chunks(spark, sf).select("doc_id", "chunk_text")
+    cache.ask(rows, "doc_id", "chunk_text", call)
+    said = F.from_json("response", "answer string, n int")
+    return cache.ask(rows, "doc_id", "chunk_text", call).where("from_cache").select("doc_id", said["answer"].alias("answer"), said["n"].alias("n"), "status")
+
+
+@query(
+    "udf5_extract",
+    f"""WITH {M.CHUNKS}, w AS (SELECT *, {M.word_list('chunk_text')} AS w FROM chunks)
+ SELECT chunk_id, w[1] AS entity_text, 'company' AS entity_type, 0.5::DOUBLE AS confidence, doc AS source_doc_id, fiscal_year AS year, company, page_start, page_start AS page_end FROM w WHERE len(w) > 0 AND length(w[1]) > 1""",
+)
 def udf5(spark, sf):
     """Entities by an injected model over all chunks, here one that names the first word of each."""
 

@@ -313,9 +313,31 @@ def chk2(spark, sf):
     return out.select("chunk_id", "section_id", "token_count", F.sha2(F.col("chunk_text").cast("binary"), 256).alias("sha"))
 
 
-@query("chk4_sentence_chunks")
+# Sentences with their tokens; where a chunk from each would end; the chain of chunks from the first; a short last one merged.
+_packed = rf"""WITH RECURSIVE {M.CHUNKS}, p AS (SELECT doc AS doc_id, company, fiscal_year, page_start AS page_num, [['item_1'], [NULL], ['item_1a'], [NULL], ['competition'], [NULL], ['item_1a'], ['operations']][(page_start * 3 + length(chunk_text)) % 8 + 1][1] AS code,
+ [{M.quoted(_heads)}][(page_start * 3 + length(chunk_text)) % 8 + 1] || chr(10) || chunk_text AS txt FROM chunks),
+ f AS (SELECT *, last_value(code IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num ROWS UNBOUNDED PRECEDING) AS now FROM p),
+ e AS (SELECT *, (now IS NOT NULL AND now <> coalesce(lag(now) OVER (PARTITION BY doc_id ORDER BY page_num), 'front_matter'))::INT AS enters FROM f),
+ s AS (SELECT *, coalesce(now, 'front_matter') AS section_code, CASE WHEN now IS NULL THEN 'front_matter__01' ELSE now || '__' || lpad((sum(enters) OVER (PARTITION BY doc_id, now ORDER BY page_num ROWS UNBOUNDED PRECEDING))::VARCHAR, 2, '0') END AS section_id FROM e),
+ l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(txt, '\. '), x -> {M.strip('x')}), x -> x <> '') AS parts FROM s),
+ u AS (SELECT doc_id, company, fiscal_year, page_num, section_id, section_code, unnest(parts) AS sentence, unnest(range(len(parts))) AS place FROM l),
+ n0 AS (SELECT *, len(regexp_extract_all(sentence, '{_token}'))::INT AS t FROM u),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, place) - 1 AS pos, sum(t) OVER (PARTITION BY doc_id ORDER BY page_num, place) AS cum FROM n0 WHERE t > 0),
+ z AS (SELECT a.doc_id, a.pos, a.section_id, max(b.pos) + 1 AS stop FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.section_id = a.section_id AND b.pos >= a.pos AND (b.pos = a.pos OR b.cum - a.cum + a.t <= 240) GROUP BY ALL),
+ nx AS (SELECT z.doc_id, z.pos, z.stop, CASE WHEN m.pos IS NULL THEN NULL WHEN m.section_id = z.section_id THEN greatest(z.pos + 1, z.stop - 1) ELSE z.stop END AS go FROM z LEFT JOIN n m ON m.doc_id = z.doc_id AND m.pos = z.stop),
+ c AS (SELECT doc_id, pos, stop, go, 0 AS i FROM nx WHERE pos = 0 UNION ALL SELECT x.doc_id, x.pos, x.stop, x.go, c.i + 1 FROM c JOIN nx x ON x.doc_id = c.doc_id AND x.pos = c.go),
+ g AS (SELECT c.doc_id, c.i, any_value(company) AS company, any_value(fiscal_year) AS fiscal_year, any_value(section_id) AS section_id, any_value(section_code) AS section_code, min(page_num) AS page_start, max(page_num) AS page_end,
+ string_agg(sentence, ' ' ORDER BY n.pos) AS txt, sum(t)::INT AS t FROM c JOIN n ON n.doc_id = c.doc_id AND n.pos >= c.pos AND n.pos < c.stop GROUP BY c.doc_id, c.i),
+ h AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last, lead(txt) OVER w AS txt2, lead(t) OVER w AS t2, lead(page_end) OVER w AS end2, lead(section_id) OVER w AS sec2, lag(section_id) OVER w AS sec0 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+ SELECT doc_id || '_p' || lpad(page_start::VARCHAR, 4, '0') || '_p' || lpad(page_end::VARCHAR, 4, '0') || '_c' || lpad(i::VARCHAR, 4, '0') AS chunk_id, i::INT AS chunk_index, doc_id, company, fiscal_year, page_start,
+ CASE WHEN i = last - 1 AND t2 < 40 AND sec2 = section_id THEN end2 ELSE page_end END AS page_end, sha256(CASE WHEN i = last - 1 AND t2 < 40 AND sec2 = section_id THEN {M.strip("txt || ' ' || txt2")} ELSE txt END) AS sha,
+ (CASE WHEN i = last - 1 AND t2 < 40 AND sec2 = section_id THEN t + t2 ELSE t END)::INT AS token_count, section_id, section_code FROM h WHERE NOT (i = last AND i > 0 AND t < 40 AND sec0 = section_id)"""
+
+
+@query("chk4_sentence_chunks", _packed)
 def chk4(spark, sf):
-    return chunking.sentence_chunks(_headed(spark, sf), 200, 1, 40)
+    out = chunking.sentence_chunks(_headed(spark, sf), 200, 1, 40)
+    return out.withColumn("sha", F.sha2(F.col("chunk_text").cast("binary"), 256)).drop("chunk_text")
 
 
 @query("sec6_chunk_sections")

@@ -6,7 +6,7 @@ from lexigrove.plans import registry
 
 from .oracle import DATA
 
-PYTHON = ("chk4_sentence_chunks", "top1_dense", "top3_hybrid", "scr2_bm25", "scr15_naive_mode", "evl9_retrieval_check", "udf1_embed_missing", "udf5_extract")
+PYTHON = ("chk4_sentence_chunks", "top1_dense", "top3_hybrid", "scr10_hybrid_with_facts", "scr14_all_modes", "udf2_cached_answers", "scr2_bm25", "scr15_naive_mode", "evl9_retrieval_check", "udf1_embed_missing", "udf5_extract")
 
 
 def plan(df) -> str:
