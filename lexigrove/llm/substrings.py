@@ -248,17 +248,17 @@ def _digests(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
 
 
-_FOUND = "over long, h1 long, h2 long, owners array<long>"
+_FOUND = "over long, h1 long, h2 long, owners binary"
 
 
 def _counted(limit: int):
     """Over blocks sorted by part: strings with owners; of an overfull part its frequent minimisers, or 0 for none such."""
-    arrow = pa.schema([("over", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("owners", pa.list_(pa.int64()))])
+    arrow = pa.schema([("over", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("owners", pa.binary())])
 
     def rows(strings: list[bytes], owners: list[np.ndarray]) -> pa.RecordBatch:
         d = _digests(strings)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(d), pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, owners)]), pa.int32()), pa.array(np.concatenate(owners)))],
+            [pa.nulls(len(d), pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([o.tobytes() for o in owners], pa.binary())],
             schema=arrow,
         )
 
@@ -351,7 +351,7 @@ def repeated_strings(
     docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sample_docs: int = SAMPLE_DOCS, hot_share: int = HOT
 ) -> tuple[DataFrame, np.ndarray]:
     """From (id, text): rows (h1, h2, owners) of strings partly owned by an earlier document, and the hot minimisers with
-    which texts must be cut to meet them."""
+    which texts must be cut to meet them. Owners are one 64-bit number a window."""
     rows, size = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     hot = _hot_minimisers(docs, rows, sample_docs, hot_share)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-3 * (size or 0) // bucket_bytes))
@@ -404,7 +404,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             words = (text or b"").split()
             gone = np.zeros(len(words) + 1, np.int64)
             if found_:
-                owners_of = {(f["h1"], f["h2"]): np.array(f["owners"]) for f in found_}
+                owners_of = {(f["h1"], f["h2"]): np.frombuffer(f["owners"], np.int64) for f in found_}
                 taken = []
                 for line, starts, ends, firsts, _ in cut(words, hot):
                     for (h1, h2), first in zip(_digests([line[a:b] for a, b in zip(starts.tolist(), ends.tolist())]).tolist(), firsts.tolist()):
