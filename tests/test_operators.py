@@ -73,15 +73,13 @@ def test_classical_mode_drops_navigation(spark):
 
 
 def test_ties_leave_k_rows(spark):
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import Row
+    from lexigrove.operators import dense_search
 
     names = [f"c{i:05d}" for i in range(3000)]
-    batches = [pd.DataFrame({"chunk_id": names[i::3], "embedding": [np.array([1.0, 0.0])] * 1000}) for i in (2, 0, 1)]
-    run = retrieval._scorer([Row(query_id="q", embedding=[1.0, 0.0])], 5, "chunk_id", False)
-    out = pd.concat(list(run(iter(batches))))
-    assert sorted(out["chunk_id"]) == names[:5]
+    alike = spark.createDataFrame([(n, [1.0, 0.0]) for n in names], "chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    found, _ = dense_search.search(dense_search.place(alike, "chunk_id", False, 1000), asked, 5)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == names[:5]
 
 
 def test_no_filter_meets_all_queries_at_once(spark):
