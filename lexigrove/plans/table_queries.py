@@ -128,6 +128,27 @@ def win6(spark, sf):
     return incremental.numbered(rows, ["o_orderdate", "o_orderkey"], "place", 0, ["o_custkey"]).drop("o_orderdate")
 
 
+@query("top9_numbered_in_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def top9(spark, sf):
+    from ..sources.tables import numbered_in_order
+
+    rows = M.read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return numbered_in_order(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], "place").drop("o_totalprice")
+
+
+@query(
+    "sup8_json_records",
+    """SELECT l_orderkey, l_linenumber, '{"part":' || l_partkey || ',"price":' || CASE WHEN l_linenumber = 3 THEN 'null' ELSE l_quantity::INT::VARCHAR || '.0' END || ',"flag":' || CASE WHEN l_linenumber = 2 THEN 'null' ELSE '"' || l_returnflag || '"' END || '}' AS record FROM lineitem""",
+)
+def sup8(spark, sf):
+    from ..sources.tables import json_record
+
+    n = F.col("l_linenumber")
+    price = F.when(n == 3, float("nan")).otherwise(F.col("l_quantity").cast("int").cast("double"))
+    rows = M.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), price.alias("price"), F.when(n != 2, F.col("l_returnflag")).alias("flag"))
+    return rows.select("l_orderkey", "l_linenumber", json_record(["part", "price", "flag"], rows).alias("record"))
+
+
 # Knowledge -----------------------------------------------------------------------------------------------------
 
 _TYPES = ["company", "Person", "products", "metric", "bogus", " Financial Metrics ", "executive"]

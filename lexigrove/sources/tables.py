@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, year_hint
 from ..operators.checks import duplicates, empty, require, with_optional
+from .scratch import saved
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -207,3 +208,36 @@ def upload_summary(docs: DataFrame, paged: DataFrame, chunks: DataFrame) -> Data
     c = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     out = docs.join(p, "doc_id", "left").join(c, "doc_id", "left")
     return out.na.fill(0, ["page_count", "char_count", "chunk_count"])
+
+
+# Ordered results -----------------------------------------------------------------------------------------------
+
+
+def write_sorted(df: DataFrame, path: str, order: list[Column | str]) -> str:
+    """Write a table whose files, read in order of their names, are the rows in order: ranges are dealt to tasks and sorted there."""
+    return write_table(df.orderBy(*order), path)
+
+
+def numbered_in_order(df: DataFrame, order: list[Column | str], name: str, start: int = 1) -> DataFrame:
+    """Adds the place of each row in the order of all. No task holds more than a range: a row's number is its place in its range
+    and the number of rows in the ranges before it. Rows alike in the order are numbered in any order."""
+    ranged = saved(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range.
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = ranged.withColumn("__part", part).join(offsets, "__part")
+    return out.select(*df.columns, (F.col("__before") + place + start).cast("long").alias(name))
+
+
+def json_record(columns: list[str], df: DataFrame) -> Column:
+    """Columns as a JSON object that has all of them; NaN and infinity are null, as nulls are."""
+    kinds = dict(df.dtypes)
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c))
+    return F.to_json(F.struct(*[(finite(c) if kinds[c] in ("double", "float") else F.col(c)).alias(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def json_records(df: DataFrame, name: str = "record") -> DataFrame:
+    """Each row as a JSON object."""
+    return df.select(json_record(df.columns, df).alias(name))
