@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from .retrieval import index
 
-FORMAT = 1
+FORMAT = 2
 BACKENDS = {"native": "native", "native_dense": "native", "exact": "native", "auto": "native"}
-MANIFEST = "version int, backend string, model string, data string, name string, sha256 string, size long"
+MANIFEST = "version int, backend string, model string, data string, name string, digest string, size long"
 
 
 def backend(name: str) -> str:
@@ -60,7 +60,7 @@ def build(spark: SparkSession, store: Store, chunks_path: str, embeddings_path:
     if written.isEmpty():
         raise ValueError("no chunk has a vector of the model")
     facts = [F.lit(FORMAT).alias("version"), F.lit(backend(name)).alias("backend"), F.lit(store.model).alias("model"), F.lit(data).alias("data")]
-    tables.write_table(_signatures(spark, [chunks_path, embeddings_path]).select(*facts, "name", "sha256", "size"), store.manifest)
+    tables.write_table(_signatures(spark, [chunks_path, embeddings_path]).select(*facts, "name", "digest", "size"), store.manifest)
     return written
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import checks, evaluation, incremental, knowledge
-from ..sources import tables
+from ..sources import records, scratch, tables
 from ..streaming import events as S
 from . import model as M
 
@@ -136,6 +138,22 @@ def top9(spark, sf):
     return numbered_in_order(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], "place").drop("o_totalprice")
 
 
+@query("src9_bad_lines", "SELECT place, o_orderkey FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey, o_custkey FROM orders) WHERE o_custkey % 50 = 7")
+def src9(spark, sf):
+    """Orders written in order as JSON lines, those of some customers cut short; their places by file and line, and the key that was left."""
+    rows = M.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    whole = tables.json_record(["o_orderkey", "o_custkey", "o_orderpriority"], rows)
+    cut = F.when(F.col("o_custkey") % 50 == 7, F.regexp_replace(whole, r"[}]$", "")).otherwise(whole)
+    path = f"{scratch.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.orderBy("o_orderkey").select(cut.alias("value")).write.text(path)
+    scratch.remove_at_end(spark, path)
+    lines = records.numbered_lines(spark, path).groupBy("file").agg(F.max("line").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    bad = records.bad_lines(spark, path, "o_orderkey long, o_custkey long, o_orderpriority string")
+    joined = bad.join(lines.select("file", F.coalesce(before, F.lit(0)).alias("before")), "file")
+    return joined.select((F.col("before") + F.col("line")).alias("place"), F.regexp_extract("text", '"o_orderkey":([0-9]+)', 1).cast("long").alias("o_orderkey"))
+
+
 @query(
     "sup8_json_records",
     """SELECT l_orderkey, l_linenumber, '{"part":' || l_partkey || ',"price":' || CASE WHEN l_linenumber = 3 THEN 'null' ELSE l_quantity::INT::VARCHAR || '.0' END || ',"flag":' || CASE WHEN l_linenumber = 2 THEN 'null' ELSE '"' || l_returnflag || '"' END || '}' AS record FROM lineitem""",

@@ -22,11 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Written as Parquet and read again: lineage is cut, and a plan that is used twice runs once. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, year_hint
 from ..operators.checks import duplicates, empty, require, with_optional
+from . import records
 from .scratch import saved
 
 
@@ -95,19 +96,18 @@ def latest_success(log: DataFrame, key: str = "request_hash", order: str = "line
 
 
 def file_signature(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, size) of each file: equal signatures mean equal inputs, wherever they lie."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """(name, digest, size) of each file: equal signatures mean equal inputs, wherever they lie (see sources/records)."""
+    return records.signatures(spark, path)
 
 
 def is_current(recorded: DataFrame, now: DataFrame) -> bool:
     """Whether an index's recorded signatures are those of today's inputs."""
-    key = ["name", "sha256", "size"]
+    key = ["name", "digest", "size"]
     return recorded.select(*key).exceptAll(now.select(*key)).isEmpty() and now.select(*key).exceptAll(recorded.select(*key)).isEmpty()
 
 
 def verify_checksum(spark: SparkSession, path: str, expected: str) -> str:
-    found = file_signature(spark, path).first().sha256
+    found = records.plain_sha256(spark, path).first().sha256
     if found != expected.lower():
         raise ValueError(f"checksum mismatch for {path}: {found}")
     return found
