@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,52 +124,82 @@ def fixed_chunks(pages: DataFrame, method: str = "token", size: int = 500, overl
     )
 
 
+def _pack(size: int, overlap: int, least: int, tolerance: float):
+    """Walks the token counts of a section's sentences; gives each chunk's parts by page."""
+    most = int(size * tolerance)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, section, first_page, pages in zip(batch["doc_id"], batch["section_id"], batch["first_page"], batch["pages"]):
+                pages = sorted((p["at"], p["tokens"]) for p in pages)
+                firsts = np.array([at for at, _ in pages])
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(t, dtype=np.int64) for _, t in pages]))])
+                n, start, chunks = len(ends) - 1, 0, []
+                while start < n:
+                    # The last sentence end within the limit; a sentence longer than that stands alone.
+                    end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+                    chunks.append((start, end))
+                    start = max(start + 1, end - overlap) if end < n else n
+                begin, end = np.array(chunks).T
+                tokens = ends[end] - ends[begin]
+                low = np.searchsorted(firsts, begin, "right") - 1
+                high = np.searchsorted(firsts, end - 1, "right") - 1
+                k = np.repeat(np.arange(len(chunks)), high - low + 1)
+                page = np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)])
+                out = pd.DataFrame({"k": k, "at": firsts[page], "start": begin[k], "stop": end[k], "tokens": tokens[k]})
+                out["short"] = (k == len(chunks) - 1) & (k > 0) & (tokens[k] < least)
+                out["n_chunks"], out["doc_id"], out["section_id"], out["first_page"] = len(chunks), doc, section, first_page
+                yield out[["doc_id", "section_id", "first_page", "n_chunks", "k", "at", "start", "stop", "tokens", "short"]]
+
+    return run
+
+
 def sentence_chunks(pages: DataFrame, size: int = 500, overlap: int = 1, least: int = 100, tolerance: float = 1.2) -> DataFrame:
-    """Greedy packing of sentences up to ``tolerance * size`` tokens within a section; a short last chunk is merged.
+    """Greedy packing of sentences up to ``tolerance * size`` tokens within a section; a short last chunk of a document is merged
+    with the one before it in its section.
 
-    Where a chunk ends depends on where the one before did, so a document's sentences are walked in order (one
-    document at a time in an Arrow worker); cutting and counting stay in the JVM.
+    Where a chunk ends depends on where the one before did, but only inside its section: the first sentence of a section always
+    starts a chunk. So sections are walked apart from each other, over the token counts of their sentences alone (numpy), and
+    texts stay in the JVM: a page says by arithmetic which of its sentences a chunk has, and the parts of a chunk meet by its
+    key. A task holds a page, a chunk, or one number a sentence of a section. Pages without a document id have no chunks.
     """
+    require(pages, ["doc_id", "company", "fiscal_year", "page_num", "clean_text"])
     text = F.coalesce("clean_text", F.lit(""))
-    cut = annotate(pages).withColumn("parts", sentences(text)).select(
-        "doc_id", "company", "fiscal_year", "page_num", "section_id", "section_code", F.posexplode("parts").alias("place", "sentence")
-    )
-    cut = cut.withColumn("tokens", token_count(F.col("sentence"))).where("tokens > 0")
-    kinds = dict(pages.dtypes)
-    schema = (
-        f"chunk_id string, chunk_index int, doc_id {kinds['doc_id']}, company {kinds['company']}, fiscal_year {kinds['fiscal_year']},"
-        " page_start int, page_end int, chunk_text string, token_count int, section_id string, section_code string"
+    counted = F.transform(sentences(text), lambda x: F.struct(x.alias("sentence"), token_count(x).alias("tokens")))
+    own = ["company", "fiscal_year", "section_code"]
+    marked = annotate(pages).select("doc_id", "page_num", "section_id", *own, F.filter(counted, lambda x: x["tokens"] > 0).alias("parts"))
+    marked = marked.withColumn("n", F.size("parts")).where("n > 0 AND doc_id IS NOT NULL")
+    so_far = Window.partitionBy("doc_id", "section_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("at", (F.sum("n").over(so_far) - F.col("n")).cast("int"))
+    kind = dict(pages.dtypes)
+    lengths = marked.select("doc_id", "section_id", "page_num", F.struct("at", F.transform("parts", lambda x: x["tokens"]).alias("tokens")).alias("page"))
+    lengths = lengths.groupBy("doc_id", "section_id").agg(F.min("page_num").alias("first_page"), F.collect_list("page").alias("pages"))
+    schema = f"doc_id {kind['doc_id']}, section_id string, first_page {kind['page_num']}, n_chunks int, k int, at int, start int, stop int, tokens int, short boolean"
+    walked = lengths.mapInPandas(_pack(size, overlap, least, tolerance), schema)
+    # Chunks of the sections before, and whether a section is a document's last.
+    in_doc = Window.partitionBy("doc_id").orderBy("first_page", "section_id")
+    placed = walked.withColumn("upto", F.sum(F.when((F.col("k") == 0) & (F.col("at") == 0), F.col("n_chunks")).otherwise(0)).over(in_doc))
+    placed = placed.withColumn("all", F.max("upto").over(Window.partitionBy("doc_id")))
+    rest = F.col("short") & (F.col("upto") == F.col("all"))
+    placed = placed.withColumn("rest", rest).withColumn("chunk_index", (F.col("upto") - F.col("n_chunks") + F.col("k") - F.col("rest").cast("int")).cast("int"))
+    joined = placed.join(marked, ["doc_id", "section_id", "at"])
+    cut = F.slice("parts", F.greatest(F.lit(0), F.col("start") - F.col("at")) + 1, F.least(F.col("stop") - F.col("at"), F.col("n")) - F.greatest(F.lit(0), F.col("start") - F.col("at")))
+    parts = joined.select("doc_id", "section_id", "chunk_index", "rest", "at", "page_num", "tokens", F.struct(*own).alias("own"), F.transform(cut, lambda x: x["sentence"]).alias("mine"))
+    one = parts.groupBy("doc_id", "section_id", "chunk_index").agg(
+        F.array_sort(F.collect_list(F.struct("rest", "at", "mine"))).alias("pieces"),
+        F.min_by("own", F.struct("rest", "at")).alias("own"),
+        F.min("page_num").alias("page_start"),
+        F.max("page_num").alias("page_end"),
+        F.max(F.when(~F.col("rest"), F.col("page_num"))).alias("__end"),
+        # Every part of a chunk has the chunk's count.
+        (F.max(F.when(~F.col("rest"), F.col("tokens"))) + F.coalesce(F.max(F.when(F.col("rest"), F.col("tokens"))), F.lit(0))).alias("token_count"),
     )
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["page_num", "place"]).to_dict("records")
-        out: list[dict] = []
-        start = 0
-        while start < len(rows):
-            section, used, end = rows[start]["section_id"], 0, start
-            while end < len(rows) and rows[end]["section_id"] == section and (not used or used + rows[end]["tokens"] <= size * tolerance):
-                used += rows[end]["tokens"]
-                end += 1
-            mine = rows[start:end]
-            on = [r["page_num"] for r in mine]
-            out.append(
-                {c: mine[0][c] for c in ("doc_id", "company", "fiscal_year", "section_id", "section_code")}
-                | {"page_start": min(on), "page_end": max(on), "chunk_text": " ".join(r["sentence"] for r in mine), "token_count": used}
-            )
-            if end >= len(rows):
-                break
-            start = max(start + 1, end - overlap) if rows[end]["section_id"] == section else end
-        for i, c in enumerate(out):
-            c["chunk_index"] = i
-            c["chunk_id"] = f"{c['doc_id']}_p{c['page_start']:04d}_p{c['page_end']:04d}_c{i:04d}"
-        if len(out) > 1 and out[-1]["token_count"] < least and out[-1]["section_id"] == out[-2]["section_id"]:
-            rest = out.pop()
-            out[-1]["chunk_text"] = f"{out[-1]['chunk_text']} {rest['chunk_text']}".strip()
-            out[-1]["token_count"] += rest["token_count"]
-            out[-1]["page_end"] = rest["page_end"]
-        return pd.DataFrame(out)[[f.split()[0] for f in schema.split(", ")]]
-
-    return cut.groupBy("doc_id").applyInPandas(pack, schema)
+    joined_text = F.array_join(F.flatten(F.transform("pieces", lambda p: p["mine"])), " ")
+    key = F.format_string("%s_p%04d_p%04d_c%04d", F.col("doc_id").cast("string"), "page_start", "__end", "chunk_index")
+    return one.select(
+        key.alias("chunk_id"), "chunk_index", "doc_id", "own.company", "own.fiscal_year", F.col("page_start").cast("int").alias("page_start"),
+        F.col("page_end").cast("int").alias("page_end"), joined_text.alias("chunk_text"), "token_count", "section_id", "own.section_code",
+    )
 
 
 def first_documents(pages: DataFrame, n: int) -> DataFrame:
