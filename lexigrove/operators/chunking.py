@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, sections
 from ..functions.text import chunk_tokens, sentences, token_count, untokenize, word_count, words
+from ..sources.scratch import saved
 from .checks import require
 
 NEARLY_EMPTY = 20
@@ -32,9 +33,13 @@ def process_pages(pages: DataFrame, aggressive: bool = False) -> DataFrame:
 
 def annotate(pages: DataFrame, text_col: str = "clean_text") -> DataFrame:
     """Adds section_id, section_code, section_title, section_group, carried forward over a document's pages."""
+    return _carried(pages.withColumn("__found", sections.page_section(F.col(text_col))), pages.columns)
+
+
+def _carried(found: DataFrame, keep: list[str]) -> DataFrame:
+    """Sections from what was found on each page; texts needn't be among the columns kept."""
     code, title, group = (F.lit(x) for x in ("front_matter", "Front Matter", "front_matter"))
     by_page = Window.partitionBy("doc_id").orderBy("page_num")
-    found = pages.withColumn("__found", sections.page_section(F.col(text_col)))
     so_far = F.last("__found", ignorenulls=True).over(by_page.rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("__now", so_far)
     before = F.coalesce(F.lag(F.col("__now.code")).over(by_page), code)
@@ -45,7 +50,7 @@ def annotate(pages: DataFrame, text_col: str = "clean_text") -> DataFrame:
     found = found.withColumn("__nth", nth)
     known = F.col("__now").isNotNull()
     return found.select(
-        *pages.columns,
+        *keep,
         F.when(known, F.format_string("%s__%02d", "__now.code", "__nth")).otherwise("front_matter__01").alias("section_id"),
         F.coalesce("__now.code", code).alias("section_code"),
         F.coalesce("__now.title", title).alias("section_title"),
@@ -128,28 +133,37 @@ def _pack(size: int, overlap: int, least: int, tolerance: float):
     """Walks the token counts of a section's sentences; gives each chunk's parts by page."""
     most = int(size * tolerance)
 
+    def walk(ends: np.ndarray) -> np.ndarray:
+        n, start, chunks = len(ends) - 1, 0, []
+        while start < n:
+            # The last sentence end within the limit; a sentence longer than that stands alone.
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+            chunks.append((start, end))
+            start = max(start + 1, end - overlap) if end < n else n
+        return np.array(chunks)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, section, first_page, pages in zip(batch["doc_id"], batch["section_id"], batch["first_page"], batch["pages"]):
-                pages = sorted((p["at"], p["tokens"]) for p in pages)
-                firsts = np.array([at for at, _ in pages])
-                ends = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(t, dtype=np.int64) for _, t in pages]))])
-                n, start, chunks = len(ends) - 1, 0, []
-                while start < n:
-                    # The last sentence end within the limit; a sentence longer than that stands alone.
-                    end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
-                    chunks.append((start, end))
-                    start = max(start + 1, end - overlap) if end < n else n
-                begin, end = np.array(chunks).T
-                tokens = ends[end] - ends[begin]
+            parts, rows = [], []
+            for i, pages in enumerate(batch["pages"]):
+                pages = sorted(pages, key=lambda p: p["at"])
+                firsts = np.array([p["at"] for p in pages])
+                ends = np.concatenate([[0], *[p["tokens"] for p in pages]]).cumsum()
+                begin, end = walk(ends).T
                 low = np.searchsorted(firsts, begin, "right") - 1
-                high = np.searchsorted(firsts, end - 1, "right") - 1
-                k = np.repeat(np.arange(len(chunks)), high - low + 1)
-                page = np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)])
-                out = pd.DataFrame({"k": k, "at": firsts[page], "start": begin[k], "stop": end[k], "tokens": tokens[k]})
-                out["short"] = (k == len(chunks) - 1) & (k > 0) & (tokens[k] < least)
-                out["n_chunks"], out["doc_id"], out["section_id"], out["first_page"] = len(chunks), doc, section, first_page
-                yield out[["doc_id", "section_id", "first_page", "n_chunks", "k", "at", "start", "stop", "tokens", "short"]]
+                count = np.searchsorted(firsts, end - 1, "right") - low
+                k = np.repeat(np.arange(len(begin)), count)
+                page = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + low[k]
+                ids = np.array([p["id"] for p in pages])
+                tokens = (ends[end] - ends[begin])[k]
+                parts.append(np.stack([k, ids[page], firsts[page], begin[k], end[k], tokens, np.full(len(k), len(begin))]))
+                rows.append(np.full(len(k), i))
+            if not parts:
+                continue
+            out = pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["k", "id", "at", "start", "stop", "tokens", "n_chunks"])
+            out["short"] = (out.k == out.n_chunks - 1) & (out.k > 0) & (out.tokens < least)
+            own = batch.drop(columns="pages").iloc[np.concatenate(rows)].reset_index(drop=True)
+            yield pd.concat([own, out], axis=1)
 
     return run
 
@@ -159,46 +173,51 @@ def sentence_chunks(pages: DataFrame, size: int = 500, overlap: int = 1, least:
     with the one before it in its section.
 
     Where a chunk ends depends on where the one before did, but only inside its section: the first sentence of a section always
-    starts a chunk. So sections are walked apart from each other, over the token counts of their sentences alone (numpy), and
-    texts stay in the JVM: a page says by arithmetic which of its sentences a chunk has, and the parts of a chunk meet by its
-    key. A task holds a page, a chunk, or one number a sentence of a section. Pages without a document id have no chunks.
+    starts a chunk. So sections are walked apart from each other, over the token counts of their sentences alone (numpy). Pages are
+    cut into sentences once and written; sections, running sums and the walk see no text, and a page says by arithmetic which of its
+    sentences a chunk has. A task holds a page, a chunk, or one number a sentence of a section. Pages without a document id have no chunks.
     """
     require(pages, ["doc_id", "company", "fiscal_year", "page_num", "clean_text"])
-    text = F.coalesce("clean_text", F.lit(""))
-    counted = F.transform(sentences(text), lambda x: F.struct(x.alias("sentence"), token_count(x).alias("tokens")))
-    own = ["company", "fiscal_year", "section_code"]
-    marked = annotate(pages).select("doc_id", "page_num", "section_id", *own, F.filter(counted, lambda x: x["tokens"] > 0).alias("parts"))
-    marked = marked.withColumn("n", F.size("parts")).where("n > 0 AND doc_id IS NOT NULL")
-    so_far = Window.partitionBy("doc_id", "section_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("at", (F.sum("n").over(so_far) - F.col("n")).cast("int"))
+    counted = F.transform(sentences(F.coalesce("clean_text", F.lit(""))), lambda x: F.struct(x.alias("sentence"), token_count(x).alias("tokens")))
+    cut = pages.where("doc_id IS NOT NULL").select(
+        "doc_id", "page_num", "company", "fiscal_year", F.monotonically_increasing_id().alias("id"),
+        sections.page_section(F.col("clean_text")).alias("__found"), F.filter(counted, lambda x: x["tokens"] > 0).alias("parts"),
+    )
+    cut = saved(cut, "sentences")
+    narrow = cut.select("doc_id", "page_num", "id", "__found", F.col("parts.tokens").alias("tokens"))
+    marked = _carried(narrow, ["doc_id", "page_num", "id", "tokens"]).withColumn("n", F.size("tokens")).where("n > 0")
+    so_far = Window.partitionBy("doc_id", "section_id").orderBy("page_num", "id").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("at", (F.sum("n").over(so_far) - F.col("n")).cast("long"))
+    lengths = marked.groupBy("doc_id", "section_id").agg(
+        F.first("section_code").alias("section_code"), F.min("page_num").alias("first_page"), F.collect_list(F.struct("at", "id", "tokens")).alias("pages")
+    )
     kind = dict(pages.dtypes)
-    lengths = marked.select("doc_id", "section_id", "page_num", F.struct("at", F.transform("parts", lambda x: x["tokens"]).alias("tokens")).alias("page"))
-    lengths = lengths.groupBy("doc_id", "section_id").agg(F.min("page_num").alias("first_page"), F.collect_list("page").alias("pages"))
-    schema = f"doc_id {kind['doc_id']}, section_id string, first_page {kind['page_num']}, n_chunks int, k int, at int, start int, stop int, tokens int, short boolean"
+    schema = f"doc_id {kind['doc_id']}, section_id string, section_code string, first_page {kind['page_num']}, k long, id long, at long, start long, stop long, tokens long, n_chunks long, short boolean"
     walked = lengths.mapInPandas(_pack(size, overlap, least, tolerance), schema)
     # Chunks of the sections before, and whether a section is a document's last.
     in_doc = Window.partitionBy("doc_id").orderBy("first_page", "section_id")
     placed = walked.withColumn("upto", F.sum(F.when((F.col("k") == 0) & (F.col("at") == 0), F.col("n_chunks")).otherwise(0)).over(in_doc))
-    placed = placed.withColumn("all", F.max("upto").over(Window.partitionBy("doc_id")))
-    rest = F.col("short") & (F.col("upto") == F.col("all"))
-    placed = placed.withColumn("rest", rest).withColumn("chunk_index", (F.col("upto") - F.col("n_chunks") + F.col("k") - F.col("rest").cast("int")).cast("int"))
-    joined = placed.join(marked, ["doc_id", "section_id", "at"])
-    cut = F.slice("parts", F.greatest(F.lit(0), F.col("start") - F.col("at")) + 1, F.least(F.col("stop") - F.col("at"), F.col("n")) - F.greatest(F.lit(0), F.col("start") - F.col("at")))
-    parts = joined.select("doc_id", "section_id", "chunk_index", "rest", "at", "page_num", "tokens", F.struct(*own).alias("own"), F.transform(cut, lambda x: x["sentence"]).alias("mine"))
+    placed = placed.withColumn("rest", F.col("short") & (F.col("upto") == F.max("upto").over(Window.partitionBy("doc_id"))))
+    placed = placed.withColumn("chunk_index", (F.col("upto") - F.col("n_chunks") + F.col("k") - F.col("rest").cast("int")).cast("int"))
+    joined = placed.join(cut.select("id", "page_num", "company", "fiscal_year", "parts"), "id")
+    low = F.greatest(F.lit(0), F.col("start") - F.col("at")).cast("int")
+    high = F.least(F.col("stop") - F.col("at"), F.size("parts")).cast("int")
+    parts = joined.withColumn("mine", F.array_join(F.slice("parts.sentence", low + 1, high - low), " "))
+    own = ["company", "fiscal_year", "section_code"]
     one = parts.groupBy("doc_id", "section_id", "chunk_index").agg(
         F.array_sort(F.collect_list(F.struct("rest", "at", "mine"))).alias("pieces"),
-        F.min_by("own", F.struct("rest", "at")).alias("own"),
+        F.min_by(F.struct(*own), F.struct("rest", "at")).alias("own"),
         F.min("page_num").alias("page_start"),
         F.max("page_num").alias("page_end"),
         F.max(F.when(~F.col("rest"), F.col("page_num"))).alias("__end"),
         # Every part of a chunk has the chunk's count.
         (F.max(F.when(~F.col("rest"), F.col("tokens"))) + F.coalesce(F.max(F.when(F.col("rest"), F.col("tokens"))), F.lit(0))).alias("token_count"),
     )
-    joined_text = F.array_join(F.flatten(F.transform("pieces", lambda p: p["mine"])), " ")
     key = F.format_string("%s_p%04d_p%04d_c%04d", F.col("doc_id").cast("string"), "page_start", "__end", "chunk_index")
     return one.select(
         key.alias("chunk_id"), "chunk_index", "doc_id", "own.company", "own.fiscal_year", F.col("page_start").cast("int").alias("page_start"),
-        F.col("page_end").cast("int").alias("page_end"), joined_text.alias("chunk_text"), "token_count", "section_id", "own.section_code",
+        F.col("page_end").cast("int").alias("page_end"), F.array_join("pieces.mine", " ").alias("chunk_text"), F.col("token_count").cast("int").alias("token_count"),
+        "section_id", "own.section_code",
     )
 
 
