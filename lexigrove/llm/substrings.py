@@ -263,13 +263,20 @@ def _counted(limit: int):
         )
 
     def judged(blocks: list) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         if not blocks:
             return
         lengths, low, high = (np.concatenate([b[i] for b in blocks]) for i in range(3))
         text = b"".join(b[3] for b in blocks)
         blocks.clear()
-        strings, owners = [], []
+        strings, owners, told = [], [], set()
         for s, o in _owners(low, high, lengths, text):
+            # Tasks (and flushes of one) send a string each; its windows have the same owners in all copies.
+            d = xxh3_128_digest(s)
+            if d in told:
+                continue
+            told.add(d)
             strings.append(s)
             owners.append(o)
             if len(strings) == 1 << 15:
@@ -350,8 +357,8 @@ def _windows(docs: DataFrame, parts: int, hot: np.ndarray, bucket_bytes: int) ->
 def repeated_strings(
     docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, sample_docs: int = SAMPLE_DOCS, hot_share: int = HOT
 ) -> tuple[DataFrame, np.ndarray]:
-    """From (id, text): rows (h1, h2, owners) of strings partly owned by an earlier document, and the hot minimisers with
-    which texts must be cut to meet them. Owners are one 64-bit number a window."""
+    """From (id, text): a row (h1, h2, owners) for each distinct string partly owned by an earlier document, and the hot minimisers
+    with which texts must be cut to meet them. Owners are one 64-bit number a window."""
     rows, size = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     hot = _hot_minimisers(docs, rows, sample_docs, hot_share)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-3 * (size or 0) // bucket_bytes))

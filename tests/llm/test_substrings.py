@@ -70,6 +70,15 @@ def test_hot_passage_in_new_contexts(spark):
     assert run(spark, rows) == run(spark, rows, bucket_bytes=30_000) == brute(rows)
 
 
+def test_a_string_sent_by_many_tasks_is_reported_once(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"a{i} {passage} b{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(12)
+    found, _ = substrings.repeated_strings(df.select("id", substrings.text_bytes("text").alias("text")))
+    assert found.count() == found.select("h1", "h2").distinct().count() > 0
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert substrings.without_repeats(df).count() == 0
