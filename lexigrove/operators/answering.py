@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.text import slug
+from ..sources.scratch import saved
 from . import knowledge as K
 
 # What is tried again, and how far an answer may grow.
@@ -119,7 +120,8 @@ def call_rows(rows: DataFrame, key: str, prompt: str, call: Callable[[str, int],
 def extract(chunks: DataFrame, call: Callable[[str, int], str], kind: str = "entities") -> tuple[DataFrame, DataFrame]:
     """(rows, checkpoint): what a model extracts from chunks. A chunk without any row succeeds too."""
     asked = chunks.withColumn("__prompt", F.concat(F.lit(f"Extract {kind} as JSON from:\n"), "chunk_text"))
-    answers = call_rows(asked, "chunk_id", "__prompt", call)
+    # Stored: the rows and the checkpoint read what was answered, and no model is called again.
+    answers = saved(call_rows(asked, "chunk_id", "__prompt", call), "answers")
     full = chunks.join(answers, "chunk_id")
     rows = K.entities(full) if kind == "entities" else K.triplets(full)
     counts = rows.groupBy("chunk_id").agg(F.count("*").cast("int").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.text import any_of, hits, let, preview, squeeze, strip, title_case, word_count
+from ..sources.scratch import saved
 from .incremental import keep_first
 
 ENTITIES = "array<struct<entity_text: string, entity_type: string, confidence: string>>"
@@ -67,13 +68,28 @@ def _once(rows: DataFrame, key: list[str]) -> DataFrame:
     return keep_first(rows, key, ["ordinal", F.xxhash64(*rest)]).select(*[c for c in rows.columns if not c.startswith("__")])
 
 
-def entities(responses: DataFrame) -> DataFrame:
-    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk.
+def _split(responses: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Responses of chunks that have one, and of chunks that have several (null is a chunk as well), if there are any.
 
-    Items are cleaned, checked and made distinct inside their array; those that a chunk's other responses repeat (a chunk
-    joined twice, a response given again) are found by an aggregate that combines before its shuffle.
+    Only ids are counted, and those met again are stored, so Spark sees how few they are. ``responses`` is read more than once: what a
+    model said should be stored, not asked for again.
     """
+    again = saved(responses.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk_id").alias("__again")), "again")
+    if again.isEmpty():
+        return responses, None
+    same = F.col("chunk_id").eqNullSafe(F.col("__again"))
+    return responses.join(again, same, "left_anti"), responses.join(again, same, "left_semi")
+
+
+def _rows(responses: DataFrame, make: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+    """What ``make`` gives, once by key. A response's items are distinct in their array; only chunks with several responses are shuffled."""
+    one, more = _split(responses)
+    out = make(one)
+    out = out.select(*[c for c in out.columns if not c.startswith("__")])
+    return out if more is None else out.unionByName(_once(make(more), key))
 
+
+def _entity_items(response: Column) -> Column:
     def item(x: Column, i: Column) -> Column:
         kind = entity_type(x["entity_type"])
         return let(
@@ -81,23 +97,34 @@ def entities(responses: DataFrame) -> DataFrame:
             lambda text: F.struct(text.alias("text"), F.lower(text).alias("low"), kind.alias("kind"), confidence(x["confidence"]).alias("confidence"), i.alias("ordinal")),
         )
 
-    items = F.transform(F.from_json(F.col("response"), f"entities {ENTITIES}")["entities"], item)
+    items = F.transform(F.from_json(response, f"entities {ENTITIES}")["entities"], item)
     valid = F.filter(items, lambda x: x["kind"].isNotNull() & _is_entity(x["low"], x["kind"]))
-    rows = responses.select("*", F.explode(first_items(valid, lambda x: _key(x["kind"], x["low"]))).alias("item"))
-    rows = rows.select(
-        "chunk_id",
-        F.col("item.low").alias("__low"),
-        F.col("item.text").alias("entity_text"),
-        F.col("item.kind").alias("entity_type"),
-        F.col("item.confidence").alias("confidence"),
-        F.col("doc_id").alias("source_doc_id"),
-        F.col("fiscal_year").cast("int").alias("year"),
-        "company",
-        "page_start",
-        "page_end",
-        F.col("item.ordinal").alias("ordinal"),
-    )
-    return _once(rows, ["chunk_id", "entity_type", "__low"])
+    return first_items(valid, lambda x: _key(x["kind"], x["low"]))
+
+
+def entities(responses: DataFrame) -> DataFrame:
+    """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk.
+
+    Items are cleaned, checked and made distinct inside their array; those that a chunk's other responses repeat (a chunk
+    joined twice, a response given again) are found by an aggregate over such chunks, which combines before its shuffle.
+    """
+
+    def make(answers: DataFrame) -> DataFrame:
+        return answers.select("*", F.explode(_entity_items(F.col("response"))).alias("item")).select(
+            "chunk_id",
+            F.col("item.low").alias("__low"),
+            F.col("item.text").alias("entity_text"),
+            F.col("item.kind").alias("entity_type"),
+            F.col("item.confidence").alias("confidence"),
+            F.col("doc_id").alias("source_doc_id"),
+            F.col("fiscal_year").cast("int").alias("year"),
+            "company",
+            "page_start",
+            "page_end",
+            F.col("item.ordinal").alias("ordinal"),
+        )
+
+    return _rows(responses, make, ["chunk_id", "entity_type", "__low"])
 
 
 def relation(value: Column) -> Column:
@@ -123,33 +150,38 @@ def is_triplet(a: Column, name: Column, b: Column) -> Column:
     return name.isNotNull() & ends & offers & leads & reports
 
 
+def _triplet_items(response: Column) -> Column:
+    def item(x: Column, i: Column) -> Column:
+        return F.struct(_text(x["entity_a"]).alias("a"), relation(x["relation"]).alias("name"), _text(x["entity_b"]).alias("b"), i.alias("ordinal"))
+
+    items = F.transform(F.from_json(response, f"triplets {TRIPLETS}")["triplets"], item)
+    valid = F.filter(items, lambda x: is_triplet(x["a"], x["name"], x["b"]))
+    return first_items(valid, lambda x: _key(F.lower(x["a"]), x["name"], F.lower(x["b"])))
+
+
 def triplets(responses: DataFrame) -> DataFrame:
     """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid relations, once a chunk.
 
     Made distinct as entities are.
     """
 
-    def item(x: Column, i: Column) -> Column:
-        return F.struct(_text(x["entity_a"]).alias("a"), relation(x["relation"]).alias("name"), _text(x["entity_b"]).alias("b"), i.alias("ordinal"))
+    def make(answers: DataFrame) -> DataFrame:
+        return answers.select("*", F.explode(_triplet_items(F.col("response"))).alias("item")).select(
+            "chunk_id",
+            F.lower("item.a").alias("__a"),
+            F.lower("item.b").alias("__b"),
+            F.col("item.a").alias("entity_a"),
+            F.col("item.name").alias("relation"),
+            F.col("item.b").alias("entity_b"),
+            F.col("fiscal_year").cast("int").alias("year"),
+            "company",
+            "doc_id",
+            "page_start",
+            "page_end",
+            F.col("item.ordinal").alias("ordinal"),
+        )
 
-    items = F.transform(F.from_json(F.col("response"), f"triplets {TRIPLETS}")["triplets"], item)
-    valid = F.filter(items, lambda x: is_triplet(x["a"], x["name"], x["b"]))
-    once = first_items(valid, lambda x: _key(F.lower(x["a"]), x["name"], F.lower(x["b"])))
-    rows = responses.select("*", F.explode(once).alias("item")).select(
-        "chunk_id",
-        F.lower("item.a").alias("__a"),
-        F.lower("item.b").alias("__b"),
-        F.col("item.a").alias("entity_a"),
-        F.col("item.name").alias("relation"),
-        F.col("item.b").alias("entity_b"),
-        F.col("fiscal_year").cast("int").alias("year"),
-        "company",
-        "doc_id",
-        "page_start",
-        "page_end",
-        F.col("item.ordinal").alias("ordinal"),
-    )
-    return _once(rows, ["chunk_id", "relation", "__a", "__b"])
+    return _rows(responses, make, ["chunk_id", "relation", "__a", "__b"])
 
 
 def _texts(text: Column, name: str, order: str = "ordinal") -> Column:
@@ -174,7 +206,10 @@ def chunk_facts(found: DataFrame, related: DataFrame) -> DataFrame:
     two = related.where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(
         _texts(label, "knowledge_triplets"), _texts(F.col("relation"), "knowledge_relations"), _texts(rival, "knowledge_competitors")
     )
-    out = one.join(two, "chunk_id", "full")
+    return _with_counts(one.join(two, "chunk_id", "full"))
+
+
+def _with_counts(out: DataFrame) -> DataFrame:
     lists = ["knowledge_entities", "knowledge_entity_types", "knowledge_triplets", "knowledge_relations", "knowledge_competitors"]
     out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
     return out.select(
@@ -188,6 +223,31 @@ def chunk_facts(found: DataFrame, related: DataFrame) -> DataFrame:
     )
 
 
+def response_facts(responses: DataFrame) -> DataFrame:
+    """Facts of chunks, as :func:`chunk_facts` gives them, from responses that hold entities and triplets.
+
+    A chunk with one response has all it needs in a row, so nothing is shuffled; others go by :func:`chunk_facts`.
+    """
+    one, more = _split(responses)
+    # Items are values before they are read several times: what a Generate gives is not computed again.
+    items = F.struct(_entity_items(F.col("response")).alias("found"), _triplet_items(F.col("response")).alias("related"))
+    rows = one.where("chunk_id IS NOT NULL").select("chunk_id", F.explode(F.array(items)).alias("items"))
+    found, related = F.col("items.found"), F.col("items.related")
+    label = lambda x: triplet_label(x["a"], x["name"], x["b"])
+    once = lambda texts: first_items(F.filter(texts, lambda t: t != ""), F.lower)
+    lists = {
+        "knowledge_entities": once(F.transform(found, lambda x: x["text"])),
+        "knowledge_entity_types": F.array_distinct(F.transform(found, lambda x: x["kind"])),
+        "knowledge_triplets": once(F.transform(related, label)),
+        "knowledge_relations": F.array_distinct(F.transform(related, lambda x: x["name"])),
+        "knowledge_competitors": once(F.transform(F.filter(related, lambda x: x["name"] == "COMPETES_WITH"), lambda x: x["b"])),
+    }
+    some = (F.coalesce(F.size(found), F.lit(0)) > 0) | (F.coalesce(F.size(related), F.lit(0)) > 0)
+    made = rows.where(some).select("chunk_id", F.explode(F.array(F.struct(*[c.alias(n) for n, c in lists.items()]))).alias("made"))
+    out = _with_counts(made.select("chunk_id", "made.*"))
+    return out if more is None else out.unionByName(chunk_facts(entities(more), triplets(more)))
+
+
 def with_facts(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts beside chunks; without facts counts are 0, texts empty and lists empty (types stay null)."""
     out = chunks.join(facts, "chunk_id", "left")
@@ -268,24 +328,29 @@ MENTION = [
 
 def mentions(found: DataFrame, related: DataFrame, chunks: DataFrame) -> DataFrame:
     """Competitor mentions from company entities (in their chunk) and from relations, once by key and source."""
+
+    def named(rows: DataFrame, text: Column) -> DataFrame:
+        # From a Generate, so that filters by the name don't compute it again.
+        return rows.withColumn("competitor_name", F.explode(F.array(competitor_name(text))))
+
     companies = found.where("entity_type = 'company'").drop("page_start", "page_end")
-    inside = companies.join(chunks.select("chunk_id", "chunk_text", "page_start", "page_end"), "chunk_id", "left")
+    # A chunk's text is looked at once, not beside each of its entities.
+    signals = chunks.select("chunk_id", has_signal(F.coalesce("chunk_text", F.lit(""))).alias("__signal"), "page_start", "page_end")
+    inside = named(companies, F.col("entity_text")).join(signals, "chunk_id", "left")
     one = inside.withColumns(
         {
             "source_company": source_company(F.col("company")),
-            "competitor_name": competitor_name(F.col("entity_text")),
-            "has_competition_risk_signal": has_signal(F.coalesce("chunk_text", F.lit(""))),
+            "has_competition_risk_signal": F.coalesce("__signal", F.lit(False)),
             "explicit_competes_with": F.lit(False),
             "mention_source": F.lit("entity"),
         }
     ).where(~is_self(F.col("entity_text"), F.col("source_company")) & is_name(F.col("entity_text")))
     two = (
-        related.where("relation = 'COMPETES_WITH'")
+        named(related.where("relation = 'COMPETES_WITH'"), F.col("entity_b"))
         .withColumns(
             {
                 "source_company": source_company(F.col("company")),
                 "source_doc_id": F.col("doc_id"),
-                "competitor_name": competitor_name(F.col("entity_b")),
                 "has_competition_risk_signal": F.lit(True),
                 "explicit_competes_with": F.lit(True),
                 "mention_source": F.lit("triplet"),
@@ -300,8 +365,10 @@ def mentions(found: DataFrame, related: DataFrame, chunks: DataFrame) -> DataFra
 
 
 def with_evidence(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    out = found.join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left").withColumn("chunk_text", F.coalesce("chunk_text", F.lit("")))
-    return out.withColumn("chunk_text_preview", preview(F.col("chunk_text")))
+    """Adds the chunk's text and its preview; the preview is made before the join, so a caller that reads only it moves no texts."""
+    text = F.coalesce("chunk_text", F.lit(""))
+    out = found.join(chunks.select("chunk_id", text.alias("chunk_text"), preview(text).alias("chunk_text_preview")), "chunk_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("chunk_text", "chunk_text_preview")})
 
 
 def competitor_summary(found: DataFrame) -> DataFrame:
@@ -357,9 +424,12 @@ def candidates(chunks: DataFrame, mode: str = "all", kind: str = "entity", least
     return out if most is None else out.orderBy("company", "fiscal_year", "page_start", "page_end", "chunk_id").limit(most)
 
 
-def with_context(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Entities with the text and first page of their chunk; null where there is no such chunk."""
-    return found.drop("page_start", "page_end").join(chunks.select("chunk_id", "chunk_text", "page_start"), "chunk_id", "left")
+def with_context(found: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("chunk_text", "page_start")) -> DataFrame:
+    """Entities with the text and first page of their chunk, or other columns of it; null where there is no such chunk.
+
+    What is made of a text should be a column of ``chunks``: a text after the join is moved, and computed on, once for each entity.
+    """
+    return found.drop("page_start", "page_end").join(chunks.select("chunk_id", *columns), "chunk_id", "left")
 
 
 @dataclass
