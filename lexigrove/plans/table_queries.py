@@ -252,8 +252,7 @@ _sha = lambda x: f"sha256(array_to_string({x}, ' '))"
  array_to_string(coalesce(kinds, []), ',') AS kinds, array_to_string(relations, ',') AS relations, {_sha('rivals')} AS rivals_sha, {_sha('names || labels || rivals')} AS text_sha FROM every""",
 )
 def agg2(spark, sf):
-    answers = _responses(spark, sf)
-    facts = knowledge.chunk_facts(knowledge.entities(answers), knowledge.triplets(answers))
+    facts = knowledge.response_facts(_responses(spark, sf))
     sha = lambda c: F.sha2(F.array_join(c, " ").cast("binary"), 256)
     return facts.select(
         "chunk_id",
