@@ -435,7 +435,8 @@ def join3(spark, sf):
 )
 def join4_all(spark, sf):
     found = knowledge.entities(_responses(spark, sf)).where("entity_type = 'company'")
-    return knowledge.with_context(found, M.chunks(spark, sf)).select("chunk_id", "entity_text", "page_start", F.length("chunk_text").alias("chars"))
+    chunks = M.chunks(spark, sf).withColumn("chars", F.length("chunk_text"))
+    return knowledge.with_context(found, chunks, ("page_start", "chars")).select("chunk_id", "entity_text", "page_start", "chars")
 
 
 @query("join5_mentions")
