@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -412,7 +413,11 @@ def yearly_pivot(df: DataFrame, year: str, company: str, name: str, companies: l
 
 def interest(text: Column, kind: str = "entity") -> Column:
     """How many hints of the kind occur in a chunk."""
-    return hits(F.lower(F.coalesce(text, F.lit(""))), [rf"\b{h}\b" for h in (V.ENTITY_HINTS if kind == "entity" else V.TRIPLET_HINTS)])
+    hints = V.ENTITY_HINTS if kind == "entity" else V.TRIPLET_HINTS
+    # A hint is words, maybe with an optional last letter.
+    parts = [re.sub(r".[?]$", "", h) for h in hints]
+    parts = [p if re.fullmatch("[a-z ]+", p) else None for p in parts]
+    return hits(F.lower(F.coalesce(text, F.lit(""))), [rf"\b{h}\b" for h in hints], parts)
 
 
 def candidates(chunks: DataFrame, mode: str = "all", kind: str = "entity", least: int = 1, most: int | None = None) -> DataFrame:

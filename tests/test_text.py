@@ -170,3 +170,13 @@ def test_guardrails(spark):
     assert one(spark, said, guard.injection_risk(F.col("x"))) == [True, False, False]
     flags = guard.safety_flags(F.col("x"), F.lit("I cannot verify this terrible claim"), F.lit(0), F.lit(1))
     assert one(spark, said[:1], flags) == [["prompt_injection_risk", "low_support", "grounded_refusal", "tool_augmented", "loaded_language_in_answer"]]
+
+
+def test_hints_are_looked_for_as_plain_text_first(spark):
+    from lexigrove.operators import knowledge
+
+    texts = ["An OFFER of offers", "offered", "risks and risk factors", "paid by AI", "a chief executive officer.", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", knowledge.interest(F.col("t")).alias("e"), knowledge.interest(F.col("t"), "triplet").alias("r"))
+    assert "Contains" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.e, r.r) for r in out.orderBy("i").collect()] == [(0, 1), (0, 0), (2, 2), (1, 1), (3, 2), (0, 0), (0, 0)]
