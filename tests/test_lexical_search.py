@@ -42,3 +42,24 @@ def test_blocks_and_groups(spark, monkeypatch):
     of = {c: co for c, _, co, _, _ in rows}
     for r in retrieval.tfidf(df, levels, 5).collect():
         assert mine[r.query_id] is None or of[r.chunk_id] == mine[r.query_id]
+
+
+def test_fallback_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "FALLBACK_CHUNKS", 7)
+    monkeypatch.setattr(lexical_search, "GROUP_QUERIES", 3)
+    rng = random.Random(4)
+    words = [f"term{chr(97 + i)}" for i in range(9)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    chunks = [(f"c{i:03}", said(rng.randint(0, 9)), f"Co {i % 3}.", 2022 + i % 2, None if i % 11 == 0 else i % 4) for i in range(80)]
+    queries = [(i, said(rng.randint(1, 5)), "co 1" if i % 2 else None, 2022 if i % 3 == 0 else None) for i in range(12)] + [(90, "unknown", None, None), (91, "", None, None)]
+    df = spark.createDataFrame(chunks, "chunk_id string, chunk_text string, company string, fiscal_year int, page_start int")
+    asked = spark.createDataFrame(queries, "query_id long, query_text string, company_filter string, fiscal_year_filter int")
+    found = retrieval.lexical_fallback(df, asked, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for q, text, company, year in queries:
+        mine = set(text.split())
+        fit = [c for c in chunks if (company is None or c[2] == "Co 1.") and (year is None or c[3] == year)]
+        scored = sorted((-len(mine & set(c[1].split())) / len(mine) if mine else 0.0, c[4] is not None, c[4] or 0, c[0]) for c in fit)
+        want |= {(q, c, round(-s, 9), r + 1) for r, (s, _, _, c) in enumerate(scored[:4])}
+    assert {(r.query_id, r.chunk_id, round(r.lexical_score, 9), r["rank"]) for r in found.collect()} == want
