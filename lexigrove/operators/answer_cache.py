@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ class AnswerCache:
 
         Equal prompts share one call; a null prompt is the empty one. ``call`` takes a prompt and a number of tokens.
         """
-        from .answering import json_call, with_retries
+        from .answering import PROMPTS, json_call, with_retries
 
         asked = saved(rows.select(F.col(key).alias("key"), F.coalesce(prompt, F.lit("")).alias("prompt"), address(F.col(prompt), model, tokens, task).alias("request_hash")), "asked")
         before = self.answered()
@@ -63,19 +63,23 @@ class AnswerCache:
             hit = saved(before.join(wanted.withColumn("bucket", bucket), ["bucket", "request_hash"], "left_semi"), "hits")
             left = left.join(hit.select("request_hash"), "request_hash", "left_anti")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for address_, p in zip(batch["request_hash"], batch["prompt"]):
-                    try:
-                        answer, used = with_retries(lambda p=p: json_call(call, p, tokens))
-                        out.append((address_, json.dumps(answer, ensure_ascii=False), "success", "", used))
-                    except Exception as error:
-                        out.append((address_, None, "error", str(error), tokens))
-                yield pd.DataFrame(out, columns=["request_hash", "response", "status", "error_message", "tokens_used"])
+                # Few prompts at a time are Python objects, however many rows a batch has.
+                for start in range(0, batch.num_rows, PROMPTS):
+                    part = batch.slice(start, PROMPTS)
+                    out = []
+                    for p in part.column(1).to_pylist():
+                        try:
+                            answer, used = with_retries(lambda p=p: json_call(call, p, tokens))
+                            out.append((json.dumps(answer, ensure_ascii=False), "success", "", used))
+                        except Exception as error:
+                            out.append((None, "error", str(error), tokens))
+                    said = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *said], names=["request_hash", "response", "status", "error_message", "tokens_used"])
 
         # Dealt by address, so calls are spread whatever the order of the rows; written once, so nothing is called again when answers are read.
-        called = left.repartition(F.col("request_hash")).mapInPandas(run, "request_hash string, response string, status string, error_message string, tokens_used int")
+        called = left.select("request_hash", "prompt").repartition(F.col("request_hash")).mapInArrow(run, "request_hash string, response string, status string, error_message string, tokens_used int")
         record = called.withColumns(
             {"bucket": F.substring("request_hash", 1, 1), "task": F.lit(task), "model": F.lit(model), "answered_at": F.current_timestamp()}
         ).select(*RECORD)

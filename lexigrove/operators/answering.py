@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from . import knowledge as K
 RETRIED_STATUS = {408, 409, 429, 500, 502, 503, 504}
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 6, 1.0, 30.0
 MOST_TOKENS, GROWTH = 3200, 2
+#: Prompts that a task holds as Python objects.
+PROMPTS = 64
 OPTIONAL_LINES = ["document_source", "file_name", "document_type", "section_group", "section_title"]
 KNOWLEDGE_LINES = [("extracted_entities", "knowledge_entities_preview"), ("extracted_triplets", "knowledge_triplets_preview")]
 REFUSAL = "I cannot provide a grounded answer from the available local evidence"
@@ -102,19 +105,22 @@ def json_call(call: Callable[[str, int], str], prompt: str, tokens: int) -> tupl
 def call_rows(rows: DataFrame, key: str, prompt: str, call: Callable[[str, int], str], tokens: int = 700) -> DataFrame:
     """(key, response, status, error_message): a model's JSON answer to each row's prompt; errors become rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, p in zip(batch[key], batch[prompt]):
-                try:
-                    answer, _ = with_retries(lambda p=p: json_call(call, p, tokens))
-                    out.append((k, json.dumps(answer, ensure_ascii=False), "success", ""))
-                except Exception as error:
-                    out.append((k, None, "error", str(error)))
-            yield pd.DataFrame(out, columns=[key, "response", "status", "error_message"])
+            # Few prompts at a time are Python objects, however many rows a batch has.
+            for start in range(0, batch.num_rows, PROMPTS):
+                part = batch.slice(start, PROMPTS)
+                out = []
+                for p in part.column(1).to_pylist():
+                    try:
+                        answer, _ = with_retries(lambda p=p: json_call(call, p, tokens))
+                        out.append((json.dumps(answer, ensure_ascii=False), "success", ""))
+                    except Exception as error:
+                        out.append((None, "error", str(error)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string()) for c in zip(*out))], names=[key, "response", "status", "error_message"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, prompt).mapInPandas(run, f"`{key}` {kind}, response string, status string, error_message string")
+    return rows.select(key, prompt).mapInArrow(run, f"`{key}` {kind}, response string, status string, error_message string")
 
 
 def extract(chunks: DataFrame, call: Callable[[str, int], str], kind: str = "entities") -> tuple[DataFrame, DataFrame]:

@@ -52,3 +52,22 @@ def test_empty(spark, tmp_path):
     cache = AnswerCache(Versions(spark, f"file://{tmp_path}/cache"))
     none = spark.createDataFrame([], "id int, prompt string")
     assert cache.ask(none, "id", "prompt", lambda p, t: "{}").count() == 0 and cache.records() is None
+
+
+def test_few_prompts_of_a_batch_are_objects_at_once(spark, tmp_path):
+    from lexigrove.operators import answering
+
+    def call(prompt, tokens):
+        if prompt.endswith("7"):
+            raise ValueError("no")
+        return json.dumps({"said": prompt})
+
+    n = 3 * answering.PROMPTS + 5
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(n)], "i int, p string").coalesce(1)
+    called = answering.call_rows(rows, "i", "p", call)
+    plan = called._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    asked = AnswerCache(Versions(spark, f"file://{tmp_path}/c")).ask(rows, "i", "p", call)
+    want = {i: (None, "error", "no") if i % 10 == 7 else (json.dumps({"said": f"p{i}"}), "success", "") for i in range(n)}
+    for got in (called, asked):
+        assert {r.i: (r.response, r.status, r.error_message) for r in got.collect()} == want
