@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens by the byte offsets where tokens of both end.
 
-Python only tokenises: a row gets ids and end offsets of both tokenizers (A: byte-level BPE ranks; B: a sentencepiece model), and for each
-offset the number of tokens that end there or before and the token that ends there. All else are array functions of Spark. ``array_intersect`` of the two end arrays
-gives the ends that both share, and so the groups; ``sequence`` and ``transform`` cut the ids into groups by the
-numbers at their ends, and ``aggregate`` counts links. Every step is linear in the text. A link is a pair of
+Python only tokenises: a row gets the end offsets of both tokenizers' tokens (A: byte-level BPE ranks; B: a sentencepiece model), and by
+offset the token that ends there. All else are array functions of Spark. ``array_intersect`` of the two end arrays
+gives the ends that both share, and so the groups; ``slice``, ``filter`` and ``transform`` cut the ids into groups
+at these, and ``aggregate`` counts links. Every step is linear in the text, but for the sort of a row's links. A link is a pair of
 tokens of one group, coded as one number. Groups end at most word boundaries, so they are short; their pairs are the result asked for.
 
 Counts: a link's number of documents is a combined count over the distinct links of each row. Rows then look up their links. The
@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import load_ranks
 from .common import new_folder, saved, table, text_bytes
@@ -35,6 +37,12 @@ from .common import new_folder, saved, table, text_bytes
 MOST_BROADCAST = 500_000
 #: Texts whose tokens are in memory at once.
 TEXTS = 64
+NONE = np.zeros(0, np.int32)
+#: Matches what ``public_tokenizers.PATTERN`` does, with less going back.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Bits of an id. A link is its A id above them and its B id in them.
+ID_BITS = 17
+ID_MASK = (1 << ID_BITS) - 1
 
 
 @lru_cache(2)
@@ -60,57 +68,56 @@ def _pieces(path: str):
     return model, pieces, np.array(list(map(len, pieces)), np.int32)
 
 
-def _encoded(raws: list[bytes | None], ranks: str, pattern: str, model: str) -> Iterator[tuple[np.ndarray, ...] | None]:
-    """(A's ids, A's ends, B's ids, B's ends) of each text, or None."""
-    first, first_sizes = _byte_level(ranks, pattern)
-    second, pieces, second_sizes = _pieces(model)
+def _encoded(raws: list[bytes | None], ranks: str, pattern: str, model: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A's and B's ids of each text; none where they don't spell it."""
+    first = _byte_level(ranks, pattern)[0]
+    second, pieces, _ = _pieces(model)
     texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raws]
+    a, b = [], []
     for raw, text, ids in zip(raws, texts, second.encode(texts, num_threads=1)):
         # Bytes that aren't UTF-8 are read as others. A's tokens spell what they are given.
-        if not raw or b"".join(map(pieces.__getitem__, ids)) != b" " + raw:
-            yield None
-            continue
-        a, b = np.asarray(first.encode_to_numpy(" " + text, disallowed_special=())).astype(np.int32), np.array(ids, np.int32)
-        yield a, np.cumsum(first_sizes[a], dtype=np.int32), b, np.cumsum(second_sizes[b], dtype=np.int32)
-
-
-def _upto(ends: np.ndarray) -> np.ndarray:
-    """For each byte offset, how many tokens end there or before."""
-    marks = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
-    marks[ends] = 1
-    return np.cumsum(marks, dtype=np.int32)
-
-
-def _at(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each byte offset, the token that ends there: its length above ``ID_BITS`` bits, its id below."""
-    out = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
-    out[ends] = (sizes << ID_BITS) + ids
-    return out
-
-
-#: Bits of an id.
-ID_BITS = 17
-_TOKENS = ["a", "a_ends", "a_upto", "a_at", "b", "b_ends", "b_upto", "b_at"]
+        same = raw and b"".join(map(pieces.__getitem__, ids)) == b" " + raw
+        a.append(first.encode_to_numpy(" " + text, disallowed_special=()) if same else NONE)
+        b.append(np.frombuffer(array("i", ids), np.int32) if same else NONE)
+    return a, b
+
+
+def _columns(parts: list[np.ndarray], sizes: np.ndarray, shift: int) -> list[pa.Array]:
+    """Of each text the end offsets of its tokens, and for each offset the token that ends there."""
+    counts = np.array([len(part) for part in parts], np.int64)
+    stops = np.cumsum(counts)
+    ids = np.concatenate(parts)
+    long = sizes[ids].astype(np.int64)
+    through = np.concatenate([np.zeros(1, np.int64), np.cumsum(long)])
+    before = through[stops - counts]
+    ends = through[1:] - np.repeat(before, counts)
+    rows = through[stops] - before + 1
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(rows)])
+    at = np.zeros(int(starts[-1]), np.int64)
+    at[np.repeat(starts[:-1], counts) + ends] = (long << 2 * ID_BITS) + (ids.astype(np.int64) << shift)
+    to = lambda x: pa.array(x, pa.int32())
+    offsets = np.concatenate([np.zeros(1, np.int64), stops])
+    return [pa.ListArray.from_arrays(to(offsets), to(ends)), pa.ListArray.from_arrays(to(starts), pa.array(at))]
 
 
 def tokens(df: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, a, a_ends, a_upto, a_at, b, b_ends, b_upto, b_at): ids and end offsets; by offset, the number of tokens up to there, and the
-    length and id of the token that ends there."""
-    none = np.zeros(0, np.int32)
+    """Rows (id, a_ends, a_at, b_ends, b_at): end offsets, and by offset the token that ends there, or 0: its length above the bits of a link, and
+    its id where a link has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_sizes, b_sizes = _byte_level(ranks, pattern)[1], _pieces(model)[2]
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                rows = []
-                for found in _encoded(part.column(1).to_pylist(), ranks, pattern, model):
-                    a, a_ends, b, b_ends = found or (none,) * 4
-                    rows.append([x for ids, ends in ((a, a_ends), (b, b_ends)) for x in (ids, ends, _upto(ends), _at(ids, np.diff(ends, prepend=0), ends))])
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", *_TOKENS])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {', '.join(f'{c} array<int>' for c in _TOKENS)}"
+                a, b = _encoded(part.column(1).to_pylist(), ranks, pattern, model)
+                lists = [*_columns(a, a_sizes, ID_BITS), *_columns(b, b_sizes, 0)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=schema.names)
+
+    kind = lambda x: T.ArrayType(x, containsNull=False)
+    # Arrays that hold no nulls are sorted as plain numbers.
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType)])
+    for side in "ab":
+        schema = schema.add(f"{side}_ends", kind(T.IntegerType()), False).add(f"{side}_at", kind(T.LongType()), False)
     return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -121,62 +128,56 @@ def shared_ends(tokens: DataFrame) -> DataFrame:
     return shared.withColumn("before", F.concat(F.array(F.lit(0)), F.col("shared")))
 
 
-def _between(side: str, first: Column, after: Column) -> Column:
-    return F.transform(F.sequence(first, after - 1), lambda k: F.col(side)[k])
+def _ids(side: str, j: Column) -> Column:
+    """The ids of the ``j``-th group's tokens."""
+    start, end = F.col("before")[j], F.col("shared")[j]
+    ending = F.filter(F.slice(f"{side}_at", start + 2, end - start), lambda x: x > 0)
+    return F.transform(ending, lambda x: F.shiftright(x, ID_BITS if side == "a" else 0).bitwiseAND(ID_MASK))
 
 
 def groups(shared: DataFrame) -> DataFrame:
     """Rows (id, groups): an array of (a, b), the ids of each group's tokens."""
-
-    def ids(side: str, start: Column, end: Column) -> Column:
-        return _between(side, F.col(f"{side}_upto")[start], F.col(f"{side}_upto")[end])
-
-    cut = F.transform("shared", lambda end, j: F.struct(ids("a", F.col("before")[j], end).alias("a"), ids("b", F.col("before")[j], end).alias("b")))
+    cut = F.transform("shared", lambda _, j: F.struct(_ids("a", j).alias("a"), _ids("b", j).alias("b")))
     return shared.select("id", cut.alias("groups"))
 
 
-def links(shared: DataFrame, b_bits: int) -> DataFrame:
-    """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links): a link is its A id above ``b_bits`` bits and its B id below; in
-    order of its number.
+def links(shared: DataFrame) -> DataFrame:
+    """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links): links in order of their numbers.
 
-    Most groups are one token of each: the tokens that end at a shared end are equally long, and so began at one. Such a group
-    is its link. The others are numbered below zero and cut by :func:`_between`.
+    Most groups are one token of each: the tokens that end at a shared end are equally long, and so began at one. Where they are, the
+    exclusive or of both (:func:`tokens`) has no length left and is the link. The other groups are cut by :func:`_ids`.
     """
-    mask, b_mask = (1 << ID_BITS) - 1, (1 << b_bits) - 1
-
-    def link(end: Column, j: Column) -> Column:
-        a, b = F.col("a_at")[end], F.col("b_at")[end]
-        alone = F.shiftright(a, ID_BITS) == F.shiftright(b, ID_BITS)
-        return F.when(alone, F.shiftleft(a.bitwiseAND(mask).cast("long"), b_bits) + b.bitwiseAND(mask)).otherwise(-1 - j.cast("long"))
-
-    def ids(side: str, number: Column) -> Column:
-        j = (-1 - number).cast("int")
-        return _between(side, F.col(f"{side}_upto")[F.col("before")[j]], F.col(f"{side}_upto")[F.col("shared")[j]])
-
-    joined = lambda x: F.array_join(x.cast("array<string>"), ",")
-    first = shared.withColumn("groups", F.transform("shared", link))
-    large = F.transform(F.filter("groups", lambda g: g < 0), lambda g: F.struct(ids("a", g).alias("a"), ids("b", g).alias("b")))
-    cut = first.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "groups", "shared", "before", "a_upto", "b_upto", "a", "b", large.alias("large"))
-
-    def spelled(g: Column) -> Column:
-        one = F.concat(F.shiftright(g, b_bits).cast("string"), F.lit("|"), g.bitwiseAND(b_mask).cast("string"))
-        return F.when(g >= 0, one).otherwise(F.concat(joined(ids("a", g)), F.lit("|"), joined(ids("b", g))))
-
-    pairs = F.transform("large", lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a.cast("long"), b_bits) + b))))
+    above = 1 << 2 * ID_BITS
+    first = shared.withColumn("met", F.transform("shared", lambda end: F.col("a_at")[end].bitwiseXOR(F.col("b_at")[end])))
+    met = F.col("met")
+    numbers = F.when(F.size(met) > 0, F.filter(F.sequence(F.lit(0), F.size(met) - 1), lambda j: met[j] >= above)).otherwise(F.array().cast("array<int>"))
+    large = F.transform(numbers, lambda j: F.struct(_ids("a", j).alias("a"), _ids("b", j).alias("b")))
+    cut = first.withColumn("large", large)
+    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+
+    def spelled(x: Column) -> Column:
+        return F.when(x < above, F.concat(F.shiftright(x, ID_BITS).cast("string"), F.lit("|"), x.bitwiseAND(ID_MASK).cast("string")))
+
+    # Large groups are cut once: the others are spelled with gaps, and what is between two gaps is followed by the large group there.
+    between = F.split(F.array_join(F.transform(met, spelled), ";", "_"), "_")
+    text = F.array_join(F.zip_with(between, F.transform("large", lambda g: F.concat(joined(g["a"]), F.lit("|"), joined(g["b"]))), lambda x, g: F.concat(x, F.coalesce(g, F.lit("")))), "")
+    digest = F.when(F.size(met) > 0, F.sha2(text.cast("binary"), 256)).otherwise("")
+    pairs = F.transform("large", lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a, ID_BITS) + b))))
     n_large = F.aggregate("large", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"]))
-    g = F.col("groups")
-    digest = F.when(F.size(g) > 0, F.sha2(F.array_join(F.transform(g, spelled), ";").cast("binary"), 256)).otherwise("")
-    return cut.select(
-        "id", "n_a", "n_b", F.size(g).cast("long").alias("n_groups"), (F.size(g) - F.size("large") + n_large).alias("n_links"), digest.alias("groups_sha256"),
-        F.sort_array(F.concat(F.filter(g, lambda x: x >= 0), F.flatten(pairs))).alias("links"),
+    out = cut.select(
+        "id", F.size("a_ends").cast("long").alias("n_a"), F.size("b_ends").cast("long").alias("n_b"), F.size(met).cast("long").alias("n_groups"),
+        (F.size(met) - F.size("large") + n_large).alias("n_links"), digest.alias("groups_sha256"),
+        # Numbers that aren't links are above all links.
+        F.sort_array(F.concat(met, F.flatten(pairs))).alias("sorted"),
     )
+    return out.select("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.slice("sorted", F.lit(1), F.col("n_links").cast("int")).alias("links"))
 
 
-def link_counts(rows: DataFrame, b_bits: int) -> DataFrame:
+def link_counts(rows: DataFrame) -> DataFrame:
     """Rows (link, n, best): in how many rows a link is, and whether none of its A id's links is in more."""
     n = rows.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n"))
     n = saved(n, "link-counts")
-    first = F.shiftright("link", b_bits)
+    first = F.shiftright("link", ID_BITS)
     most = n.groupBy(first.alias("first")).agg(F.max("n").alias("most"))
     return n.join(most, first == F.col("first")).select("link", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -186,14 +187,13 @@ def align(
 ) -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links, n_best, count_sum)."""
     spark = df.sparkSession
-    b_bits = (len(_pieces(model)[1]) - 1).bit_length()
-    if max(b_bits, (len(_byte_level(ranks, pattern)[1]) - 1).bit_length()) > ID_BITS:
+    if max(len(_byte_level(ranks, pattern)[1]), len(_pieces(model)[1])) > 1 << ID_BITS:
         raise ValueError(f"ids of more than {ID_BITS} bits")
-    found = links(shared_ends(tokens(df, ranks, pattern, model, id_col, text_col)), b_bits)
+    found = links(shared_ends(tokens(df, ranks, pattern, model, id_col, text_col)))
     path = new_folder(spark, "aligned")
-    found.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    found.withColumn("row", F.monotonically_increasing_id()).write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
     rows = spark.read.parquet(path)
-    counts = saved(link_counts(rows, b_bits), "links")
+    counts = saved(link_counts(rows), "links")
     power = F.floor(F.log2("n")).cast("int")
     left, least = most_broadcast, None
     histogram = counts.groupBy(power.alias("power")).count().collect()
@@ -220,10 +220,10 @@ def align(
 
 
 def default_tokenizers() -> tuple[str, str, str]:
-    """The ranks of byte_bpe_50k.json (the same vocabulary, read three times as fast), their pattern, and the piece model."""
+    """The ranks of byte_bpe_50k.json (the same vocabulary, read three times as fast), a pattern, and the piece model."""
     import public_tokenizers as public
 
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("piece_bpe_32k.model")
+    return public.path("byte_bpe_50k.tiktoken"), PATTERN, public.path("piece_bpe_32k.model")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

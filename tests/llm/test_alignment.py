@@ -99,6 +99,27 @@ def test_groups(spark):
     assert hashlib.sha256(spelled.encode()).hexdigest() == want[1] and got[2] == []
 
 
+def test_plain_numbers(spark):
+    """Arrays of links hold no nulls, so they are sorted as numbers; nothing by offset but the token that ends there; large groups at both ends and side by side."""
+    texts = ["antidisestablishment", "x antidisestablishment antidisestablishment y", "日本 日本語 antidisestablishment", "a b c", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = alignment.tokens(df, *PATHS)
+    assert tokens.columns == ["id", "a_ends", "a_at", "b_ends", "b_at"]
+    found = alignment.links(alignment.shared_ends(tokens))
+    assert not found.schema["links"].dataType.containsNull
+    rows = sorted(found.collect())
+    assert [tuple(r)[:6] for r in rows] == [r[:6] for r in brute(list(enumerate(texts)))]
+    assert all(r.links == sorted(r.links) and len(r.links) == r.n_links for r in rows)
+
+
+def test_pattern():
+    first = [alignment._byte_level(PATHS[0], p)[0] for p in (public_tokenizers.PATTERN, alignment.PATTERN)]
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices(" \t\n\u3000\u00a0'sdmtlverSDé1½٣.,-日ab\x1c\u200b\u0301", k=rng.randint(0, 12)))
+        assert first[0].encode_ordinary(text) == first[1].encode_ordinary(text)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     bad = spark.sql("SELECT 1 AS doc_id, cast(X'61ff62' AS string) AS text")
