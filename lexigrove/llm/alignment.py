@@ -65,20 +65,25 @@ def _pieces(path: str):
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         pieces.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return model, pieces, np.array(list(map(len, pieces)), np.int32)
+    return model, np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces)), np.int32)
 
 
 def _encoded(raws: list[bytes | None], ranks: str, pattern: str, model: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A's and B's ids of each text; none where they don't spell it."""
     first = _byte_level(ranks, pattern)[0]
-    second, pieces, _ = _pieces(model)
+    second, signs, sizes = _pieces(model)
+    places = np.cumsum(sizes, dtype=np.int64) - sizes
+    # Bytes that aren't UTF-8 are read as others. A's tokens spell what they are given.
     texts = [raw.decode("utf-8", "replace") if raw else "" for raw in raws]
     a, b = [], []
-    for raw, text, ids in zip(raws, texts, second.encode(texts, num_threads=1)):
-        # Bytes that aren't UTF-8 are read as others. A's tokens spell what they are given.
-        same = raw and b"".join(map(pieces.__getitem__, ids)) == b" " + raw
+    for raw, text, found in zip(raws, texts, second.encode(texts, num_threads=1)):
+        ids = np.frombuffer(array("i", found), np.int32)
+        long = sizes[ids]
+        ends = np.cumsum(long, dtype=np.int64)
+        same = raw and len(ids) and ends[-1] == len(raw) + 1
+        same = same and signs[np.repeat(places[ids] - ends + long, long) + np.arange(ends[-1])].tobytes() == b" " + raw
         a.append(first.encode_to_numpy(" " + text, disallowed_special=()) if same else NONE)
-        b.append(np.frombuffer(array("i", ids), np.int32) if same else NONE)
+        b.append(ids if same else NONE)
     return a, b
 
 
@@ -187,7 +192,7 @@ def align(
 ) -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, groups_sha256, links, n_best, count_sum)."""
     spark = df.sparkSession
-    if max(len(_byte_level(ranks, pattern)[1]), len(_pieces(model)[1])) > 1 << ID_BITS:
+    if max(len(_byte_level(ranks, pattern)[1]), len(_pieces(model)[2])) > 1 << ID_BITS:
         raise ValueError(f"ids of more than {ID_BITS} bits")
     found = links(shared_ends(tokens(df, ranks, pattern, model, id_col, text_col)))
     path = new_folder(spark, "aligned")
