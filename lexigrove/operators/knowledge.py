@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,13 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import any_of, hits, let, preview, squeeze, strip, title_case, word_count
+from ..functions.text import any_of, hits, let, needed, preview, squeeze, strip, title_case, word_count
 from ..sources.scratch import saved
+from . import items
 from .incremental import keep_first
 
-ENTITIES = "array<struct<entity_text: string, entity_type: string, confidence: string>>"
-TRIPLETS = "array<struct<entity_a: string, relation: string, entity_b: string>>"
-
 
 def _lookup(text: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), text)
@@ -59,10 +56,6 @@ def first_items(items: Column, key: Callable[[Column], Column]) -> Column:
     return let(items, lambda xs: F.transform(places(xs), lambda at: xs[at]))
 
 
-def _key(*parts: Column) -> Column:
-    return F.concat_ws("\u0000", *parts)
-
-
 def _once(rows: DataFrame, key: list[str]) -> DataFrame:
     """The first row of each key by ordinal: facts of several responses of a chunk are one. Rows alike in ordinal are decided by a hash."""
     rest = [c for c in rows.columns if c not in (*key, "ordinal")]
@@ -90,33 +83,20 @@ def _rows(responses: DataFrame, make: Callable[[DataFrame], DataFrame], key: lis
     return out if more is None else out.unionByName(_once(make(more), key))
 
 
-def _entity_items(response: Column) -> Column:
-    def item(x: Column, i: Column) -> Column:
-        kind = entity_type(x["entity_type"])
-        return let(
-            _text(x["entity_text"]),
-            lambda text: F.struct(text.alias("text"), F.lower(text).alias("low"), kind.alias("kind"), confidence(x["confidence"]).alias("confidence"), i.alias("ordinal")),
-        )
-
-    items = F.transform(F.from_json(response, f"entities {ENTITIES}")["entities"], item)
-    valid = F.filter(items, lambda x: x["kind"].isNotNull() & _is_entity(x["low"], x["kind"]))
-    return first_items(valid, lambda x: _key(x["kind"], x["low"]))
-
-
 def entities(responses: DataFrame) -> DataFrame:
     """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid entities, once a chunk.
 
-    Items are cleaned, checked and made distinct inside their array; those that a chunk's other responses repeat (a chunk
+    Items are cleaned, checked and made distinct inside their array (see :mod:`.items`); those that a chunk's other responses repeat (a chunk
     joined twice, a response given again) are found by an aggregate over such chunks, which combines before its shuffle.
     """
 
     def make(answers: DataFrame) -> DataFrame:
-        return answers.select("*", F.explode(_entity_items(F.col("response"))).alias("item")).select(
+        return items.found(answers).select("*", F.explode("found").alias("item")).select(
             "chunk_id",
             F.col("item.low").alias("__low"),
             F.col("item.text").alias("entity_text"),
             F.col("item.kind").alias("entity_type"),
-            F.col("item.confidence").alias("confidence"),
+            confidence(F.col("item.confidence")).alias("confidence"),
             F.col("doc_id").alias("source_doc_id"),
             F.col("fiscal_year").cast("int").alias("year"),
             "company",
@@ -151,15 +131,6 @@ def is_triplet(a: Column, name: Column, b: Column) -> Column:
     return name.isNotNull() & ends & offers & leads & reports
 
 
-def _triplet_items(response: Column) -> Column:
-    def item(x: Column, i: Column) -> Column:
-        return F.struct(_text(x["entity_a"]).alias("a"), relation(x["relation"]).alias("name"), _text(x["entity_b"]).alias("b"), i.alias("ordinal"))
-
-    items = F.transform(F.from_json(response, f"triplets {TRIPLETS}")["triplets"], item)
-    valid = F.filter(items, lambda x: is_triplet(x["a"], x["name"], x["b"]))
-    return first_items(valid, lambda x: _key(F.lower(x["a"]), x["name"], F.lower(x["b"])))
-
-
 def triplets(responses: DataFrame) -> DataFrame:
     """From (chunk_id, doc_id, company, fiscal_year, page_start, page_end, response JSON): valid relations, once a chunk.
 
@@ -167,10 +138,10 @@ def triplets(responses: DataFrame) -> DataFrame:
     """
 
     def make(answers: DataFrame) -> DataFrame:
-        return answers.select("*", F.explode(_triplet_items(F.col("response"))).alias("item")).select(
+        return items.related(answers).select("*", F.explode("related").alias("item")).select(
             "chunk_id",
-            F.lower("item.a").alias("__a"),
-            F.lower("item.b").alias("__b"),
+            F.col("item.low_a").alias("__a"),
+            F.col("item.low_b").alias("__b"),
             F.col("item.a").alias("entity_a"),
             F.col("item.name").alias("relation"),
             F.col("item.b").alias("entity_b"),
@@ -230,22 +201,9 @@ def response_facts(responses: DataFrame) -> DataFrame:
     A chunk with one response has all it needs in a row, so nothing is shuffled; others go by :func:`chunk_facts`.
     """
     one, more = _split(responses)
-    # Items are values before they are read several times: what a Generate gives is not computed again.
-    items = F.struct(_entity_items(F.col("response")).alias("found"), _triplet_items(F.col("response")).alias("related"))
-    rows = one.where("chunk_id IS NOT NULL").select("chunk_id", F.explode(F.array(items)).alias("items"))
-    found, related = F.col("items.found"), F.col("items.related")
-    label = lambda x: triplet_label(x["a"], x["name"], x["b"])
-    once = lambda texts: first_items(F.filter(texts, lambda t: t != ""), F.lower)
-    lists = {
-        "knowledge_entities": once(F.transform(found, lambda x: x["text"])),
-        "knowledge_entity_types": F.array_distinct(F.transform(found, lambda x: x["kind"])),
-        "knowledge_triplets": once(F.transform(related, label)),
-        "knowledge_relations": F.array_distinct(F.transform(related, lambda x: x["name"])),
-        "knowledge_competitors": once(F.transform(F.filter(related, lambda x: x["name"] == "COMPETES_WITH"), lambda x: x["b"])),
-    }
-    some = (F.coalesce(F.size(found), F.lit(0)) > 0) | (F.coalesce(F.size(related), F.lit(0)) > 0)
-    made = rows.where(some).select("chunk_id", F.explode(F.array(F.struct(*[c.alias(n) for n, c in lists.items()]))).alias("made"))
-    out = _with_counts(made.select("chunk_id", "made.*"))
+    rows = items.lists(one.where("chunk_id IS NOT NULL").select("chunk_id", "response"))
+    made = rows.where((F.size("knowledge_entities") > 0) | (F.size("knowledge_triplets") > 0))
+    out = _with_counts(made)
     return out if more is None else out.unionByName(chunk_facts(entities(more), triplets(more)))
 
 
@@ -278,43 +236,52 @@ def source_company(name: Column) -> Column:
     return let(_low(name), lambda low: _canonical(low, low))
 
 
-def competitor_name(text: Column) -> Column:
-    """Source companies by their own name; others without legal suffixes, in title case."""
-
+def _name(low: Column, text: Column) -> Column:
     def bare(low: Column) -> Column:
+        out = low
         for suffix in V.LEGAL_SUFFIXES:
-            low = strip(F.regexp_replace(low, f"(?i){suffix}", ""))
-        return squeeze(low)
+            out = strip(F.regexp_replace(out, f"(?i){suffix}", ""))
+        # Every suffix follows a blank, so most names are told by that.
+        return F.when(low.contains(" ") & any_of(low, [f"(?i){s}" for s in V.LEGAL_SUFFIXES]), squeeze(out)).otherwise(low)
 
-    def name(low: Column) -> Column:
-        title = let(bare(low), lambda x: F.when(x == "", squeeze(text)).otherwise(title_case(x)))
-        return _canonical(low, title)
+    title = let(bare(low), lambda x: F.when(x == "", squeeze(text)).otherwise(title_case(x)))
+    return _canonical(low, title)
 
-    return let(_low(text), name)
 
+def competitor_name(text: Column) -> Column:
+    """Source companies by their own name; others without legal suffixes, in title case."""
+    return let(_low(text), lambda low: _name(low, text))
 
-def is_self(text: Column, company: Column) -> Column:
-    def same(low: Column, own: Column) -> Column:
-        out = low == own
-        for name, others in V.SOURCE_ALIASES.items():
-            out = out | ((own == name) & low.isin([name, *others]))
-        return out
 
-    return let(_low(text), lambda low: let(source_company(company), lambda own: same(low, own)))
+def _same(low: Column, own: Column) -> Column:
+    out = low == own
+    for name, others in V.SOURCE_ALIASES.items():
+        out = out | ((own == name) & low.isin([name, *others]))
+    return out
+
+
+def is_self(text: Column, company: Column) -> Column:
+    return let(_low(text), lambda low: let(source_company(company), lambda own: _same(low, own)))
 
 
 def is_name(text: Column) -> Column:
     return (F.length(strip(F.coalesce(text, F.lit("")))) >= 2) & ~_low(text).isin(V.GENERIC_NAMES)
 
 
+def _blacklisted(low: Column) -> Column:
+    return low.isin(V.NOT_COMPETITORS) | (hits(low, V.NOT_COMPETITOR_PATTERNS, needed(V.NOT_COMPETITOR_PATTERNS)) > 0)
+
+
 def is_blacklisted(name: Column) -> Column:
-    low = _low(name)
-    return low.isin(V.NOT_COMPETITORS) | any_of(low, V.NOT_COMPETITOR_PATTERNS)
+    return let(_low(name), _blacklisted)
+
+
+def _generic(low: Column) -> Column:
+    return (word_count(low) > 8) | (hits(low, V.GENERIC_NAME_PATTERNS, needed(V.GENERIC_NAME_PATTERNS)) >= 2)
 
 
 def is_generic(name: Column) -> Column:
-    low = _low(name)
-    return (word_count(low) > 8) | (hits(low, V.GENERIC_NAME_PATTERNS) >= 2)
+    return let(_low(name), _generic)
 
 
 def has_signal(text: Column) -> Column:
@@ -365,6 +332,55 @@ def mentions(found: DataFrame, related: DataFrame, chunks: DataFrame) -> DataFra
     return keep_first(good, key, ["ordinal"]).select(*MENTION)
 
 
+def _rivals(texts: Column, own: Column, by_name: bool) -> Column:
+    """Names of competitors in an array of stripped texts, each once, in order. Rules of a mention look at its text, or at its name."""
+
+    def judged(text: Column, low: Column, name: Column) -> Column:
+        name_low = F.lower(name)
+        said, said_low = (name, name_low) if by_name else (text, low)
+        long = (F.length(said) >= 2) & ~said_low.isin(V.GENERIC_NAMES)
+        return F.when(long & ~_same(said_low, own) & ~let(name_low, lambda x: _blacklisted(x) | _generic(x)), name)
+
+    # A name is squeezed, as the text it is made of is.
+    named = lambda text: let(_low(text), lambda low: let(_name(low, text), lambda name: judged(text, low, name)))
+    return F.array_distinct(F.filter(F.transform(texts, named), lambda n: n.isNotNull()))
+
+
+def response_mentions(responses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Mentions, as :func:`mentions` gives them, from responses that hold entities and triplets.
+
+    A chunk with one response has all its names in a row, where they are made distinct; the row meets its chunk, and only then names become
+    rows. Chunks with several responses go by :func:`mentions`.
+    """
+    one, more = _split(responses)
+    cut = items.rivals(one.select("chunk_id", "doc_id", "company", "fiscal_year", "page_start", "page_end", "response"))
+    # From a Generate, so that it is computed once a row.
+    owned = cut.withColumn("own", F.explode(F.array(source_company(F.col("company")))))
+    named = owned.select(
+        "chunk_id",
+        F.col("doc_id").alias("source_doc_id"),
+        F.col("own").alias("source_company"),
+        F.col("fiscal_year").cast("int").alias("year"),
+        F.struct("page_start", "page_end").alias("__pages"),
+        F.explode(F.array(F.struct(_rivals(F.col("found.text"), F.col("own"), False).alias("entity"), _rivals(F.col("related.b"), F.col("own"), True).alias("triplet")))).alias("__names"),
+    ).where((F.size("__names.entity") > 0) | (F.size("__names.triplet") > 0))
+    signal = has_signal(F.coalesce("chunk_text", F.lit("")))
+    signals = keep_first(chunks.select("chunk_id", "page_start", "page_end", signal.alias("__signal")), ["chunk_id"], ["page_start", "page_end", "__signal"])
+    inside = F.struct(F.coalesce("__signal", F.lit(False)).alias("signal"), F.col("page_start"), F.col("page_end"), F.lit(False).alias("named"), F.lit("entity").alias("source"), F.col("__names.entity").alias("names"))
+    related = F.struct(F.lit(True).alias("signal"), F.col("__pages.page_start"), F.col("__pages.page_end"), F.lit(True).alias("named"), F.lit("triplet").alias("source"), F.col("__names.triplet").alias("names"))
+    both = named.join(signals, "chunk_id", "left").select("chunk_id", "source_doc_id", "source_company", "year", F.explode(F.array(inside, related)).alias("side"))
+    out = both.select("*", F.explode("side.names").alias("competitor_name")).withColumns(
+        {
+            "page_start": F.col("side.page_start"),
+            "page_end": F.col("side.page_end"),
+            "has_competition_risk_signal": F.col("side.signal"),
+            "explicit_competes_with": F.col("side.named"),
+            "mention_source": F.col("side.source"),
+        }
+    ).select(*MENTION)
+    return out if more is None else out.unionByName(mentions(entities(more), triplets(more), chunks))
+
+
 def with_evidence(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds the chunk's text and its preview; the preview is made before the join, so a caller that reads only it moves no texts."""
     text = F.coalesce("chunk_text", F.lit(""))
@@ -414,10 +430,7 @@ def yearly_pivot(df: DataFrame, year: str, company: str, name: str, companies: l
 def interest(text: Column, kind: str = "entity") -> Column:
     """How many hints of the kind occur in a chunk."""
     hints = V.ENTITY_HINTS if kind == "entity" else V.TRIPLET_HINTS
-    # A hint is words, maybe with an optional last letter.
-    parts = [re.sub(r".[?]$", "", h) for h in hints]
-    parts = [p if re.fullmatch("[a-z ]+", p) else None for p in parts]
-    return hits(F.lower(F.coalesce(text, F.lit(""))), [rf"\b{h}\b" for h in hints], parts)
+    return hits(F.lower(F.coalesce(text, F.lit(""))), [rf"\b{h}\b" for h in hints], needed(hints))
 
 
 def candidates(chunks: DataFrame, mode: str = "all", kind: str = "entity", least: int = 1, most: int | None = None) -> DataFrame:

@@ -444,7 +444,7 @@ def join5(spark, sf):
     """Competitor mentions of both kinds with their evidence, end to end."""
     answers = _responses(spark, sf)
     rows = M.chunks(spark, sf).withColumn("page_end", F.col("page_start"))
-    return knowledge.knowledge(knowledge.entities(answers), knowledge.triplets(answers), rows).mentions.drop("chunk_text")
+    return knowledge.with_evidence(knowledge.response_mentions(answers, rows), rows).drop("chunk_text")
 
 
 @query("flt7_loose_filter", "SELECT doc_id FROM documents WHERE lower(regexp_replace('Co-' || source, '[^\\p{L}\\p{N}]+', '', 'g')) = 'cosrc3' AND 2022 + doc_id % 3 = 2023")
